@@ -1,0 +1,18 @@
+"""What a Python worker keeps from task to task."""
+
+from __future__ import annotations
+
+import gc
+from collections.abc import Callable
+
+_HELD: dict[str, object] = {}
+
+
+def held(key: str, build: Callable):
+    """Build once per worker process. Tables of many small objects leave the collector's view."""
+    if key not in _HELD:
+        _HELD[key] = build()
+        gc.collect()
+        gc.freeze()
+        gc.set_threshold(100_000, 50, 100)
+    return _HELD[key]

@@ -9,6 +9,7 @@ MODULES = {
     "op1_chat_format": "chat",
     "op2_token_counts": "tokens",
     "op6_bpe_codec": "codec",
+    "op8_quality_rules": "quality",
 }
 #: query name -> attribute that holds its SQL.
 SQL = {"op1_chat_format": "OP1_SQL"}

@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_chat_format": "chat",
     "op2_token_counts": "tokens",
+    "op4_simhash_near_dedup": "simhash",
     "op6_bpe_codec": "codec",
     "op8_quality_rules": "quality",
 }

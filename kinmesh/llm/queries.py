@@ -9,6 +9,7 @@ MODULES = {
     "op1_chat_format": "chat",
     "op2_token_counts": "tokens",
     "op4_simhash_near_dedup": "simhash",
+    "op5_language_id": "langid",
     "op6_bpe_codec": "codec",
     "op8_quality_rules": "quality",
 }

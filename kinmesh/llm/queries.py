@@ -12,6 +12,7 @@ MODULES = {
     "op5_language_id": "langid",
     "op6_bpe_codec": "codec",
     "op8_quality_rules": "quality",
+    "op10_toxicity": "toxicity",
 }
 #: query name -> attribute that holds its SQL.
 SQL = {"op1_chat_format": "OP1_SQL"}

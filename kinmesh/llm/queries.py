@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_chat_format": "chat",
     "op2_token_counts": "tokens",
+    "op3_secret_scan": "secrets",
     "op4_simhash_near_dedup": "simhash",
     "op5_language_id": "langid",
     "op6_bpe_codec": "codec",

@@ -12,6 +12,7 @@ MODULES = {
     "op4_simhash_near_dedup": "simhash",
     "op5_language_id": "langid",
     "op6_bpe_codec": "codec",
+    "op7_lm_score": "lm",
     "op8_quality_rules": "quality",
     "op10_toxicity": "toxicity",
 }

@@ -14,6 +14,7 @@ MODULES = {
     "op6_bpe_codec": "codec",
     "op7_lm_score": "lm",
     "op8_quality_rules": "quality",
+    "op9_decontamination": "decontam",
     "op10_toxicity": "toxicity",
 }
 #: query name -> attribute that holds its SQL.
@@ -25,7 +26,9 @@ def _module(name: str):
 
 
 def queries() -> dict:
-    return {name: getattr(_module(name), name) for name in MODULES}
+    import corpus_pipeline
+
+    return {name: getattr(_module(name), name) for name in MODULES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

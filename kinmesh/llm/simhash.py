@@ -120,34 +120,35 @@ def fingerprint_links(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return rows.filter(F.size("fps") > 1).select(F.explode(linked(F.col("fps"))).alias("l")).select("l.a", "l.b")
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """One row for each input row: doc_id, fp, component_id (smallest doc_id reachable).
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each input row: doc_id, ``keep``, fp, group and component_id (smallest doc_id reachable).
 
     Fingerprints that differ in 3 bits or fewer are linked, and so are all documents of one
-    fingerprint. Null text is empty and has fingerprint 0; a null doc_id keeps its row and
-    joins its component, whose id is the smallest id that is not null (null if there is none);
-    repeated ids keep a row each; an empty table gives no rows. Other columns are dropped.
+    fingerprint; ``group`` is the smallest fingerprint reachable. Null text is empty and has
+    fingerprint 0; a null doc_id keeps its row and joins its component, whose id is the
+    smallest id that is not null (null if there is none); repeated ids keep a row each; an
+    empty table gives no rows. Columns not named are dropped.
     """
-    prints = materialize(df.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text), width).alias("fp")), "prints")
+    prints = materialize(df.select(F.col(doc_id).alias("doc_id"), *keep, fingerprint_column(F.col(text), width).alias("fp")), "prints")
     own = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     found = connected_components(materialize(fingerprint_links(own), "links"))
-    joined = own.join(found.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # Only fingerprints with a link can share a root; the rest keep their own smallest id.
-    roots = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    ids = joined.join(roots, "root").select("fp", "component_id")
+    joined = own.join(found.select(F.col("node").alias("fp"), F.col("component").alias("group")), "fp", "left").withColumn("group", F.coalesce("group", "fp"))
+    groups = joined.groupBy("group").agg(F.min("first_id").alias("component_id"))
+    ids = joined.join(groups, "group").select("fp", "group", "component_id")
     return prints.join(ids, "fp")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` without near-duplicates: one of each group stays, that of the smallest doc_id.
+    """The rows of ``df`` without near-duplicates: of each group the row of the smallest doc_id stays.
 
-    Rows with a null doc_id, or that share the smallest one, are told apart by their text and
-    then are equal in both, so one of them stays. All columns are kept.
+    Null ids come last; rows that share the id are ordered by the digest of their text, and of
+    rows equal in both any one stays. All columns are kept.
     """
-    marked = near_duplicates(df, doc_id, text)
-    chosen = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    stays = df.join(chosen.withColumnRenamed("doc_id", "_kept"), F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
-    return stays.dropDuplicates([doc_id])
+    key = F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    keyed = df.withColumn("_key", key)
+    marked = near_duplicates(keyed, doc_id, text, keep=("_key",))
+    chosen = marked.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key"))["_key"].alias("_key"))
+    return keyed.join(chosen.select("_key"), "_key", "left_semi").dropDuplicates(["_key"]).select(df.columns)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,11 +88,16 @@ def comment_parts(text: str) -> tuple[str, int, int]:
     return _STRING_OR_COMMENT.sub(cut, text), lines, chars
 
 
-@F.arrow_udf("struct<text:string,comment_lines:int,comment_chars:int>")
-def strip_comments(texts: pa.Array) -> pa.Array:
-    parts = [comment_parts(t or "") for t in texts.to_pylist()]
-    kinds = (pa.string(), pa.int32(), pa.int32())
-    return pa.StructArray.from_arrays([pa.array([p[k] for p in parts], kind) for k, kind in enumerate(kinds)], ["text", "comment_lines", "comment_chars"])
+def strip_comments(text: Column) -> Column:
+    """A struct of text, comment_lines and comment_chars."""
+
+    @F.arrow_udf("struct<text:string,comment_lines:int,comment_chars:int>")
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [comment_parts(t or "") for t in texts.to_pylist()]
+        kinds = (pa.string(), pa.int32(), pa.int32())
+        return pa.StructArray.from_arrays([pa.array([p[k] for p in parts], kind) for k, kind in enumerate(kinds)], ["text", "comment_lines", "comment_chars"])
+
+    return run(text)
 
 
 def let(value: Column, body) -> Column:
@@ -156,8 +161,12 @@ def top_counts(items: Column, k: int | None = None) -> Column:
 
 def entropy(items: Column) -> Column:
     """Shannon entropy in bits of the items; 0 where there are none."""
-    total = F.size(items).cast("double")
-    return F.aggregate(top_counts(items), F.lit(0.0), lambda s, e: s - e["n"] / total * F.log2(e["n"] / total))
+
+    def bits(counts: Column) -> Column:
+        total = F.aggregate(counts, F.lit(0.0), lambda s, e: s + e["n"])
+        return let(total, lambda t: F.aggregate(counts, F.lit(0.0), lambda s, e: s - e["n"] / t * F.log2(e["n"] / t)))
+
+    return let(top_counts(items), bits)
 
 
 def count_substring(text: Column, needle: str) -> Column:

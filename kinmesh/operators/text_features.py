@@ -76,7 +76,7 @@ def _prefixed(prefix: str, counts: Column, entry) -> Column:
 def expr_features(df: DataFrame) -> Column:
     tokens, words, code, src, lengths = (F.col(c) for c in ("_tokens", "_words", "_code", "_src", "_lengths"))
     mean = _mean(lengths)
-    spread = F.sqrt(safe_ratio(F.aggregate(F.transform(lengths, lambda n: (n - mean) * (n - mean)), F.lit(0.0), lambda s, x: s + x), F.size(lengths)))
+    spread = X.let(mean, lambda m: F.sqrt(safe_ratio(F.aggregate(lengths, F.lit(0.0), lambda s, n: s + (n - m) * (n - m)), F.size(lengths))))
     lines = F.size(F.split(src, r"\r\n|[\n\r]")) - F.when(src.rlike(r"(?s)(?:^|[\n\r])$"), 1).otherwise(0)
     scalars = {
         "token_count": F.size(tokens),

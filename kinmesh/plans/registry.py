@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinmesh.plans import basket, dense, runs, text
+from kinmesh.plans import basket, dense, models, runs, text
 
-MODULES = (basket, dense, text, runs)
+MODULES = (basket, dense, text, runs, models)
 
 
 def queries() -> dict:

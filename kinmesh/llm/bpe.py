@@ -125,75 +125,92 @@ class Transducer:
     pending is bounded and so is the lookahead.
     """
 
-    def __init__(self, ranks: dict[bytes, int], states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], states: int = 60_000, pairs: int = 100_000):
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
-        self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
+        self.prefixes = {}
+        for t in ranks:
+            for k in range(1, len(t)):
+                self.prefixes.setdefault(t[:k], t[:k])
         self.limit = states
-        self.fits = Memo(self.pair_fits, 400_000)
-        self.reset()
-
-    def reset(self) -> None:
-        self.states = [(((), None, b""),)]
-        self.ids = {self.states[0]: 0}
-        self.moves = [{}]
-
-    def pair_fits(self, pair: tuple[int, int]) -> bool:
-        """Whether two tokens side by side encode as themselves."""
-        a, b = self.bytes_of[pair[0]], self.bytes_of[pair[1]]
-        return self.split_by_merging(a + b) == [a, b]
+        self.fits = Memo(self.pair_fits, pairs)
+        start = (((), None, b""),)
+        self.states = [start]
+        self.ids = {start: 0}
+        #: State times 256 plus byte to the next state, with the tokens emitted if there are any.
+        self.moves: dict[int, int | tuple[int, tuple[int, ...]]] = {}
+
+    def pair_fits(self, pair: int) -> int:
+        """Whether two tokens side by side, packed into one integer, encode as themselves."""
+        a, b = self.bytes_of[pair >> 32], self.bytes_of[pair & 0xFFFFFFFF]
+        return int(self.split_by_merging(a + b) == [a, b])
 
     def split_by_merging(self, data: bytes) -> list[bytes]:
         get = self.ranks.get
         return merge([data[i : i + 1] for i in range(len(data))], lambda p: get(p[0] + p[1]))
 
-    def determinise(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def advance(self, state: tuple, byte: int) -> tuple[tuple[int, ...], tuple]:
+        """(tokens emitted, next determinised state)."""
         live, end, ranks, prefixes = [], None, self.ranks, self.prefixes
         add = bytes((byte,))
-        for out, last, read in self.states[state]:
+        for out, last, read in state:
             read += add
             token = ranks.get(read)
-            if token is not None and end is None and (last is None or self.fits[last, token]):
-                end = (out + (token,), token, b"")
-            if read in prefixes:
-                live.append((out, last, read))
+            if token is not None and end is None and (last is None or self.fits[last << 32 | token]):
+                end = ((*out, token), token, b"")
+            shared = prefixes.get(read)
+            if shared is not None:
+                live.append((out, last, shared))
         if end is None:
             raise ValueError("the ranks lack a single byte")
         live.append(end)
-        shared = live[0][0]
-        n = len(shared)
+        common = live[0][0]
+        if not common:
+            return (), tuple(live)
+        n = len(common)
         for out, _, _ in live:
-            while shared[:n] != out[:n]:
+            while common[:n] != out[:n]:
                 n -= 1
-        emitted = shared[:n]
-        key = tuple([(out[n:], last, read) for out, last, read in live]) if n else tuple(live)
+        return common[:n], tuple([(out[n:], last, read) for out, last, read in live]) if n else tuple(live)
+
+    def determinise(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
+        emitted, key = self.advance(self.states[state], byte)
         found = self.ids.get(key)
         if found is None:
             found = self.ids[key] = len(self.states)
             self.states.append(key)
-            self.moves.append({})
-        self.moves[state][byte] = (found, emitted)
-        return found, emitted
+        move = self.moves[state << 8 | byte] = (found, emitted) if emitted else found
+        return move
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > self.limit:
-            self.reset()
         out: list[int] = []
-        state, moves = 0, self.moves
-        for byte in piece:
-            move = moves[state].get(byte)
+        state, get = 0, self.moves.get
+        for k, byte in enumerate(piece):
+            move = get(state << 8 | byte)
             if move is None:
+                if len(self.states) >= self.limit:
+                    return self.walk(out, self.states[state], piece[k:])
                 move = self.determinise(state, byte)
-            state, emitted = move
-            if emitted:
+            if type(move) is int:
+                state = move
+            else:
+                state, emitted = move
                 out += emitted
         out += self.states[state][-1][0]
         return out
 
+    def walk(self, out: list[int], state: tuple, rest: bytes) -> list[int]:
+        """Go on from a state without keeping what it leads to: for rare endings once the table is full."""
+        for byte in rest:
+            emitted, state = self.advance(state, byte)
+            out += emitted
+        out += state[-1][0]
+        return out
+
 
 class Utf8Decoder:
     """Streaming UTF-8: fed bytes in any cut, it returns the text that is complete so far.

@@ -22,13 +22,28 @@ from kinmesh.llm.bpe import PATTERN, Memo, Transducer, Utf8Decoder, load_ranks
 from kinmesh.llm.workers import held
 from kinmesh.session import read_table
 
-CHUNK = 4096
+#: Ids decoded at a time, and rows of a batch held as Python values at a time.
+CHUNK, SLICE = 4096, 256
 
 
-class Codec:
-    def __init__(self, blob: bytes, cache: int = 400_000):
-        self.transducer = Transducer(load_ranks(blob))
-        self.bytes_of = self.transducer.bytes_of
+class Decoder:
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bytes_of = {r: t for t, r in ranks.items()}
+
+    def decode(self, packed: bytes) -> str:
+        stream, out, token = Utf8Decoder(), [], self.bytes_of.__getitem__
+        for at in range(0, len(packed), 4 * CHUNK):
+            part = packed[at : at + 4 * CHUNK]
+            out.append(stream.feed(b"".join(map(token, struct.unpack(f"<{len(part) // 4}I", part)))))
+        out.append(stream.finish())
+        return "".join(out)
+
+
+class Codec(Decoder):
+    def __init__(self, blob: bytes, cache: int = 200_000):
+        ranks = load_ranks(blob)
+        super().__init__(ranks)
+        self.transducer = Transducer(ranks)
         self.find = regex.compile(PATTERN).findall
         self.packed = Memo(self.pack, cache)
 
@@ -39,17 +54,19 @@ class Codec:
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.packed.__getitem__, self.find(text)))
 
-    def decode(self, packed: bytes) -> str:
-        stream, out, token = Utf8Decoder(), [], self.bytes_of.__getitem__
-        for at in range(0, len(packed), 4 * CHUNK):
-            part = packed[at : at + 4 * CHUNK]
-            out.append(stream.feed(b"".join(map(token, struct.unpack(f"<{len(part) // 4}I", part)))))
-        out.append(stream.finish())
-        return "".join(out)
+
+def sliced(values: pa.Array, run) -> pa.Array:
+    """``run`` over the Python values of slices of an Arrow array, so that few of them stand beside it at a time."""
+    parts = [run(values.slice(at, SLICE).to_pylist()) for at in range(0, len(values), SLICE)]
+    return pa.concat_arrays(parts) if parts else run([])
 
 
 def codec_columns(spark: SparkSession, ranks: str) -> tuple:
-    """(encode, decode) column functions for a ranks file; null text encodes as empty, null ids decode to null."""
+    """(encode, decode, both) column functions for a ranks file.
+
+    Null text encodes as empty, null ids decode to null. ``both`` is a struct of the ids and
+    of the text decoded from them, for one trip to the workers.
+    """
     with open(ranks, "rb") as f:
         blob = f.read()
     key = "codec:" + hashlib.sha256(blob).hexdigest()
@@ -58,14 +75,24 @@ def codec_columns(spark: SparkSession, ranks: str) -> tuple:
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
         codec = held(key, lambda: Codec(sent.value))
-        return pa.array([codec.encode(t) if t else b"" for t in texts.to_pylist()], pa.binary())
+        return sliced(texts, lambda ts: pa.array([codec.encode(t) if t else b"" for t in ts], pa.binary()))
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
+        decoder = held("de" + key, lambda: Decoder(load_ranks(sent.value)))
+        return sliced(ids, lambda xs: pa.array([None if x is None else decoder.decode(x) for x in xs], pa.string()))
+
+    @F.arrow_udf("struct<ids:binary,decoded:string>")
+    def both(texts: pa.Array) -> pa.Array:
         codec = held(key, lambda: Codec(sent.value))
-        return pa.array([None if x is None else codec.decode(x) for x in ids.to_pylist()], pa.string())
 
-    return encode, decode
+        def run(ts: list) -> pa.Array:
+            ids = [codec.encode(t) if t else b"" for t in ts]
+            return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.string())], ["ids", "decoded"])
+
+        return sliced(texts, run)
+
+    return encode, decode, both
 
 
 def n_ids(packed: Column) -> Column:
@@ -78,8 +105,9 @@ def encode_documents(df: DataFrame, ranks: str, text: str = "text") -> DataFrame
     A null text counts as empty. Existing columns of these names are replaced; an empty
     table stays empty. An id outside the ranks is an error, as it has no bytes.
     """
-    encode, decode = codec_columns(df.sparkSession, ranks)
-    return df.withColumn("ids", encode(F.col(text))).withColumns({"n_tokens": n_ids(F.col("ids")), "decoded": decode(F.col("ids"))})
+    _, _, both = codec_columns(df.sparkSession, ranks)
+    coded = df.withColumn("_coded", both(F.col(text)))
+    return coded.withColumns({"ids": F.col("_coded.ids"), "n_tokens": n_ids(F.col("_coded.ids")), "decoded": F.col("_coded.decoded")}).drop("_coded")
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ def submission_archives(bundles: DataFrame) -> DataFrame:
 def source_files(submissions: DataFrame, key: str = "submission_id") -> DataFrame:
     """(key, relative_path, basename, sha256, size_bytes, text) of the relevant files; text is UTF-8 with replacement."""
     e = entries(submissions, key).filter(~F.col("corrupt") & relevant_source(F.col("path")))
-    return e.select(key, F.col("path").alias("relative_path"), F.element_at(F.split("path", "/"), -1).alias("basename"), F.sha2("data", 256).alias("sha256"), F.length("data").cast("bigint").alias("size_bytes"), F.decode("data", F.lit("UTF-8")).alias("text"))
+    return e.select(key, F.col("path").alias("relative_path"), F.element_at(F.split("path", "/"), -1).alias("basename"), F.sha2("data", 256).alias("sha256"), F.length("data").cast("bigint").alias("size_bytes"), F.make_valid_utf8(F.col("data").cast("string")).alias("text"))
 
 
 def submission_status(submissions: DataFrame, key: str = "submission_id") -> DataFrame:

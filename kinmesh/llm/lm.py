@@ -1,20 +1,23 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 1. Token counts over all training texts: combined in each task, then summed by key.
-2. Frequent tokens and bigrams. Only tokens with at least a share ``UNIGRAM_SHARE`` of all
-   training tokens are frequent, so there are 1 / UNIGRAM_SHARE of them at most at any size
-   of input. Bigrams of two frequent tokens are counted in a second pass, and kept from a
-   share ``BIGRAM_SHARE`` on: again 1 / BIGRAM_SHARE at most. These bounds size the filter.
-3. The filter. A count c is quantised to a level q = 1 + floor(log2(c / least)), and the
-   n-gram is entered once for each level 1..q. A probe asks for level 1, 2, ... until one is
-   missing; the last found level gives the count back within a factor of 2. False positives
-   only lift a level, each with probability about 2^-k.
-4. Scores. Frequent tokens travel as a table of bounded size, the filter as a bit array of
-   fixed size. P(w | v) = L * c(v, w) / c(v) + (1 - L * m(v)) * P(w), all counts from probes;
-   m(v) is the share of v's mass that its kept bigrams have. A token that is not frequent
-   takes an equal part of the mass of all that are not.
-5. The base needs the exact count of every token. Frequent ones are counted on the spot; the
-   rest, one row for each distinct token of a text, join the counts by key.
+2. Counts of all bigrams of the training texts, under 64-bit hashes of their tokens. Tasks
+   combine them block by block and deal them into shards by hash; the number of shards grows
+   with the training tokens (one for each ``PER_SHARD``), so a shard's size does not.
+3. The filters. A count c is quantised to a level q = 1 + floor(log2(c)), and the n-gram is
+   entered once for each level 1..q. A probe asks for level 1, 2, ... until one is missing;
+   the last found level gives the count back within a factor of 2. False positives only lift
+   a level, each with probability about 2^-k. Every bigram seen once or more is entered, at
+   any size of input: those with a share of about ``BIGRAM_SHARE`` or more in one filter of
+   fixed size that is broadcast, all others in the filter of their shard.
+4. Probes. Texts are read in blocks. A bigram that the broadcast filter has is answered on
+   the spot; each other one of a block is sent once to its shard and its level comes back.
+   Tokens with a share of ``UNIGRAM_SHARE`` or more travel as a table of bounded size; each
+   other token of a block joins the exact counts by its bytes.
+5. Scores. P(w | v) = L * c(v, w) / c(v) + (1 - L) * P(w) after a v that was seen, P(w) at the
+   start of a text and after any other; c are quantised counts. P(w) is c(w) over all tokens,
+   scaled so that it sums up to 1 with one token's share for what was never seen.
+6. The base needs the exact count of every token, and takes it from the same table and join.
 
 Tokens are A-Z lower-cased runs without ASCII white space, then one end of text, written as
 a line feed, which no token can be.
@@ -22,25 +25,34 @@ a line feed, which no token can be.
 
 from __future__ import annotations
 
-from collections import Counter
+import pickle
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinmesh.llm.sampling import held_out
 from kinmesh.session import materialize, read_table
 
 END = b"\n"
+#: Shares of all training tokens from which a token or bigram takes the fast way; they bound what is broadcast, not what is counted.
 UNIGRAM_SHARE, BIGRAM_SHARE = 1e-5, 2e-6
-#: Bits of the filter: 16 for each of up to 4 levels of the most n-grams that the shares allow, as a power of 2.
+#: Bits of the broadcast filter: 16 for each of up to 4 levels of the most n-grams that the shares allow, as a power of 2.
 BITS = 1 << 26
 HASHES = 8
 LAMBDA = 0.8
-#: Distinct keys that a task combines before it passes them on, and tokens scored at once.
-COMBINE, BLOCK = 250_000, 100_000
+#: Training tokens for each shard of bigrams.
+PER_SHARD = 2_000_000
+#: Distinct keys that a task combines before it passes them on, and tokens of a block.
+COMBINE, BLOCK = 250_000, 200_000
+#: Keys and bytes in a row, so that a batch of rows stays small.
+KEYS, PIECE = 512, 4096
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -110,8 +122,9 @@ def level_of(count: np.ndarray, least: float) -> np.ndarray:
 
 
 def count_of(level: np.ndarray, least: float) -> np.ndarray:
-    """The middle, in logarithms, of the counts of a level; 0 for level 0."""
-    return np.where(level > 0, least * 2.0 ** (level - 0.5), 0.0)
+    """The middle, in logarithms, of the whole counts of a level (1, 2 to 3, 4 to 7, ...); 0 for level 0."""
+    low = least * 2.0 ** (np.asarray(level, float) - 1)
+    return np.where(level > 0, np.sqrt(low * np.maximum(2 * low - 1, low)), 0.0)
 
 
 def token_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -132,163 +145,302 @@ def token_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(text).mapInArrow(combine, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def ids_of(words: list[bytes], index: dict[bytes, int]) -> np.ndarray:
-    get = index.get
-    return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+class Block:
+    """Some texts as numbers: their distinct tokens, and for each place in the texts its token."""
 
+    def __init__(self, texts: list[list[bytes]]):
+        index = defaultdict()
+        index.default_factory = index.__len__
+        self.sizes = np.array([len(words) for words in texts], np.int64)
+        self.u = np.concatenate([np.fromiter(map(index.__getitem__, words), np.int64, len(words)) for words in texts])
+        self.words = list(index)
+        self.pairs = pairs_of(self.u, index[END])
 
-def bigram_counts(df: DataFrame, sent_index, text: str = "text") -> DataFrame:
-    """(key, n): counts of bigrams of two frequent tokens; key is the first id times 2^32 plus the second."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+    def keys(self, pairs: np.ndarray) -> np.ndarray:
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+        return bigram_key(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF])
 
-    def packed(keys: list[np.ndarray]) -> pa.RecordBatch:
-        values, n = np.unique(np.concatenate(keys), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], schema=schema)
+
+def pairs_of(u: np.ndarray, end: int) -> np.ndarray:
+    """Each place but the last with the next, packed; -1 from an end to the next text."""
+    return np.where(u[:-1] == end, -1, (u[:-1] << 32) | u[1:])
+
+
+def bigram_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(mix(first ^ np.uint64(0x9E3779B97F4A7C15)) + second)
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list[pa.Array]]]:
+    """Blocks of about BLOCK tokens from batches with the text last, each with the parts of the first column that belong to it."""
+    texts, parts, size = [], [], 0
+    for batch in batches:
+        begin = 0
+        for k, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            texts.append(tokens_of(t))
+            size += len(texts[-1])
+            if size > BLOCK:
+                yield Block(texts), [*parts, batch.column(0).slice(begin, k + 1 - begin)]
+                texts, parts, size, begin = [], [], 0, k + 1
+        if begin < batch.num_rows:
+            parts.append(batch.column(0).slice(begin))
+    if texts:
+        yield Block(texts), parts
+
+
+def runs_of(shards: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs of equal sorted shards, KEYS long at most."""
+    edges = np.flatnonzero(np.diff(shards, prepend=-1, append=-1))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        for k in range(a, b, KEYS):
+            yield k, min(k + KEYS, b)
+
+
+def bigram_counts(df: DataFrame, shards: int, text: str = "text") -> DataFrame:
+    """(shard, keys, n): counts of all bigrams, combined in blocks and packed by shard."""
+    schema = pa.schema([("shard", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, keys, size = sent_index.value, [], 0
+        for block, _ in blocks_of(batches):
+            pairs, n = np.unique(block.pairs[block.pairs >= 0], return_counts=True)
+            keys = block.keys(pairs)
+            shard = shard_of(keys, shards)
+            order = np.argsort(shard, kind="stable")
+            keys, n, shard = keys[order], n[order].astype(np.int32), shard[order]
+            cuts = list(runs_of(shard)) if len(shard) else []
+            yield pa.RecordBatch.from_arrays([pa.array([int(shard[a]) for a, _ in cuts], pa.int64()), pa.array([keys[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([n[a:b].tobytes() for a, b in cuts], pa.binary())], schema=schema)
+
+    return df.select(text).mapInArrow(combine, "shard bigint, keys binary, n binary")
+
+
+def shard_filters(counts: DataFrame, least: float) -> DataFrame:
+    """(shard, at, data, key, n): the filter of each shard in pieces, and beside it the bigrams of ``least`` or more, which are not in it."""
+    schema = pa.schema([("shard", pa.int64()), ("at", pa.int64()), ("data", pa.binary()), ("key", pa.int64()), ("n", pa.int64())])
+
+    def summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values, back = np.unique(np.concatenate(keys), return_inverse=True)
+        return values, np.bincount(back, np.concatenate(n), minlength=len(values)).astype(np.int64)
+
+    def rows(shard: int, keys: list[np.ndarray], n: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, n = summed(keys, n)
+        often = n >= least
+        levels = level_of(n[~often], 1.0)
+        bloom = LogBloom(1 << max(10, int(np.ceil(np.log2(16.0 * max(1, int(levels.sum())))))))
+        bloom.add(keys[~often], levels)
+        held = pickle.dumps((bloom.bits, bloom.top, bloom.table), 5)
+        for at in range(0, len(held), 256 * PIECE):
+            data = [held[k : k + PIECE] for k in range(at, min(at + 256 * PIECE, len(held)), PIECE)]
+            none = pa.nulls(len(data), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(data), pa.int64()), pa.array([at + k * PIECE for k in range(len(data))], pa.int64()), pa.array(data, pa.binary()), none, none], schema=schema)
+        size = int(often.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([shard] * size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), pa.array(keys[often].view(np.int64)), pa.array(n[often])], schema=schema)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, keys, n, size = None, [], [], 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                ids = ids_of(tokens_of(t), index)
-                both = (ids[:-1] >= 0) & (ids[1:] >= 0)
-                keys.append((ids[:-1][both] << 32) | ids[1:][both])
+            for s, k, c in zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True):
+                if s != shard and keys:
+                    yield from rows(shard, keys, n)
+                    keys, n, size = [], [], 0
+                shard = s
+                keys.append(np.frombuffer(k, np.uint64))
+                n.append(np.frombuffer(c, np.int32))
                 size += len(keys[-1])
-                if size > 8 * COMBINE:
-                    yield packed(keys)
-                    keys, size = [], 0
-        if size:
-            yield packed(keys)
+                if size > 2 * PER_SHARD:
+                    a, b = summed(keys, n)
+                    keys, n, size = [a], [b], 0
+        if keys:
+            yield from rows(shard, keys, n)
 
-    return df.select(text).mapInArrow(combine, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return counts.repartition("shard").sortWithinPartitions("shard").mapInArrow(build, "shard bigint, at bigint, data binary, key bigint, n bigint")
+
+
+def probed(filters: DataFrame, probes: DataFrame) -> DataFrame:
+    """(block, at, levels) for probes (block, at, shard, keys): a shard's filter comes first, then its probes, row by row."""
+    both = filters.filter(F.col("data").isNotNull()).select("shard", F.lit(-1).cast("bigint").alias("block"), "at", "data")
+    both = both.unionByName(probes.select("shard", "block", "at", F.col("keys").alias("data")))
+    schema = pa.schema([("block", pa.int64()), ("at", pa.int64()), ("levels", pa.binary())])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, pieces, bloom = None, [], None
+        for batch in batches:
+            out, asked = [], []
+            shards, blocks, ats, datas = (batch.column(x).to_pylist() for x in range(4))
+
+            def settle(out: list, asked: list, bloom) -> None:
+                if asked:
+                    levels = bloom.levels(np.concatenate([k for *_, k in asked])).astype(np.uint8) if bloom else np.zeros(sum(len(k) for *_, k in asked), np.uint8)
+                    at = 0
+                    for block, place, k in asked:
+                        out.append((block, place, levels[at : at + len(k)].tobytes()))
+                        at += len(k)
+
+            for s, block, at, data in zip(shards, blocks, ats, datas, strict=True):
+                if s != shard:
+                    settle(out, asked, bloom)
+                    shard, pieces, bloom, asked = s, [], None, []
+                if block < 0:
+                    pieces.append(data)
+                    continue
+                if pieces:
+                    bits, top, table = pickle.loads(b"".join(pieces))
+                    bloom, pieces = LogBloom(8), []
+                    bloom.bits, bloom.top, bloom.table = bits, top, table
+                asked.append((block, at, np.frombuffer(data, np.uint64)))
+            settle(out, asked, bloom)
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], schema=schema)
+
+    return both.repartition("shard").sortWithinPartitions("shard", "block", "at").mapInArrow(answer, "block bigint, at bigint, levels binary")
 
 
 class Model:
-    """What scoring needs: frequent tokens with their exact counts (for the base), and the filter."""
+    """What is broadcast: tokens that take the fast way with their exact counts (for the base), and the filter of frequent n-grams."""
 
-    def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, bigrams: np.ndarray, bigram_n: np.ndarray):
+    def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, shards: int, mass: float, keys: np.ndarray, n: np.ndarray):
         self.index = {w: k for k, w in enumerate(words)}
         self.counts = np.array(counts, np.int64)
-        self.total, self.distinct = total, distinct
-        self.least = {1: max(1.0, total * UNIGRAM_SHARE), 2: max(1.0, total * BIGRAM_SHARE)}
+        self.total, self.distinct, self.shards = total, distinct, shards
+        self.scale = total / mass if mass else 1.0
+        self.first_level = int(np.log2(frequent_from(total)))
         self.bloom = LogBloom()
-        if len(words):
-            self.bloom.add(self.unigram_key(np.arange(len(words))), level_of(self.counts, self.least[1]))
-        if len(bigrams):
-            self.bloom.add(self.bigram_key(bigrams), level_of(bigram_n, self.least[2]))
-        self.log_base = np.log10((self.counts + 1.0) / (total + distinct + 1.0)) if len(words) else np.zeros(0)
-        rare_mass = max(total - self.counts.sum(), 0) + 1.0
-        found = count_of(self.bloom.levels(self.unigram_key(np.arange(len(words)))), self.least[1])
-        scale = max(total - rare_mass + 1.0, 1.0) / found.sum() if len(words) else 1.0
-        self.single = np.append(found * scale / (total + 1.0), rare_mass / (total + 1.0) / (distinct - len(words) + 1.0))
-        self.history = np.append(found * scale, 0.0)
-        joint = count_of(self.bloom.levels(self.bigram_key(bigrams)), self.least[2])
-        first = (bigrams >> 32).astype(np.int64)
-        self.kept = np.minimum(np.bincount(first, joint / np.maximum(self.history[first], 1.0), minlength=len(words) + 1), 1.0)
-
-    @staticmethod
-    def unigram_key(ids: np.ndarray) -> np.ndarray:
-        return ids.astype(np.uint64) | np.uint64(1 << 63)
-
-    @staticmethod
-    def bigram_key(keys: np.ndarray) -> np.ndarray:
-        return keys.astype(np.uint64)
-
-    def log_probability(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 P of each token given the one before it in the same text; ids are -1 for tokens that are not frequent."""
-        p = self.single[ids]
-        before = np.append(-1, ids[:-1])
-        before[starts] = -1
-        pair = np.flatnonzero((before >= 0) & (ids >= 0))
-        known = np.flatnonzero(before >= 0)
-        p = p.copy()
-        p[known] *= 1 - LAMBDA * self.kept[before[known]]
-        keys, back = np.unique((before[pair] << 32) | ids[pair], return_inverse=True)
-        joint = count_of(self.bloom.levels(self.bigram_key(keys)), self.least[2])[back]
-        p[pair] += LAMBDA * np.minimum(joint / np.maximum(self.history[before[pair]], 1.0), 1.0)
-        return np.log10(p)
-
-
-def fit_lm(train: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
-    """The model of the training texts, and the table of their exact token counts in the shared folder.
+        self.bloom.add(keys.view(np.uint64), level_of(n, 2.0**self.first_level))
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels of frequent bigrams, 0 for all others."""
+        found = self.bloom.levels(keys)
+        return np.where(found > 0, found + self.first_level, 0)
+
+
+def frequent_from(total: int) -> float:
+    """The count from which a bigram takes the fast way: a power of 2, so that both ways quantise alike."""
+    return max(2.0, 2.0 ** np.floor(np.log2(max(1.0, total * BIGRAM_SHARE))))
+
+
+def fit_lm(train: DataFrame, text: str = "text") -> tuple[Model, DataFrame, DataFrame]:
+    """The model of the training texts, and in the shared folder their exact token counts and the filters of the shards.
 
     An empty training table gives counts of nothing: N = 0 and V = 0.
     """
     counts = materialize(token_counts(train, text), "tokens")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    low = F.pow(F.lit(2.0), F.length(F.bin("n")) - 1)
+    total, distinct, mass = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.sqrt(low * (2 * low - 1))), F.lit(0.0))).first()
     frequent = counts.filter(F.col("n") >= max(1.0, total * UNIGRAM_SHARE)).orderBy(F.desc("n"), "token").limit(int(1 / UNIGRAM_SHARE)).collect()
-    words, n = [bytes(r["token"]) for r in frequent], [r["n"] for r in frequent]
-    sent = train.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words)})
-    pairs = bigram_counts(train, sent, text).filter(F.col("n") >= max(2.0, total * BIGRAM_SHARE))
-    table = pairs.toArrow()
-    keys, pair_n = table.column("key").to_numpy(), table.column("n").to_numpy()
-    return Model(words, n, total, distinct, keys, pair_n), counts
-
-
-def scored_block(model: Model, block: list[list[bytes]]) -> pa.StructArray:
-    """Scores of some texts, and of each the tokens that are not frequent with their counts. Arrow holds what is returned."""
-    sizes = np.array([len(words) for words in block], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(block) else np.zeros(0, np.int64)
-    flat = ids_of([w for words in block for w in words], model.index)
-    if len(block):
-        logs = np.add.reduceat(model.log_probability(flat, starts), starts)
-        bases = np.add.reduceat(np.where(flat >= 0, model.log_base[flat] if len(model.log_base) else 0.0, 0.0), starts)
-        known = np.add.reduceat((flat >= 0).astype(np.int64), starts)
-    else:
-        logs = bases = np.zeros(0)
-        known = np.zeros(0, np.int64)
-    tokens, counts, offsets = [], [], [0]
-    for start, words in zip(starts, block, strict=True):
-        own = flat[start : start + len(words)]
-        rare = Counter(words[i] for i in np.flatnonzero(own < 0))
-        tokens += rare.keys()
-        counts += rare.values()
-        offsets.append(len(tokens))
-    entries = pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(counts, pa.int32())], ["token", "tf"])
-    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
-    return pa.StructArray.from_arrays([pa.array(sizes), pa.array(known), pa.array(bases), pa.array(logs), lists], ["n_tokens", "known", "base", "score", "rare"])
-
-
-def score_texts(df: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    shards = max(1, -(-total // PER_SHARD))
+    filters = materialize(shard_filters(bigram_counts(train, shards, text), frequent_from(total)), "filters")
+    table = filters.filter(F.col("key").isNotNull()).select("key", "n").toArrow()
+    model = Model([bytes(r["token"]) for r in frequent], [r["n"] for r in frequent], total, distinct, shards, mass, table.column("key").to_numpy(), table.column("n").to_numpy())
+    return model, counts, filters
+
+
+def scored_block(model: Model, held: tuple, counts: np.ndarray, answers: np.ndarray) -> list[np.ndarray]:
+    """n_tokens, n_known, base and score of each text of a block from the counts of its other tokens and the levels of its probes."""
+    sizes, u, end, own, levels, shard = held
+    u, levels = u.astype(np.int64), levels.astype(np.int64)
+    levels[np.flatnonzero(levels == 0)[np.argsort(shard, kind="stable")]] = answers
+    n = np.zeros(len(own), np.int64)
+    n[own >= 0] = model.counts[own[own >= 0]]
+    n[own < 0] = counts
+    seen = np.where(n > 0, count_of(level_of(n, 1.0), 1.0), 0.0)
+    single = np.where(n > 0, seen * model.scale, 1.0) / (model.total + 1.0)
+    p = single[u]
+    pairs = pairs_of(u, end)
+    after = np.flatnonzero((pairs >= 0) & (n[u[:-1]] > 0)) if len(pairs) else np.zeros(0, np.int64)
+    _, back = np.unique(pairs[pairs >= 0], return_inverse=True)
+    joint = np.zeros(len(pairs))
+    joint[pairs >= 0] = count_of(levels, 1.0)[back]
+    p[after + 1] = (1 - LAMBDA) * p[after + 1] + LAMBDA * np.minimum(joint[after] / seen[u[after]], 1.0)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    base = np.log10((n + 1.0) / (model.total + model.distinct + 1.0))
+    return [sizes, np.add.reduceat((n > 0).astype(np.int64)[u], starts), np.add.reduceat(base[u], starts), np.add.reduceat(np.log10(p), starts)]
+
+
+def score_texts(df: DataFrame, model: Model, counts: DataFrame, filters: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score and score for each row, with doc_id and ``keep``.
 
     A null text is empty: one end. Repeated rows keep a row each, null ids too. Tasks write
-    a row for each text and, beside it, its rare tokens with their counts; a text is told by
-    the partition and place that it had when written, which a reread does not change.
+    the blocks with what they ask for; a block is told by the task and place that it had when
+    written, which a reread does not change. What comes back meets the block under its number.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
+    narrow = df.select(F.struct(F.col(doc_id).alias("doc_id"), *map(F.col, keep)).alias("doc"), F.col(text).alias("text"))
+    doc = narrow.schema["doc"].dataType
+    row = T.StructType().add("block", "long").add("kind", "integer").add("at", "long").add("shard", "long").add("token", "binary").add("keys", "binary").add("body", "binary").add("docs", T.ArrayType(doc))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, first = sent.value, TaskContext.get().partitionId() << 32
+
+        def some(block: int, kind: int, at: list, size: int, **held) -> pa.RecordBatch:
+            long = lambda v: pa.array(v, pa.int64())
+            none = pa.nulls(size, pa.binary())
+            docs = held["docs"] if "docs" in held else pa.nulls(size, docs_type)
+            shard = long(held["shard"]) if "shard" in held else pa.nulls(size, pa.int64())
+            columns = [long([block] * size), pa.array([kind] * size, pa.int32()), long(at), shard, *[pa.array(held[c], pa.binary()) if c in held else none for c in ("token", "keys", "body")], docs]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "kind", "at", "shard", "token", "keys", "body", "docs"])
+
+        for number, (block, parts) in enumerate(blocks_of(batches)):
+            docs = pa.concat_arrays(parts)
+            docs = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
+            docs_type = docs.type
+            own = np.fromiter((model.index.get(w, -1) for w in block.words), np.int64, len(block.words))
+            pairs = np.unique(block.pairs[block.pairs >= 0])
+            keys = block.keys(pairs)
+            levels = model.levels(keys).astype(np.uint8)
+            keys = keys[levels == 0]
+            shard = shard_of(keys, model.shards)
+            order = np.argsort(shard, kind="stable")
+            small = np.uint16 if len(own) < 1 << 16 else np.int32
+            end = int(block.u[-1])
+            body = pickle.dumps((block.sizes.astype(np.int32), block.u.astype(small), end, own.astype(np.int32), levels, shard.astype(np.uint16 if model.shards < 1 << 16 else np.int64)), 5)
+            yield some(first + number, 0, [0], 1, docs=docs)
+            at = range(0, len(body), PIECE)
+            yield some(first + number, 1, list(at), len(at), body=[body[k : k + PIECE] for k in at])
+            rare = [block.words[k] for k in np.flatnonzero(own < 0)]
+            yield some(first + number, 2, list(range(len(rare))), len(rare), token=rare)
+            keys, shard = keys[order], shard[order]
+            cuts = list(runs_of(shard)) if len(shard) else []
+            yield some(first + number, 3, [int(a) for a, _ in cuts], len(cuts), shard=[int(shard[a]) for a, _ in cuts], keys=[keys[a:b].tobytes() for a, b in cuts])
+
+    blocks = materialize(narrow.mapInArrow(asked, row), "blocks")
+    found = blocks.filter("kind = 2").select("block", "at", "token").join(counts, "token", "left")
+    levels = probed(filters, blocks.filter("kind = 3").select("block", "at", "shard", "keys"))
+    none = F.lit(None)
+    parts = blocks.filter("kind < 2").select("block", "kind", "at", none.cast("bigint").alias("n"), "body", "docs")
+    parts = parts.union(found.select("block", F.lit(2), "at", F.coalesce("n", F.lit(0)), none, none)).union(levels.select("block", F.lit(3), "at", none, "levels", none))
+    done = T.StructType().add("doc", doc).add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, now, docs, body, n, levels = sent.value, None, None, [], [], []
+
+        def closed() -> pa.RecordBatch:
+            answers = np.frombuffer(b"".join(levels), np.uint8)
+            out = scored_block(model, pickle.loads(b"".join(body)), np.concatenate([*n, np.zeros(0, np.int64)]), answers)
+            return pa.RecordBatch.from_arrays([docs, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2]), pa.array(out[3])], names=["doc", "n_tokens", "n_known", "base_score", "score"])
 
-    @F.arrow_udf("struct<n_tokens:bigint,known:bigint,base:double,score:double,rare:array<struct<token:binary,tf:int>>>")
-    def run(texts: pa.Array) -> pa.Array:
-        model = sent.value
-        parts, block, size = [], [], 0
-        for t in texts.to_pylist():
-            block.append(tokens_of(t))
-            size += len(block[-1])
-            if size > BLOCK:
-                parts.append(scored_block(model, block))
-                block, size = [], 0
-        if block or not parts:
-            parts.append(scored_block(model, block))
-        return pa.concat_arrays(parts)
-
-    ids = [F.col(doc_id).alias("doc_id"), *map(F.col, keep)]
-    scored = materialize(df.select(*ids, run(F.col(text)).alias("s")).select("doc_id", *keep, "s.*", F.monotonically_increasing_id().alias("_row")), "scores")
-    rare = scored.select("_row", F.explode("rare").alias("r")).select("_row", "r.token", "r.tf")
-    found = rare.join(counts, "token", "left").select("_row", "tf", F.coalesce("n", F.lit(0)).alias("n"))
-    over = float(model.total + model.distinct + 1)
-    sums = found.groupBy("_row").agg(F.sum(F.col("tf") * F.log10((F.col("n") + 1) / F.lit(over))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("more_known"))
-    return scored.drop("rare").join(sums, "_row", "left").select(
-        "doc_id",
-        *keep,
-        "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("bigint").alias("n_known"),
-        F.lit(model.total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+        for batch in batches:
+            block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.diff(block * 4 + kind, prepend=-1, append=-1))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if block[a] != now:
+                    if now is not None:
+                        yield closed()
+                    now, docs, body, n, levels = block[a], None, [], [], []
+                if kind[a] == 0:
+                    docs = batch.column(5).slice(a, 1).flatten()
+                elif kind[a] == 2:
+                    n.append(batch.column(3).slice(a, b - a).to_numpy())
+                else:
+                    (body if kind[a] == 1 else levels).extend(batch.column(4).slice(a, b - a).to_pylist())
+        if now is not None:
+            yield closed()
+
+    scored = parts.repartition("block").sortWithinPartitions("block", "kind", "at").mapInArrow(finish, done)
+    return scored.select("doc.*", "n_tokens", "n_known", F.lit(model.total).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id"), 7, 2))
-    model, counts = fit_lm(docs.filter(~F.col("held_out")))
-    return score_texts(docs, model, counts, keep=("held_out",))
+    model, counts, filters = fit_lm(docs.filter(~F.col("held_out")))
+    return score_texts(docs, model, counts, filters, keep=("held_out",))

@@ -163,3 +163,36 @@ def test_toxicity_learns_its_words_and_scores_awkward_rows(spark, tmp_path):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
     none = toxicity.ToxicityModel.fit([])
     assert toxicity.score_toxicity(with_clashes(docs(spark)), none).where("predicted = 1").count() == 0
+
+
+def test_lm_counts_every_ngram_at_any_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lm, "PER_SHARD", 60_000)
+    rng = random.Random(9)
+    common = [f"c{k}" for k in range(300)]
+    texts = []
+    for k in range(1500):
+        words = [rng.choice(common) for _ in range(200)]
+        words[50:50] = [f"r{k // 2}", f"s{k // 2}", "c7"]  # seen twice or less: below any share of 300,000 tokens
+        texts.append(" ".join(words))
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)] + awkward(5)
+    d = save(spark, tmp_path, documents=docs(spark, rows))
+    words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\n"]
+    train = [words(t) for i, t, *_ in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    one, two = Counter(w for ws in train for w in ws), Counter(p for ws in train for p in zip(ws, ws[1:], strict=False))
+    near = lambda c: math.sqrt(2 ** (c.bit_length() - 1) * (2 ** c.bit_length() - 1)) if c else 0.0
+    total, mass = sum(one.values()), sum(map(near, one.values()))
+
+    def score(ws):
+        out = 0.0
+        for k, w in enumerate(ws):
+            p = (near(one[w]) * total / mass if one[w] else 1.0) / (total + 1)
+            if k and one[ws[k - 1]]:
+                p = 0.2 * p + 0.8 * min(near(two[ws[k - 1], w]) / near(one[ws[k - 1]]), 1.0)
+            out += math.log10(p)
+        return out
+
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm.op7_lm_score(spark, d).collect())
+    want = sorted((str(i), len(words(t)), score(words(t))) for i, t, *_ in rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    off = [abs(g[2] - w[2]) for g, w in zip(got, want, strict=True)]
+    assert sum(x < 1e-6 for x in off) >= 0.8 * len(off) and max(off) < 2.0  # the rest: false positives of the filters

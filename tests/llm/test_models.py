@@ -196,3 +196,16 @@ def test_lm_counts_every_ngram_at_any_size(spark, tmp_path, monkeypatch):
     assert [g[:2] for g in got] == [w[:2] for w in want]
     off = [abs(g[2] - w[2]) for g, w in zip(got, want, strict=True)]
     assert sum(x < 1e-6 for x in off) >= 0.8 * len(off) and max(off) < 2.0  # the rest: false positives of the filters
+
+
+def test_secret_candidates_are_read_whole(spark):
+    key = "aB3dE5fG7hJ9kL2mN4pQ6rS8tU1vW3xY5z"
+    path = "articles/about/the/weather/in/the/mountains/and/the/valleys/"
+    hexed = "0f" * 12
+    texts = [f"see www.news.org/{path}{key} end", f"see www.news.org/{path}today/index end", f"x {key}_{hexed}-{key} y", "the key qWnRtZpLkJhGfDsAyXcVbNmQwErTzUiO here", "eine Donaudampfschifffahrtsgesellschaft dort"]
+    model = secrets.fit_secrets(None)
+    out = secrets.scan_secrets(spark.createDataFrame([(t,) for t in texts], "text string"), model).withColumn("r", secrets.redact(F.col("text"), F.col("secrets"))).collect()
+    assert key not in out[0].r and out[1].r == texts[1]
+    assert key[:12] not in out[2].r and key[-12:] not in out[2].r and [s.kind for s in out[2].secrets] == ["model", "hex", "model"]
+    assert "[REDACTED:model]" in out[3].r and out[4].r == texts[4]
+    assert secrets.candidates(texts[2], [(2 + len(key) + 1, 2 + len(key) + 25, "hex")]) == [(2, 37), (61, 96)]

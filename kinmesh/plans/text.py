@@ -86,11 +86,10 @@ def text_features(spark, sf_dir):
 
 
 def submission_features(spark, sf_dir):
-    """Feature maps of every source: counts added, ratios averaged, binaries any."""
+    """Feature maps of every source, all features: counts added, ratios averaged, binaries any."""
     from kinmesh.operators.model import aggregate_features
 
-    long = T.file_features(files(spark, sf_dir)).filter(~F.col("feature").rlike("^(expr_ngram|line_skeleton):"))
-    return aggregate_features(long).select("space", "sid", "feature", F.round("value", 4).alias("value"))
+    return aggregate_features(T.file_features(files(spark, sf_dir))).select("space", "sid", "feature", F.round("value", 4).alias("value"))
 
 
 _F = "f AS (SELECT doc_id AS file_id, source AS sid, coalesce(text, '') AS text FROM documents)"

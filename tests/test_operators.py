@@ -182,3 +182,22 @@ def test_cache_states_and_unique_ids(spark):
     assert R.cache_missing(asked, cache).count() == 1
     ids = R.unique_ids(spark.createDataFrame([("x", 1), ("x", 2), ("y", 1)], "c string, o int"), "c", "o")
     assert sorted(r.submission_id for r in ids.collect()) == ["x", "x_2", "y"]
+
+
+def test_submission_features_hold_every_feature_of_every_file(spark, tmp_path):
+    from kinmesh.plans import text as P
+
+    rows = [(1, "return x + y ;\nreturn x + y ;\n", "a"), (2, "return u + v ;\nint k = 2 ;\n", "a"), (3, "import java.util.List;\nwhile (a) { b(); }\n", "b"), (4, None, "b")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    files = T.file_features(P.files(spark, str(tmp_path))).withColumn("kind", FF.feature_kind(F.col("feature"))).collect()
+    held, names = {}, {}
+    for r in files:
+        held.setdefault((r.space, r.sid, r.feature, r.kind), []).append(r.value)
+        names.setdefault((r.space, r.sid), set()).add(r.file_id)
+    brute = {"binary": lambda v: float(max(v) > 0), "ratio": lambda v: sum(v) / len(v)}
+    want = {k[:3]: round(brute.get(k[3], sum)(v), 4) for k, v in held.items()} | {(*k, "file_count"): float(len(v)) for k, v in names.items()}
+    got = {(r.space, r.sid, r.feature): r.value for r in P.submission_features(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-4 for k in want)
+    skeletons = {k[2]: v for k, v in got.items() if k[1] == "a" and k[2].startswith("line_skeleton:return")}
+    assert list(skeletons.values()) == [3.0]  # two lines of one file and one of another
+    assert any(k[2].startswith("expr_ngram:3:") for k in got)

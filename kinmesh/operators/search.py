@@ -1,4 +1,4 @@
-"""Exact top-k search of stated queries against all rows, block by block."""
+"""Exact search of stated queries against all rows, block by block: the best k or every product."""
 
 from __future__ import annotations
 
@@ -10,14 +10,8 @@ from pyspark.sql import functions as F
 QUERY_BLOCK, ROW_BLOCK = 256, 2048
 
 
-def block_topk(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id", vector: str = "v") -> DataFrame:
-    """(id, neighbor, rank, similarity): the k rows of largest dot product for each query, itself left out.
-
-    Queries and rows are dealt into blocks by hash; each pair of blocks is one matrix product
-    in a task that returns its k best rows for each query, so that what is ranked at the end
-    is k rows for each query and row block and not all pairs. Ties go to the smaller id. The
-    vectors must have one size; unit vectors make it a cosine. Rows without a vector are left out.
-    """
+def block_pairs(queries: DataFrame, rows: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """(q_ids, q_v, r_ids, r_v): each block of queries with each block of rows; vectors are laid end to end."""
     rows = rows.filter(F.col(vector).isNotNull())
     queries = queries.filter(F.col(vector).isNotNull())
     n_rows, n_queries = rows.count(), queries.count()
@@ -30,6 +24,37 @@ def block_topk(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id",
 
     q = blocked(queries, query_blocks, "q")
     r = blocked(rows, row_blocks, "r").withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(query_blocks - 1).cast("bigint"))))
+    return r.join(q, "q").select("q_ids", "q_v", "r_ids", "r_v")
+
+
+def block_products(queries: DataFrame, rows: DataFrame, id_col: str = "id", vector: str = "v") -> DataFrame:
+    """(id, neighbor, similarity): the dot product of each query with each row but itself, one matrix product a pair of blocks.
+
+    Vectors as in :func:`block_topk`. There are as many rows as pairs; they leave a task block by block.
+    """
+
+    def products(batches):
+        for batch in batches:
+            for q_ids, q_v, r_ids, r_v in zip(*batch.columns, strict=True):
+                ids, others = (x.values.to_numpy(zero_copy_only=False) for x in (q_ids, r_ids))
+                a, b = (v.values.to_numpy(zero_copy_only=False).reshape(n, -1) for v, n in ((q_v, len(ids)), (r_v, len(others))))
+                s, own = (a @ b.T).ravel(), np.repeat(ids, len(others))
+                near = np.tile(others, len(ids))
+                keep = own != near
+                yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(near[keep]), pa.array(s[keep])], names=["id", "neighbor", "similarity"])
+
+    return block_pairs(queries, rows, id_col, vector).mapInArrow(products, "id bigint, neighbor bigint, similarity double")
+
+
+def block_topk(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id", vector: str = "v") -> DataFrame:
+    """(id, neighbor, rank, similarity): the k rows of largest dot product for each query, itself left out.
+
+    Queries and rows are dealt into blocks by hash; each pair of blocks is one matrix product
+    in a task that returns its k best rows for each query, so that what is ranked at the end
+    is k rows for each query and row block and not all pairs. Ties go to the smaller id. The
+    vectors must have one size; unit vectors make it a cosine. Rows without a vector are left out.
+    """
+    met = block_pairs(queries, rows, id_col, vector)
 
     @F.arrow_udf("array<struct<id:bigint,neighbor:bigint,similarity:double>>")
     def best(q_ids: pa.Array, q_v: pa.Array, r_ids: pa.Array, r_v: pa.Array) -> pa.Array:
@@ -49,6 +74,6 @@ def block_topk(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id",
             out.append(found)
         return pa.array(out, pa.list_(pa.struct([("id", pa.int64()), ("neighbor", pa.int64()), ("similarity", pa.float64())])))
 
-    met = r.join(q, "q").select(F.explode(best("q_ids", "q_v", "r_ids", "r_v")).alias("b")).select("b.*")
+    met = met.select(F.explode(best("q_ids", "q_v", "r_ids", "r_v")).alias("b")).select("b.*")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbor"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "neighbor", "rank", "similarity")

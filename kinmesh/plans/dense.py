@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinmesh.functions.vectors import cosine, normalized
 from kinmesh.operators import cohorts as H
-from kinmesh.operators.search import block_topk
+from kinmesh.operators.search import block_products, block_topk
 from kinmesh.session import materialize, read_table
 
 
@@ -36,7 +36,7 @@ def dense_topk_neighbors(spark, sf_dir):
 
 
 def dense_pair_cosine(spark, sf_dir):
-    """Cosines between the label centroids and every row of ids divisible by 50: pairs of a fixed number of representatives."""
+    """Cosines between the label centroids and the rows of ids divisible by 50, as its SQL states; pairs of vectors are in dense_vector_pairs."""
     df = vectors(spark, sf_dir)
     c = H.centroids(df, "label").select(F.col("label").alias("other"), normalized(F.col("centroid")).alias("u"))
     table = c.agg(F.sort_array(F.collect_list(F.struct("other", "u"))).alias("cs"))  # one row: a centroid a label
@@ -44,6 +44,13 @@ def dense_pair_cosine(spark, sf_dir):
     return rows.select("vec_id", "label", F.explode("cs").alias("c"), "v").select("vec_id", "label", F.col("c.other").alias("other"), F.round(F.greatest(F.lit(0.0), cosine(F.col("v"), F.col("c.u"))), 5).alias("similarity"))
 
 
+def dense_vector_pairs(spark, sf_dir):
+    """The cosine, 0 at least, of every row whose id is divisible by 50 with every other row. A search: all of its pairs are returned."""
+    df = vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), normalized(F.col("v")).alias("v"))
+    out = block_products(df.filter(F.col("id") % 50 == 0), df)
+    return out.select("id", "neighbor", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "similarity")), 5).alias("similarity"))
+
+
 def cohort_centroid_similarity(spark, sf_dir):
     return H.year_similarity(points(spark, sf_dir)).select("lab", "year_a", "year_b", F.round("similarity", 5).alias("similarity"))
 
@@ -128,4 +135,4 @@ SQL = {
   SELECT lab, id, CASE WHEN cluster < 0 THEN near ELSE cluster END AS cluster FROM b WHERE rn = 1""",
     "year_cluster_cube": f"WITH {_POINTS} SELECT lab, year, cluster, (grouping(lab) * 4 + grouping(year) * 2 + grouping(cluster))::BIGINT AS level, count(*) AS n FROM pt GROUP BY CUBE (lab, year, cluster)",
 }
-QUERIES = {name: globals()[name] for name in SQL}
+QUERIES = {name: globals()[name] for name in SQL} | {"dense_vector_pairs": dense_vector_pairs}

@@ -201,3 +201,25 @@ def test_submission_features_hold_every_feature_of_every_file(spark, tmp_path):
     skeletons = {k[2]: v for k, v in got.items() if k[1] == "a" and k[2].startswith("line_skeleton:return")}
     assert list(skeletons.values()) == [3.0]  # two lines of one file and one of another
     assert any(k[2].startswith("expr_ngram:3:") for k in got)
+
+
+def test_vector_pairs_are_all_cosines_of_the_queries(spark, tmp_path):
+    from kinmesh.plans import dense as P
+
+    rng = random.Random(3)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(8)], k % 3) for k in range(120)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    held = {r.vec_id: r.embedding for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = {(q, k): max(0.0, dot(held[q], v) / (dot(held[q], held[q]) * dot(v, v)) ** 0.5) for q in (0, 50, 100) for k, v in held.items() if k != q}
+    got = P.dense_vector_pairs(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and all(abs(want[r.id, r.neighbor] - r.similarity) < 2e-5 for r in got)
+
+
+def test_cache_text_counters_hit_equal_texts_only(spark, tmp_path):
+    from kinmesh.plans import runs as P
+
+    rows = [(12, "one", "s", 3), (2, "one", "s", 3), (4, "two", "s", 3), (18, "six", "s", 3), (8, "six", "s", 3), (10, None, "s", 3)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    (r,) = P.cache_text_counters(spark, str(tmp_path)).collect()
+    assert (r.model, r.requests, r.hits, r.misses, r.stale) == ("m0", 6, 2, 2, 2)

@@ -6,7 +6,10 @@ Nothing here touches Spark; the operators run these helpers inside tasks.
 from __future__ import annotations
 
 import base64
+import gc
+import heapq
 import json
+import re
 from collections.abc import Callable, Iterable
 
 import regex
@@ -27,21 +30,66 @@ def load_ranks(blob: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in (line.split() for line in blob.splitlines() if line)}
 
 
+def piece_finder() -> Callable[[str], list[str]]:
+    """A function that returns the matches of PATTERN in a text.
+
+    Texts without characters beyond the basic plane go through the standard library's faster
+    engine, with the classes of PATTERN written out as ranges; all others through ``regex``.
+    """
+    plane = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+
+    def ranges(kind: str) -> str:
+        runs = (m[0] for m in regex.finditer(kind + "+", plane))
+        return "".join(re.escape(r[0]) + ("-" + re.escape(r[-1]) if len(r) > 1 else "") for r in runs)
+
+    letter, number, space = map(ranges, (r"\p{L}", r"\p{N}", r"\s"))
+    words = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+"
+    fast, whole = re.compile(rf"{words}| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall, regex.compile(PATTERN).findall
+    return lambda text: fast(text) if text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else whole(text)
+
+
+class Deferred:
+    """Sent in place of an object that each worker builds from ``args`` when it first asks for it.
+
+    A worker keeps a broadcast's value while its tasks use it and drops it with the first
+    task that does not, so what it has built goes with it.
+    """
+
+    def __init__(self, kind: Callable, *args):
+        self.kind, self.args = kind, args
+
+    def __reduce__(self):
+        return built, (self.kind, self.args)
+
+
+def built(kind: Callable, args: tuple):
+    """Build, and take tables of many small objects out of the collector's view."""
+    made = kind(*args)
+    gc.freeze()
+    return made
+
+
 class Memo(dict):
     """A dictionary that computes what it misses and holds two generations of at most ``size`` entries.
 
     When the young generation is full it becomes the old one; what is still asked
-    for moves back, so frequent keys survive and memory stays bounded.
+    for moves back, so frequent keys survive. Keys longer than ``longest`` are computed each
+    time, so memory is bounded in bytes. Subclasses define ``compute``.
     """
 
-    def __init__(self, compute: Callable, size: int):
+    def __init__(self, size: int, longest: int = 48):
         super().__init__()
-        self.compute, self.size, self.old = compute, size, {}
+        self.size, self.longest, self.old = size, longest, {}
+
+    def compute(self, key):
+        raise NotImplementedError
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
+            if len(key) > self.longest:
+                return value
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
@@ -49,9 +97,15 @@ class Memo(dict):
         return value
 
 
-def merge(parts: list, rank: Callable) -> list:
-    """Greedy BPE: join the adjacent pair of lowest rank, leftmost first, until none has a rank."""
-    while len(parts) > 1:
+def merge(parts: list, rank: Callable, least: int = 1) -> list:
+    """Greedy BPE: join the adjacent pair of lowest rank, leftmost first, until none has a rank or ``least`` parts are left.
+
+    Short rows are searched anew after each join; long ones keep their pairs in a heap over
+    linked neighbours, so that the cost is n log n.
+    """
+    if len(parts) > 64 and least == 1:
+        return merge_long(parts, rank)
+    while len(parts) > least:
         best, at = None, -1
         for k in range(len(parts) - 1):
             r = rank((parts[k], parts[k + 1]))
@@ -63,14 +117,57 @@ def merge(parts: list, rank: Callable) -> list:
     return parts
 
 
+def merge_long(parts: list, rank: Callable) -> list:
+    """:func:`merge` by a heap of (rank, place); an entry counts only while both its parts stand as they did."""
+    n = len(parts)
+    after, before, heap = [*range(1, n), -1], list(range(-1, n - 1)), []
+
+    def offer(k: int) -> None:
+        r = rank((parts[k], parts[after[k]]))
+        if r is not None:
+            heap.append((r, k, parts[k], parts[after[k]])) if building else heapq.heappush(heap, (r, k, parts[k], parts[after[k]]))
+
+    building = True
+    for k in range(n - 1):
+        offer(k)
+    building = False
+    heapq.heapify(heap)
+    while heap:
+        _, k, left, right = heapq.heappop(heap)
+        j = after[k]
+        if parts[k] is not left or j < 0 or parts[j] is not right:
+            continue
+        parts[k], parts[j] = left + right, None
+        after[k] = after[j]
+        if after[k] >= 0:
+            before[after[k]] = k
+            offer(k)
+        if before[k] >= 0:
+            offer(before[k])
+    return [x for x in parts if x is not None]
+
+
+class Sizes(Memo):
+    """Tokens of a pre-token: 1 for those proved whole, merged else."""
+
+    def __init__(self, ranks: dict, whole: set[bytes], size: int):
+        super().__init__(size)
+        self.ranks, self.whole = ranks, whole
+
+    def compute(self, piece: str) -> int:
+        data = piece.encode()
+        return 1 if data in self.whole else len(merge([data[i : i + 1] for i in range(len(data))], self.ranks.get))
+
+
 class MergeCounter:
     """Token counts under a merge list, with the whole-token shortcut.
 
     ``whole`` holds the vocabulary strings proved to encode alone as one token; a
-    pre-token among them counts as 1 with a set lookup. Only the others are merged.
+    pre-token among them counts as 1 with a set lookup. Only the others are merged. The proof
+    is made once, where the counter is made; workers get its outcome.
     """
 
-    def __init__(self, blob: bytes, cache: int = 400_000):
+    def __init__(self, blob: bytes, cache: int = 100_000):
         spec = json.loads(blob)
         model = spec["model"]
         kind = spec.get("pre_tokenizer") or {}
@@ -79,24 +176,27 @@ class MergeCounter:
         byte = byte_alphabet()
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         raw = lambda s: bytes(byte[c] for c in s)
-        self.ranks = {}
+        ranks: dict = {}
         for k, (a, b) in enumerate(pairs):
-            self.ranks.setdefault((raw(a), raw(b)), k)
-        self.special = [t["content"] for t in spec.get("added_tokens", []) if t["content"]]
-        self.find = regex.compile(PATTERN).findall
-        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))).split if self.special else None
-        self.whole = self.prove(raw(s) for s in model["vocab"] if all(c in byte for c in s))
-        self.sizes = Memo(self.size_of, cache)
-
-    def prove(self, tokens: Iterable[bytes]) -> set[bytes]:
+            ranks.setdefault((raw(a), raw(b)), k)
+        special = [t["content"] for t in spec.get("added_tokens", []) if t["content"]]
+        whole = self.prove((raw(s) for s in model["vocab"] if all(c in byte for c in s)), ranks)
+        self.state = ranks, whole, special, cache
+        self.__setstate__(self.state)
+
+    @staticmethod
+    def prove(tokens: Iterable[bytes], ranks: dict) -> set[bytes]:
         """Vocabulary strings that the merges alone build back into one token."""
-        return {t for t in tokens if len(merge([t[i : i + 1] for i in range(len(t))], self.ranks.get)) == 1}
+        return {t for t in tokens if len(merge([t[i : i + 1] for i in range(len(t))], ranks.get)) == 1}
 
-    def size_of(self, piece: str) -> int:
-        data = piece.encode()
-        if data in self.whole:
-            return 1
-        return len(merge([data[i : i + 1] for i in range(len(data))], self.ranks.get))
+    def __getstate__(self) -> tuple:
+        return self.state
+
+    def __setstate__(self, state: tuple) -> None:
+        self.state = ranks, self.whole, self.special, cache = state
+        self.find = piece_finder()
+        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))).split if self.special else None
+        self.sizes = Sizes(ranks, self.whole, cache)
 
     def count(self, text: str) -> int:
         if self.cut is not None and any(s in text for s in self.special):
@@ -123,9 +223,12 @@ class Transducer:
     token can continue and adds the one place after it. The tokens that all live places
     share are emitted; since a place lives no longer than the longest token, what is
     pending is bounded and so is the lookahead.
+
+    The table holds at most ``states`` determinised states. When it is full it is dropped
+    between two pieces and filled anew by what the next texts need.
     """
 
-    def __init__(self, ranks: dict[bytes, int], states: int = 60_000, pairs: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], states: int = 200_000):
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.prefixes = {}
@@ -133,21 +236,48 @@ class Transducer:
             for k in range(1, len(t)):
                 self.prefixes.setdefault(t[:k], t[:k])
         self.limit = states
-        self.fits = Memo(self.pair_fits, pairs)
+        #: The two tokens that the last join of a token put together; None for bytes and for strings that no joins make.
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        self.restart()
+
+    def restart(self) -> None:
         start = (((), None, b""),)
         self.states = [start]
         self.ids = {start: 0}
-        #: State times 256 plus byte to the next state, with the tokens emitted if there are any.
-        self.moves: dict[int, int | tuple[int, tuple[int, ...]]] = {}
-
-    def pair_fits(self, pair: int) -> int:
-        """Whether two tokens side by side, packed into one integer, encode as themselves."""
-        a, b = self.bytes_of[pair >> 32], self.bytes_of[pair & 0xFFFFFFFF]
-        return int(self.split_by_merging(a + b) == [a, b])
-
-    def split_by_merging(self, data: bytes) -> list[bytes]:
-        get = self.ranks.get
-        return merge([data[i : i + 1] for i in range(len(data))], lambda p: get(p[0] + p[1]))
+        #: State times 256 plus byte to the next state, or to ~k for ``told[k]``: the next state and the tokens emitted.
+        self.moves: dict[int, int] = {}
+        self.told: list[tuple[int, tuple[int, ...]]] = []
+
+    def halves_of(self, token: int) -> tuple[int, int] | None:
+        if token not in self.halves:
+            data, get = self.bytes_of[token], self.ranks.get
+            parts = merge([data[i : i + 1] for i in range(len(data))], lambda p: get(p[0] + p[1]), 2)
+            self.halves[token] = (get(parts[0]), get(parts[1])) if len(parts) == 2 else None
+        return self.halves[token]
+
+    def may_stand(self, token: int) -> bool:
+        """Whether the token's bytes alone encode as itself."""
+        return len(self.bytes_of[token]) == 1 or self.halves_of(token) is not None
+
+    def fit(self, a: int, b: int) -> bool:
+        """Whether two tokens side by side encode as themselves.
+
+        The joins that made them are undone from the last back to the first. While two parts
+        meet at the border, a join of both would have come before the next undone one if its
+        rank is lower; of equal ranks the left place joins first.
+        """
+        until = float("inf")
+        while True:
+            both = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
+            if both is not None and both < until:
+                return False
+            left, right = self.halves_of(a), self.halves_of(b)
+            if left is not None and (right is None or a > b):
+                until, a = a, left[1]
+            elif right is not None:
+                until, b = b + 1, right[0]
+            else:
+                return True
 
     def advance(self, state: tuple, byte: int) -> tuple[tuple[int, ...], tuple]:
         """(tokens emitted, next determinised state)."""
@@ -156,7 +286,7 @@ class Transducer:
         for out, last, read in state:
             read += add
             token = ranks.get(read)
-            if token is not None and end is None and (last is None or self.fits[last << 32 | token]):
+            if token is not None and end is None and self.may_stand(token) and (last is None or self.fit(last, token)):
                 end = ((*out, token), token, b"")
             shared = prefixes.get(read)
             if shared is not None:
@@ -173,39 +303,45 @@ class Transducer:
                 n -= 1
         return common[:n], tuple([(out[n:], last, read) for out, last, read in live]) if n else tuple(live)
 
-    def determinise(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
+    def determinise(self, state: int, byte: int) -> int:
         emitted, key = self.advance(self.states[state], byte)
         found = self.ids.get(key)
         if found is None:
             found = self.ids[key] = len(self.states)
             self.states.append(key)
-        move = self.moves[state << 8 | byte] = (found, emitted) if emitted else found
-        return move
+        if emitted:
+            self.told.append((found, emitted))
+            found = ~(len(self.told) - 1)
+        self.moves[state << 8 | byte] = found
+        return found
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        if len(self.states) >= self.limit:
+            self.restart()
         out: list[int] = []
         state, get = 0, self.moves.get
-        for k, byte in enumerate(piece):
+        for byte in piece:
             move = get(state << 8 | byte)
             if move is None:
-                if len(self.states) >= self.limit:
-                    return self.walk(out, self.states[state], piece[k:])
+                if len(self.states) >= self.limit + 4096:  # a piece that would fill the table alone is read without it
+                    return self.encode_alone(piece)
                 move = self.determinise(state, byte)
-            if type(move) is int:
-                state = move
-            else:
-                state, emitted = move
+            if move < 0:
+                move, emitted = self.told[~move]
                 out += emitted
+            state = move
         out += self.states[state][-1][0]
         return out
 
-    def walk(self, out: list[int], state: tuple, rest: bytes) -> list[int]:
-        """Go on from a state without keeping what it leads to: for rare endings once the table is full."""
-        for byte in rest:
+    def encode_alone(self, piece: bytes) -> list[int]:
+        """:meth:`encode` from state to state, none of which is kept."""
+        out: list[int] = []
+        state = (((), None, b""),)
+        for byte in piece:
             emitted, state = self.advance(state, byte)
             out += emitted
         out += state[-1][0]

@@ -10,17 +10,14 @@ Ids are packed as little-endian unsigned 32-bit integers, as training shards hol
 
 from __future__ import annotations
 
-import hashlib
 import struct
 
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmesh.llm.bpe import PATTERN, Memo, Transducer, Utf8Decoder, load_ranks
-from kinmesh.llm.workers import held
-from kinmesh.session import read_table
+from kinmesh.llm.bpe import Deferred, Memo, Transducer, Utf8Decoder, load_ranks, piece_finder
+from kinmesh.session import own_name, read_table
 
 #: Ids decoded at a time, and rows of a batch held as Python values at a time.
 CHUNK, SLICE = 4096, 256
@@ -39,18 +36,24 @@ class Decoder:
         return "".join(out)
 
 
-class Codec(Decoder):
-    def __init__(self, blob: bytes, cache: int = 200_000):
-        ranks = load_ranks(blob)
-        super().__init__(ranks)
-        self.transducer = Transducer(ranks)
-        self.find = regex.compile(PATTERN).findall
-        self.packed = Memo(self.pack, cache)
+class Packed(Memo):
+    """The packed ids of a piece."""
 
-    def pack(self, piece: str) -> bytes:
+    def __init__(self, transducer: Transducer, size: int):
+        super().__init__(size)
+        self.transducer = transducer
+
+    def compute(self, piece: str) -> bytes:
         ids = self.transducer.encode(piece.encode())
         return struct.pack(f"<{len(ids)}I", *ids)
 
+
+class Codec(Decoder):
+    def __init__(self, ranks: dict[bytes, int], cache: int = 120_000):
+        super().__init__(ranks)
+        self.find = piece_finder()
+        self.packed = Packed(Transducer(ranks), cache)
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.packed.__getitem__, self.find(text)))
 
@@ -68,23 +71,23 @@ def codec_columns(spark: SparkSession, ranks: str) -> tuple:
     of the text decoded from them, for one trip to the workers.
     """
     with open(ranks, "rb") as f:
-        blob = f.read()
-    key = "codec:" + hashlib.sha256(blob).hexdigest()
-    sent = spark.sparkContext.broadcast(blob)
+        held = load_ranks(f.read())
+    sent = spark.sparkContext.broadcast(Deferred(Codec, held))
+    plain = spark.sparkContext.broadcast(Deferred(Decoder, held))
 
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
-        codec = held(key, lambda: Codec(sent.value))
+        codec = sent.value
         return sliced(texts, lambda ts: pa.array([codec.encode(t) if t else b"" for t in ts], pa.binary()))
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        decoder = held("de" + key, lambda: Decoder(load_ranks(sent.value)))
+        decoder = plain.value
         return sliced(ids, lambda xs: pa.array([None if x is None else decoder.decode(x) for x in xs], pa.string()))
 
     @F.arrow_udf("struct<ids:binary,decoded:string>")
     def both(texts: pa.Array) -> pa.Array:
-        codec = held(key, lambda: Codec(sent.value))
+        codec = sent.value
 
         def run(ts: list) -> pa.Array:
             ids = [codec.encode(t) if t else b"" for t in ts]
@@ -106,8 +109,9 @@ def encode_documents(df: DataFrame, ranks: str, text: str = "text") -> DataFrame
     table stays empty. An id outside the ranks is an error, as it has no bytes.
     """
     _, _, both = codec_columns(df.sparkSession, ranks)
-    coded = df.withColumn("_coded", both(F.col(text)))
-    return coded.withColumns({"ids": F.col("_coded.ids"), "n_tokens": n_ids(F.col("_coded.ids")), "decoded": F.col("_coded.decoded")}).drop("_coded")
+    name = own_name(df, "coded")
+    coded = df.withColumn(name, both(F.col(text)))
+    return coded.withColumns({"ids": F.col(name)["ids"], "n_tokens": n_ids(F.col(name)["ids"]), "decoded": F.col(name)["decoded"]}).drop(name)
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

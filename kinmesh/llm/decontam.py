@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmesh.llm.bpe import Memo
-from kinmesh.session import materialize, read_table
+from kinmesh.session import materialize, own_name, read_table
 
 MIN_TILE = 5
 MIN_COVERAGE = 0.5
@@ -41,11 +41,15 @@ def token_hash(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
 
 
+class HashMemo(Memo):
+    compute = staticmethod(token_hash)
+
+
 class TokenHashes:
     """Hashes of a text's tokens, remembered for frequent tokens."""
 
-    def __init__(self, size: int = 300_000):
-        self.memo = Memo(token_hash, size)
+    def __init__(self, size: int = 50_000):
+        self.memo = HashMemo(size)
 
     def __call__(self, text: str | None) -> np.ndarray:
         tokens = find_tokens(text.lower()) if text else ()
@@ -197,7 +201,8 @@ def decontaminate(df: DataFrame, items: DataFrame, text: str = "text") -> DataFr
     """The rows of ``df`` whose text covers no benchmark item; all columns, null texts included."""
     _, verdicts = contaminated_texts(df.select(text), items, text, keep=())
     bad = materialize(verdicts.select("text_key").distinct(), "leaks")
-    return df.withColumn("_key", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(bad.withColumnRenamed("text_key", "_key"), "_key", "left_anti").drop("_key").select(df.columns)
+    name = own_name(df, "text_key")
+    return df.withColumn(name, F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(bad.select(F.col("text_key").alias(name)), name, "left_anti").select(df.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,11 +13,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmesh.llm.sampling import bounded_sample, held_out
-from kinmesh.session import read_table
+from kinmesh.session import own_name, read_table
 
 #: Families of closely related languages. A language not named is a family of its own.
 FAMILIES = {
@@ -168,17 +168,23 @@ def fit_languages(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text
     return LanguageModel.fit([(r["text"], r["lang"]) for r in bounded_sample(rows, "lang", PER_LANGUAGE, MOST_ROWS, "doc_id")])
 
 
-def identify_languages(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``df`` with lang_pred and score for each whole text; no shuffle. Existing columns of these names are replaced."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+def language_column(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
+    """A struct of lang and score for a text."""
+    sent = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def run(texts: pa.Array) -> pa.Array:
         found = [sent.value.predict(t) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
 
-    out = df.withColumn("_found", run(F.col(text)))
-    return out.withColumns({"lang_pred": F.col("_found.lang"), "score": F.col("_found.score")}).drop("_found")
+    return run(text)
+
+
+def identify_languages(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """``df`` with lang_pred and score for each whole text; no shuffle. Existing columns of these names are replaced."""
+    name = own_name(df, "found")
+    out = df.withColumn(name, language_column(df.sparkSession, model, F.col(text)))
+    return out.withColumns({"lang_pred": F.col(name)["lang"], "score": F.col(name)["score"]}).drop(name)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

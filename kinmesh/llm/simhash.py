@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmesh.operators.components import connected_components
-from kinmesh.session import materialize, read_table
+from kinmesh.session import materialize, own_name, read_table
 
 #: (first bit, width) of the six parts.
 PARTS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
@@ -145,10 +145,12 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     rows equal in both any one stays. All columns are kept.
     """
     key = F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    keyed = df.withColumn("_key", key)
-    marked = near_duplicates(keyed, doc_id, text, keep=("_key",))
-    chosen = marked.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key"))["_key"].alias("_key"))
-    return keyed.join(chosen.select("_key"), "_key", "left_semi").dropDuplicates(["_key"]).select(df.columns)
+    name = own_name(df, "row_key")
+    keyed = df.withColumn(name, key)
+    marked = near_duplicates(keyed.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(name).alias("row_key")), keep=("row_key",))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key"))["row_key"]
+    chosen = marked.groupBy("group").agg(first.alias(name)).select(name)
+    return keyed.join(chosen, name, "left_semi").dropDuplicates([name]).select(df.columns)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

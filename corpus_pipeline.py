@@ -4,8 +4,7 @@
 DataFrame. Each result is written to the shared folder as Parquet and reread as the next
 stage's docs. All stages but the last return the columns of ``docs``, extra ones included.
 
-language   fits on the rows with lang and drops documents without a letter (``und``) and
-           those whose score is below MIN_LANGUAGE_SCORE
+language   fits on the rows with lang and drops documents without a letter (``und``)
 dedup      SimHash near-duplicates: of each group the smallest doc_id stays
 decontam   drops documents that cover a benchmark item
 secrets    replaces secrets in texts by marks of their kind; n_chars follows
@@ -21,15 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmesh.llm import codec, decontam, langid, secrets, simhash
-from kinmesh.session import materialize, read_table
+from kinmesh.session import materialize, own_name, read_table
 
-MIN_LANGUAGE_SCORE = 0.2
 RANKS = "byte_bpe_50k.tiktoken"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify_languages(docs.withColumn("_text", F.col("text")), langid.fit_languages(docs), "_text")
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+    name = own_name(docs, "found")
+    found = docs.withColumn(name, langid.language_column(spark, langid.fit_languages(docs), F.col("text")))
+    return found.filter(F.col(name)["lang"] != "und").select(docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +40,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.scan_secrets(docs, secrets.fit_secrets(docs))
-    clean = found.withColumn("_clean", secrets.redact(F.col("text"), F.col("secrets")))
-    return clean.withColumns({"text": F.col("_clean"), "n_chars": F.length("_clean").cast("bigint")}).select(docs.columns)
+    name = own_name(docs, "spans")
+    found = docs.withColumn(name, secrets.secret_column(spark, secrets.fit_secrets(docs), F.col("text")))
+    clean = found.withColumn("text", secrets.redact(F.col("text"), F.col(name))).withColumn("n_chars", F.length("text").cast("bigint"))
+    return clean.select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

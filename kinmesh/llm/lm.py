@@ -1,23 +1,24 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-1. Token counts over all training texts: combined in each task, then summed by key.
-2. Counts of all bigrams of the training texts, under 64-bit hashes of their tokens. Tasks
-   combine them block by block and deal them into shards by hash; the number of shards grows
-   with the training tokens (one for each ``PER_SHARD``), so a shard's size does not.
-3. The filters. A count c is quantised to a level q = 1 + floor(log2(c)), and the n-gram is
-   entered once for each level 1..q. A probe asks for level 1, 2, ... until one is missing;
-   the last found level gives the count back within a factor of 2. False positives only lift
-   a level, each with probability about 2^-k. Every bigram seen once or more is entered, at
-   any size of input: those with a share of about ``BIGRAM_SHARE`` or more in one filter of
-   fixed size that is broadcast, all others in the filter of their shard.
-4. Probes. Texts are read in blocks. A bigram that the broadcast filter has is answered on
-   the spot; each other one of a block is sent once to its shard and its level comes back.
-   Tokens with a share of ``UNIGRAM_SHARE`` or more travel as a table of bounded size; each
-   other token of a block joins the exact counts by its bytes.
-5. Scores. P(w | v) = L * c(v, w) / c(v) + (1 - L) * P(w) after a v that was seen, P(w) at the
-   start of a text and after any other; c are quantised counts. P(w) is c(w) over all tokens,
-   scaled so that it sums up to 1 with one token's share for what was never seen.
-6. The base needs the exact count of every token, and takes it from the same table and join.
+1. Texts are read in blocks. A block sends each distinct token and bigram of its texts once,
+   with its count in the training texts among them (0 if there is none), to the shard of its
+   hash. The number of shards grows with the training tokens, so a shard's size does not.
+   A token is its 64-bit hash. A bigram is a fingerprint of ``SPARE`` bits more than the
+   training tokens have, so two seldom meet and sorted ones pack into few bytes.
+2. A shard adds up the counts of all blocks. It quantises a bigram's count c to a level
+   q = 1 + floor(log2(c)) and enters the bigram in its filter once for each level 1..q. Every
+   bigram that occurs in the training texts is entered, at any size of input.
+3. The filter answers the blocks: for each bigram it is asked for level 1, 2, ... until one is
+   missing; the last found level gives the count back within a factor of 2. False positives
+   only lift a level, each with a probability of about 2^-14. Tokens get their exact counts.
+4. The answers meet the block's texts under the block's number, and the texts are scored.
+   P(w | v) = L * c(v, w) / c(v) + (1 - L) * P(w) after a v that was seen, P(w) at the start
+   of a text and after any other. P(w) = c(w) / (N + 1), with 1 / (N + 1) left for all that
+   was never seen.
+5. The base needs the exact count of every token, and takes it from the same answers.
+
+The filter is not broadcast: it holds every bigram and so grows with the corpus. Its shards
+lie with the workers and the probes go to them.
 
 Tokens are A-Z lower-cased runs without ASCII white space, then one end of text, written as
 a line feed, which no token can be.
@@ -26,14 +27,14 @@ a line feed, which no token can be.
 from __future__ import annotations
 
 import pickle
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,24 +42,29 @@ from kinmesh.llm.sampling import held_out
 from kinmesh.session import materialize, read_table
 
 END = b"\n"
-#: Shares of all training tokens from which a token or bigram takes the fast way; they bound what is broadcast, not what is counted.
-UNIGRAM_SHARE, BIGRAM_SHARE = 1e-5, 2e-6
-#: Bits of the broadcast filter: 16 for each of up to 4 levels of the most n-grams that the shares allow, as a power of 2.
-BITS = 1 << 26
 HASHES = 8
+#: Bits of a filter for each level that is entered: 24 of them with 8 hashes give false positives of about 2^-14.
+BITS_EACH = 24
 LAMBDA = 0.8
-#: Training tokens for each shard of bigrams.
-PER_SHARD = 2_000_000
-#: Distinct keys that a task combines before it passes them on, and tokens of a block.
-COMBINE, BLOCK = 250_000, 200_000
-#: Keys and bytes in a row, so that a batch of rows stays small.
-KEYS, PIECE = 512, 4096
+#: Training tokens for each shard, and shards at least.
+PER_SHARD, LEAST_SHARDS = 2_000_000, 48
+#: Bits of a bigram's fingerprint beyond those of the number of training tokens.
+SPARE = 10
+#: Tokens of a block.
+BLOCK = 1_000_000
+BODY, WORDS, BIGRAMS, TOTALS = range(4)
 
 
 def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
+def train_tokens(df: DataFrame, train: Column, text: str) -> int:
+    """How many tokens, ends included, the training texts have."""
+    words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^ \t-\r]+"))
+    return df.filter(train).agg(F.coalesce(F.sum(words + F.lit(1).cast("bigint")), F.lit(0).cast("bigint"))).first()[0]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (multiply and shift)."""
     x = x.astype(np.uint64)
@@ -69,12 +75,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers in groups of 7 bits, low ones first; the eighth bit says that more follow."""
+    values = values.astype(np.uint64)
+    size = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        size += values >= np.uint64(1 << 7 * k)
+    starts = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        live = np.flatnonzero(size > k)
+        part = (values[live] >> np.uint64(7 * k)).astype(np.uint8) & np.uint8(127)
+        out[starts[live] + k] = part | ((size[live] > k + 1).astype(np.uint8) << np.uint8(7))
+    return out.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    part = np.frombuffer(data, np.uint8)
+    last = part < 128
+    starts = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1]).astype(np.int64) if len(part) else np.zeros(0, np.int64)
+    if not len(part):
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(part)) - np.repeat(starts, np.diff(np.append(starts, len(part))))
+    return np.bitwise_or.reduceat((part & 127).astype(np.uint64) << (7 * place).astype(np.uint64), starts)
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    return pack(np.diff(values.astype(np.uint64), prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
+
+
 class LogBloom:
     """Counts of integer keys, quantised to levels and held as memberships."""
 
-    def __init__(self, bits: int = BITS, hashes: int = HASHES):
-        self.bits, self.hashes = bits, hashes
-        self.table = np.zeros(bits // 8, np.uint8)
+    def __init__(self, bits: int, hashes: int = HASHES):
+        self.bits, self.hashes = max(64, bits), hashes
+        self.table = np.zeros(-(-self.bits // 8), np.uint8)
         self.top = 1
 
     def places(self, keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +122,7 @@ class LogBloom:
         return first, mix(first ^ np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
     def place(self, first: np.ndarray, step: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        at = (first + np.uint64(k) * step) & np.uint64(self.bits - 1)
+        at = (first + np.uint64(k) * step) % np.uint64(self.bits)
         return (at >> np.uint64(3)).astype(np.int64), (at & np.uint64(7)).astype(np.uint8)
 
     def add(self, keys: np.ndarray, levels: np.ndarray) -> None:
@@ -117,330 +156,270 @@ class LogBloom:
         return found
 
 
-def level_of(count: np.ndarray, least: float) -> np.ndarray:
-    return 1 + np.floor(np.log2(np.maximum(count / least, 1))).astype(np.int16)
+def level_of(count: np.ndarray) -> np.ndarray:
+    """1 + floor(log2(count)); 0 for 0."""
+    return np.where(count > 0, 1 + np.floor(np.log2(np.maximum(count, 1))), 0).astype(np.int16)
 
 
-def count_of(level: np.ndarray, least: float) -> np.ndarray:
+def count_of(level: np.ndarray) -> np.ndarray:
     """The middle, in logarithms, of the whole counts of a level (1, 2 to 3, 4 to 7, ...); 0 for level 0."""
-    low = least * 2.0 ** (np.asarray(level, float) - 1)
+    low = 2.0 ** (np.asarray(level, float) - 1)
     return np.where(level > 0, np.sqrt(low * np.maximum(2 * low - 1, low)), 0.0)
 
 
-def token_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """(token, n): exact counts of all tokens, ends included. Tasks combine, then one shuffle by token sums."""
-    schema = pa.schema([("token", pa.binary()), ("n", pa.int64())])
+class Dealing:
+    """How tokens and bigrams are hashed and dealt; it follows from the number of training tokens alone."""
 
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                counts.update(tokens_of(t))
-                if len(counts) > COMBINE:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=schema)
-                    counts.clear()
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=schema)
+    def __init__(self, total: int):
+        self.shards = max(LEAST_SHARDS, -(-total // PER_SHARD))
+        self.bits = min(48, total.bit_length() + SPARE)
 
-    return df.select(text).mapInArrow(combine, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    def bigrams(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return mix(mix(first ^ np.uint64(0x9E3779B97F4A7C15)) + second) >> np.uint64(64 - self.bits)
 
+    def shard(self, keys: np.ndarray, bits: int) -> np.ndarray:
+        """Shards are ranges of keys, so that sorted keys lie shard by shard."""
+        top = keys >> np.uint64(max(0, bits - 32))
+        return ((top * np.uint64(self.shards)) >> np.uint64(min(bits, 32))).astype(np.int64)
 
-class Block:
-    """Some texts as numbers: their distinct tokens, and for each place in the texts its token."""
 
-    def __init__(self, texts: list[list[bytes]]):
-        index = defaultdict()
-        index.default_factory = index.__len__
-        self.sizes = np.array([len(words) for words in texts], np.int64)
-        self.u = np.concatenate([np.fromiter(map(index.__getitem__, words), np.int64, len(words)) for words in texts])
-        self.words = list(index)
-        self.pairs = pairs_of(self.u, index[END])
-
-    def keys(self, pairs: np.ndarray) -> np.ndarray:
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
-        return bigram_key(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF])
+class Block:
+    """Some texts as numbers: their distinct tokens by hash, and for each place in the texts its token."""
 
+    def __init__(self, words: list[bytes], u: np.ndarray, sizes: np.ndarray, train: np.ndarray):
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        order = np.argsort(hashes, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.hashes, self.sizes, self.u = hashes[order], sizes, place[u]
+        self.end = int(place[words.index(END)])
+        self.train = np.repeat(train, sizes)
 
-def pairs_of(u: np.ndarray, end: int) -> np.ndarray:
-    """Each place but the last with the next, packed; -1 from an end to the next text."""
-    return np.where(u[:-1] == end, -1, (u[:-1] << 32) | u[1:])
+    def body(self) -> bytes:
+        """Sizes and tokens, frequent tokens by small numbers."""
+        often = np.argsort(-np.bincount(self.u, minlength=len(self.hashes)), kind="stable")
+        small = np.empty(len(often), np.int64)
+        small[often] = np.arange(len(often))
+        return pickle.dumps((pack(self.sizes), pack(small[self.u]), pack(often), self.end), 5)
 
 
-def bigram_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(mix(first ^ np.uint64(0x9E3779B97F4A7C15)) + second)
+def pairs_of(u: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places that have a token after them in their text, and there both tokens in one integer."""
+    at = np.flatnonzero(u[:-1] != end)
+    return at, (u[at] << 32) | u[at + 1]
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, pa.Array]]:
+    """Blocks of about BLOCK tokens from batches (doc, train, text), each with its docs."""
+    index: defaultdict = defaultdict()
+    index.default_factory = index.__len__
+    ids, sizes, train, docs, size = [], [], [], [], 0
 
+    def block() -> tuple[Block, pa.Array]:
+        return Block(list(index), np.concatenate(ids), np.array(sizes, np.int64), np.array(train, bool)), pa.concat_arrays(docs)
 
-def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list[pa.Array]]]:
-    """Blocks of about BLOCK tokens from batches with the text last, each with the parts of the first column that belong to it."""
-    texts, parts, size = [], [], 0
     for batch in batches:
         begin = 0
-        for k, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-            texts.append(tokens_of(t))
-            size += len(texts[-1])
+        for k, (own, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
+            words = tokens_of(text.as_py())
+            ids.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
+            sizes.append(len(words))
+            train.append(bool(own))
+            size += len(words)
             if size > BLOCK:
-                yield Block(texts), [*parts, batch.column(0).slice(begin, k + 1 - begin)]
-                texts, parts, size, begin = [], [], 0, k + 1
+                docs.append(batch.column(0).slice(begin, k + 1 - begin))
+                yield block()
+                ids, sizes, train, docs, size, begin = [], [], [], [], 0, k + 1
+                index.clear()
         if begin < batch.num_rows:
-            parts.append(batch.column(0).slice(begin))
-    if texts:
-        yield Block(texts), parts
+            docs.append(batch.column(0).slice(begin))
+    if ids:
+        yield block()
 
 
-def runs_of(shards: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(start, end) of the runs of equal sorted shards, KEYS long at most."""
+def runs_of(shards: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(shard, start, end) of the runs of equal sorted shards."""
     edges = np.flatnonzero(np.diff(shards, prepend=-1, append=-1))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        for k in range(a, b, KEYS):
-            yield k, min(k + KEYS, b)
-
-
-def bigram_counts(df: DataFrame, shards: int, text: str = "text") -> DataFrame:
-    """(shard, keys, n): counts of all bigrams, combined in blocks and packed by shard."""
-    schema = pa.schema([("shard", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
-
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _ in blocks_of(batches):
-            pairs, n = np.unique(block.pairs[block.pairs >= 0], return_counts=True)
-            keys = block.keys(pairs)
-            shard = shard_of(keys, shards)
-            order = np.argsort(shard, kind="stable")
-            keys, n, shard = keys[order], n[order].astype(np.int32), shard[order]
-            cuts = list(runs_of(shard)) if len(shard) else []
-            yield pa.RecordBatch.from_arrays([pa.array([int(shard[a]) for a, _ in cuts], pa.int64()), pa.array([keys[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([n[a:b].tobytes() for a, b in cuts], pa.binary())], schema=schema)
-
-    return df.select(text).mapInArrow(combine, "shard bigint, keys binary, n binary")
-
-
-def shard_filters(counts: DataFrame, least: float) -> DataFrame:
-    """(shard, at, data, key, n): the filter of each shard in pieces, and beside it the bigrams of ``least`` or more, which are not in it."""
-    schema = pa.schema([("shard", pa.int64()), ("at", pa.int64()), ("data", pa.binary()), ("key", pa.int64()), ("n", pa.int64())])
-
-    def summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        values, back = np.unique(np.concatenate(keys), return_inverse=True)
-        return values, np.bincount(back, np.concatenate(n), minlength=len(values)).astype(np.int64)
-
-    def rows(shard: int, keys: list[np.ndarray], n: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, n = summed(keys, n)
-        often = n >= least
-        levels = level_of(n[~often], 1.0)
-        bloom = LogBloom(1 << max(10, int(np.ceil(np.log2(16.0 * max(1, int(levels.sum())))))))
-        bloom.add(keys[~often], levels)
-        held = pickle.dumps((bloom.bits, bloom.top, bloom.table), 5)
-        for at in range(0, len(held), 256 * PIECE):
-            data = [held[k : k + PIECE] for k in range(at, min(at + 256 * PIECE, len(held)), PIECE)]
-            none = pa.nulls(len(data), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(data), pa.int64()), pa.array([at + k * PIECE for k in range(len(data))], pa.int64()), pa.array(data, pa.binary()), none, none], schema=schema)
-        size = int(often.sum())
-        yield pa.RecordBatch.from_arrays([pa.array([shard] * size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), pa.array(keys[often].view(np.int64)), pa.array(n[often])], schema=schema)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, keys, n, size = None, [], [], 0
-        for batch in batches:
-            for s, k, c in zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True):
-                if s != shard and keys:
-                    yield from rows(shard, keys, n)
-                    keys, n, size = [], [], 0
-                shard = s
-                keys.append(np.frombuffer(k, np.uint64))
-                n.append(np.frombuffer(c, np.int32))
-                size += len(keys[-1])
-                if size > 2 * PER_SHARD:
-                    a, b = summed(keys, n)
-                    keys, n, size = [a], [b], 0
-        if keys:
-            yield from rows(shard, keys, n)
-
-    return counts.repartition("shard").sortWithinPartitions("shard").mapInArrow(build, "shard bigint, at bigint, data binary, key bigint, n bigint")
-
-
-def probed(filters: DataFrame, probes: DataFrame) -> DataFrame:
-    """(block, at, levels) for probes (block, at, shard, keys): a shard's filter comes first, then its probes, row by row."""
-    both = filters.filter(F.col("data").isNotNull()).select("shard", F.lit(-1).cast("bigint").alias("block"), "at", "data")
-    both = both.unionByName(probes.select("shard", "block", "at", F.col("keys").alias("data")))
-    schema = pa.schema([("block", pa.int64()), ("at", pa.int64()), ("levels", pa.binary())])
+        yield int(shards[a]), int(a), int(b)
+
+
+def rows_of(rows: list[tuple], names: tuple[str, ...], docs: pa.Array | None, kind: pa.DataType) -> pa.RecordBatch:
+    """A batch of (shard, block, kind, size, data, n) rows; ``docs`` belong to the first one."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+    held = pa.nulls(len(rows), kind)
+    if docs is not None:
+        held = pa.concat_arrays([docs.cast(kind), pa.nulls(len(rows) - 1, kind)])
+    return pa.RecordBatch.from_arrays([*columns, held], names=names)
+
+
+def ask_shards(texts: DataFrame, dealing: Dealing, row: T.StructType) -> DataFrame:
+    """What each block asks of each shard, and the block's body with its docs, dealt by the block's number."""
+    names = tuple(row.names)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for number, (block, docs) in enumerate(blocks_of(batches)):
+            me = first + number
+            held = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
+            kind = held.type
+            yield rows_of([(me % dealing.shards, me, BODY, None, block.body(), None)], names, held, kind)
+            n = np.bincount(block.u[block.train], minlength=len(block.hashes))
+            shards = dealing.shard(block.hashes, 64)
+            yield rows_of([(s, me, WORDS, None, pack_sorted(block.hashes[a:b]), pack(n[a:b])) for s, a, b in runs_of(shards)], names, None, kind)
+            at, pairs = pairs_of(block.u, block.end)
+            if len(pairs):
+                found, back = np.unique(pairs, return_inverse=True)
+                n = np.bincount(back[block.train[at]], minlength=len(found))
+                keys = dealing.bigrams(block.hashes[found >> 32], block.hashes[found & 0xFFFFFFFF])
+                order = np.argsort(keys, kind="stable")
+                keys, n = keys[order], n[order]
+                yield rows_of([(s, me, BIGRAMS, None, pack_sorted(keys[a:b]), pack(n[a:b])) for s, a, b in runs_of(dealing.shard(keys, dealing.bits))], names, None, kind)
+
+    return texts.mapInArrow(ask, row)
+
+
+class Shard:
+    """What the blocks ask of one shard. It is held packed until all are there."""
+
+    def __init__(self):
+        self.asked: dict[int, list[tuple[int, bytes, bytes]]] = {WORDS: [], BIGRAMS: []}
+
+    def summed(self, kind: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """For each asking block the places of its keys, the distinct keys, and their sums."""
+        parts = [unpack_sorted(keys) for _, keys, _ in self.asked[kind]]
+        keys, back = np.unique(np.concatenate(parts), return_inverse=True)
+        n = np.bincount(back, np.concatenate([unpack(n) for *_, n in self.asked[kind]]), minlength=len(keys)).astype(np.int64)
+        return np.split(back, np.cumsum([len(p) for p in parts])[:-1]), keys, n
+
+    def answers(self, shard: int) -> Iterator[tuple]:
+        if self.asked[WORDS]:
+            places, _, n = self.summed(WORDS)
+            for (block, keys, _), at in zip(self.asked[WORDS], places, strict=True):
+                yield shard, block, WORDS, None, keys, pack(n[at])
+            yield shard, -1, TOTALS, int((n > 0).sum()), None, None
+        if self.asked[BIGRAMS]:
+            places, keys, n = self.summed(BIGRAMS)
+            levels = level_of(n)
+            bloom = LogBloom(BITS_EACH * int(levels.sum()))
+            bloom.add(keys[n > 0], levels[n > 0])
+            found = bloom.levels(keys).astype(np.uint8)
+            for (block, *_), at in zip(self.asked[BIGRAMS], places, strict=True):
+                yield shard, block, BIGRAMS, None, found[at].tobytes(), None
+
+
+def answer_blocks(asked: DataFrame, row: T.StructType) -> DataFrame:
+    """The answers of all shards; bodies go through."""
+    names = tuple(row.names)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, pieces, bloom = None, [], None
-        for batch in batches:
-            out, asked = [], []
-            shards, blocks, ats, datas = (batch.column(x).to_pylist() for x in range(4))
-
-            def settle(out: list, asked: list, bloom) -> None:
-                if asked:
-                    levels = bloom.levels(np.concatenate([k for *_, k in asked])).astype(np.uint8) if bloom else np.zeros(sum(len(k) for *_, k in asked), np.uint8)
-                    at = 0
-                    for block, place, k in asked:
-                        out.append((block, place, levels[at : at + len(k)].tobytes()))
-                        at += len(k)
-
-            for s, block, at, data in zip(shards, blocks, ats, datas, strict=True):
-                if s != shard:
-                    settle(out, asked, bloom)
-                    shard, pieces, bloom, asked = s, [], None, []
-                if block < 0:
-                    pieces.append(data)
-                    continue
-                if pieces:
-                    bits, top, table = pickle.loads(b"".join(pieces))
-                    bloom, pieces = LogBloom(8), []
-                    bloom.bits, bloom.top, bloom.table = bits, top, table
-                asked.append((block, at, np.frombuffer(data, np.uint64)))
-            settle(out, asked, bloom)
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], schema=schema)
-
-    return both.repartition("shard").sortWithinPartitions("shard", "block", "at").mapInArrow(answer, "block bigint, at bigint, levels binary")
-
-
-class Model:
-    """What is broadcast: tokens that take the fast way with their exact counts (for the base), and the filter of frequent n-grams."""
-
-    def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, shards: int, mass: float, keys: np.ndarray, n: np.ndarray):
-        self.index = {w: k for k, w in enumerate(words)}
-        self.counts = np.array(counts, np.int64)
-        self.total, self.distinct, self.shards = total, distinct, shards
-        self.scale = total / mass if mass else 1.0
-        self.first_level = int(np.log2(frequent_from(total)))
-        self.bloom = LogBloom()
-        self.bloom.add(keys.view(np.uint64), level_of(n, 2.0**self.first_level))
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Levels of frequent bigrams, 0 for all others."""
-        found = self.bloom.levels(keys)
-        return np.where(found > 0, found + self.first_level, 0)
+        now, shard, kind = None, Shard(), None
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            rows = []
+            for r in shard.answers(now):
+                rows.append(r)
+                if len(rows) >= 64:
+                    yield rows_of(rows, names, None, kind)
+                    rows = []
+            if rows:
+                yield rows_of(rows, names, None, kind)
 
+        for batch in batches:
+            kind = batch.schema.field("docs").type
+            kinds = batch.column("kind").to_pylist()
+            for k, (s, what) in enumerate(zip(batch.column("shard").to_pylist(), kinds, strict=True)):
+                if s != now:
+                    if now is not None:
+                        yield from settled()
+                    now, shard = s, Shard()
+                if what == BODY:
+                    yield batch.slice(k, 1)
+                else:
+                    shard.asked[what].append((batch.column("block")[k].as_py(), batch.column("data")[k].as_py(), batch.column("n")[k].as_py()))
+        if now is not None:
+            yield from settled()
 
-def frequent_from(total: int) -> float:
-    """The count from which a bigram takes the fast way: a power of 2, so that both ways quantise alike."""
-    return max(2.0, 2.0 ** np.floor(np.log2(max(1.0, total * BIGRAM_SHARE))))
-
+    return asked.repartition("shard").sortWithinPartitions("shard", "kind", "block").mapInArrow(answer, row)
 
-def fit_lm(train: DataFrame, text: str = "text") -> tuple[Model, DataFrame, DataFrame]:
-    """The model of the training texts, and in the shared folder their exact token counts and the filters of the shards.
 
-    An empty training table gives counts of nothing: N = 0 and V = 0.
-    """
-    counts = materialize(token_counts(train, text), "tokens")
-    low = F.pow(F.lit(2.0), F.length(F.bin("n")) - 1)
-    total, distinct, mass = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.sqrt(low * (2 * low - 1))), F.lit(0.0))).first()
-    frequent = counts.filter(F.col("n") >= max(1.0, total * UNIGRAM_SHARE)).orderBy(F.desc("n"), "token").limit(int(1 / UNIGRAM_SHARE)).collect()
-    shards = max(1, -(-total // PER_SHARD))
-    filters = materialize(shard_filters(bigram_counts(train, shards, text), frequent_from(total)), "filters")
-    table = filters.filter(F.col("key").isNotNull()).select("key", "n").toArrow()
-    model = Model([bytes(r["token"]) for r in frequent], [r["n"] for r in frequent], total, distinct, shards, mass, table.column("key").to_numpy(), table.column("n").to_numpy())
-    return model, counts, filters
-
-
-def scored_block(model: Model, held: tuple, counts: np.ndarray, answers: np.ndarray) -> list[np.ndarray]:
-    """n_tokens, n_known, base and score of each text of a block from the counts of its other tokens and the levels of its probes."""
-    sizes, u, end, own, levels, shard = held
-    u, levels = u.astype(np.int64), levels.astype(np.int64)
-    levels[np.flatnonzero(levels == 0)[np.argsort(shard, kind="stable")]] = answers
-    n = np.zeros(len(own), np.int64)
-    n[own >= 0] = model.counts[own[own >= 0]]
-    n[own < 0] = counts
-    seen = np.where(n > 0, count_of(level_of(n, 1.0), 1.0), 0.0)
-    single = np.where(n > 0, seen * model.scale, 1.0) / (model.total + 1.0)
+def scored_block(dealing: Dealing, total: int, body: bytes, words: list[tuple[bytes, bytes]], levels: list[bytes]) -> list[np.ndarray]:
+    """For each text of a block: tokens, known ones, the sum of log10(c + 1), and the model's log10 probability."""
+    sizes, small, often, end = pickle.loads(body)
+    sizes, u = unpack(sizes).astype(np.int64), unpack(often).astype(np.int64)[unpack(small).astype(np.int64)]
+    hashes = np.concatenate([unpack_sorted(keys) for keys, _ in words])
+    n = np.concatenate([unpack(c) for _, c in words]).astype(np.int64)
+    single = np.maximum(n, 1) / (total + 1.0)
     p = single[u]
-    pairs = pairs_of(u, end)
-    after = np.flatnonzero((pairs >= 0) & (n[u[:-1]] > 0)) if len(pairs) else np.zeros(0, np.int64)
-    _, back = np.unique(pairs[pairs >= 0], return_inverse=True)
-    joint = np.zeros(len(pairs))
-    joint[pairs >= 0] = count_of(levels, 1.0)[back]
-    p[after + 1] = (1 - LAMBDA) * p[after + 1] + LAMBDA * np.minimum(joint[after] / seen[u[after]], 1.0)
+    at, pairs = pairs_of(u, end)
+    if len(pairs):
+        found, back = np.unique(pairs, return_inverse=True)
+        keys = dealing.bigrams(hashes[found >> 32], hashes[found & 0xFFFFFFFF])
+        level = np.empty(len(found), np.uint8)
+        level[np.argsort(keys, kind="stable")] = np.frombuffer(b"".join(levels), np.uint8)
+        joint, seen = count_of(level)[back], n[u[at]]
+        after = at[seen > 0]
+        share = np.minimum(joint[seen > 0] / seen[seen > 0], 1.0)
+        p[after + 1] = (1 - LAMBDA) * p[after + 1] + LAMBDA * share
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    base = np.log10((n + 1.0) / (model.total + model.distinct + 1.0))
-    return [sizes, np.add.reduceat((n > 0).astype(np.int64)[u], starts), np.add.reduceat(base[u], starts), np.add.reduceat(np.log10(p), starts)]
+    logs = np.log10(n + 1.0)
+    return [sizes, np.add.reduceat((n > 0).astype(np.int64)[u], starts), np.add.reduceat(logs[u], starts), np.add.reduceat(np.log10(p), starts)]
 
 
-def score_texts(df: DataFrame, model: Model, counts: DataFrame, filters: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def score_texts(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score and score for each row, with doc_id and ``keep``.
 
-    A null text is empty: one end. Repeated rows keep a row each, null ids too. Tasks write
-    the blocks with what they ask for; a block is told by the task and place that it had when
-    written, which a reread does not change. What comes back meets the block under its number.
+    The rows for which ``train`` holds are learned from, all are scored; null counts as false.
+    A null text is empty: one end. Repeated rows keep a row each, null ids too. Without
+    training rows N and V are 0. Other columns are dropped, whatever their names. A block is
+    told by the task that read it and its place there, which a second run does not change.
     """
-    sent = df.sparkSession.sparkContext.broadcast(model)
-    narrow = df.select(F.struct(F.col(doc_id).alias("doc_id"), *map(F.col, keep)).alias("doc"), F.col(text).alias("text"))
-    doc = narrow.schema["doc"].dataType
-    row = T.StructType().add("block", "long").add("kind", "integer").add("at", "long").add("shard", "long").add("token", "binary").add("keys", "binary").add("body", "binary").add("docs", T.ArrayType(doc))
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, first = sent.value, TaskContext.get().partitionId() << 32
-
-        def some(block: int, kind: int, at: list, size: int, **held) -> pa.RecordBatch:
-            long = lambda v: pa.array(v, pa.int64())
-            none = pa.nulls(size, pa.binary())
-            docs = held["docs"] if "docs" in held else pa.nulls(size, docs_type)
-            shard = long(held["shard"]) if "shard" in held else pa.nulls(size, pa.int64())
-            columns = [long([block] * size), pa.array([kind] * size, pa.int32()), long(at), shard, *[pa.array(held[c], pa.binary()) if c in held else none for c in ("token", "keys", "body")], docs]
-            return pa.RecordBatch.from_arrays(columns, names=["block", "kind", "at", "shard", "token", "keys", "body", "docs"])
-
-        for number, (block, parts) in enumerate(blocks_of(batches)):
-            docs = pa.concat_arrays(parts)
-            docs = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
-            docs_type = docs.type
-            own = np.fromiter((model.index.get(w, -1) for w in block.words), np.int64, len(block.words))
-            pairs = np.unique(block.pairs[block.pairs >= 0])
-            keys = block.keys(pairs)
-            levels = model.levels(keys).astype(np.uint8)
-            keys = keys[levels == 0]
-            shard = shard_of(keys, model.shards)
-            order = np.argsort(shard, kind="stable")
-            small = np.uint16 if len(own) < 1 << 16 else np.int32
-            end = int(block.u[-1])
-            body = pickle.dumps((block.sizes.astype(np.int32), block.u.astype(small), end, own.astype(np.int32), levels, shard.astype(np.uint16 if model.shards < 1 << 16 else np.int64)), 5)
-            yield some(first + number, 0, [0], 1, docs=docs)
-            at = range(0, len(body), PIECE)
-            yield some(first + number, 1, list(at), len(at), body=[body[k : k + PIECE] for k in at])
-            rare = [block.words[k] for k in np.flatnonzero(own < 0)]
-            yield some(first + number, 2, list(range(len(rare))), len(rare), token=rare)
-            keys, shard = keys[order], shard[order]
-            cuts = list(runs_of(shard)) if len(shard) else []
-            yield some(first + number, 3, [int(a) for a, _ in cuts], len(cuts), shard=[int(shard[a]) for a, _ in cuts], keys=[keys[a:b].tobytes() for a, b in cuts])
-
-    blocks = materialize(narrow.mapInArrow(asked, row), "blocks")
-    found = blocks.filter("kind = 2").select("block", "at", "token").join(counts, "token", "left")
-    levels = probed(filters, blocks.filter("kind = 3").select("block", "at", "shard", "keys"))
-    none = F.lit(None)
-    parts = blocks.filter("kind < 2").select("block", "kind", "at", none.cast("bigint").alias("n"), "body", "docs")
-    parts = parts.union(found.select("block", F.lit(2), "at", F.coalesce("n", F.lit(0)), none, none)).union(levels.select("block", F.lit(3), "at", none, "levels", none))
-    done = T.StructType().add("doc", doc).add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
+    train = F.coalesce(train, F.lit(False))
+    total = train_tokens(df, train, text)
+    dealing = Dealing(total)
+    texts = df.select(F.struct(F.col(doc_id).alias("doc_id"), *map(F.col, keep)).alias("doc"), train.alias("train"), F.col(text).alias("text"))
+    doc = texts.schema["doc"].dataType
+    row = T.StructType().add("shard", "long").add("block", "long").add("kind", "integer").add("size", "long").add("data", "binary").add("n", "binary").add("docs", T.ArrayType(doc))
+    done = T.StructType().add("doc", doc).add("n_tokens", "long").add("n_known", "long").add("logs", "double").add("score", "double").add("distinct", "long")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, now, docs, body, n, levels = sent.value, None, None, [], [], []
+        now, docs, body, words, levels, distinct, kind = None, None, None, [], [], 0, None
 
         def closed() -> pa.RecordBatch:
-            answers = np.frombuffer(b"".join(levels), np.uint8)
-            out = scored_block(model, pickle.loads(b"".join(body)), np.concatenate([*n, np.zeros(0, np.int64)]), answers)
-            return pa.RecordBatch.from_arrays([docs, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2]), pa.array(out[3])], names=["doc", "n_tokens", "n_known", "base_score", "score"])
+            out = scored_block(dealing, total, body, words, levels)
+            columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2]), pa.array(out[3]), pa.nulls(len(docs), pa.int64())]
+            return pa.RecordBatch.from_arrays([docs, *columns], names=done.names)
 
         for batch in batches:
-            block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = np.flatnonzero(np.diff(block * 4 + kind, prepend=-1, append=-1))
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if block[a] != now:
+            kind = batch.schema.field("docs").type.value_type
+            for k, (block, what) in enumerate(zip(batch.column("block").to_pylist(), batch.column("kind").to_pylist(), strict=True)):
+                if what == TOTALS:
+                    distinct += batch.column("size")[k].as_py()
+                    continue
+                if block != now:
                     if now is not None:
                         yield closed()
-                    now, docs, body, n, levels = block[a], None, [], [], []
-                if kind[a] == 0:
-                    docs = batch.column(5).slice(a, 1).flatten()
-                elif kind[a] == 2:
-                    n.append(batch.column(3).slice(a, b - a).to_numpy())
+                    now, words, levels = block, [], []
+                data = batch.column("data")[k].as_py()
+                if what == BODY:
+                    docs, body = batch.column("docs").slice(k, 1).flatten(), data
+                elif what == WORDS:
+                    words.append((data, batch.column("n")[k].as_py()))
                 else:
-                    (body if kind[a] == 1 else levels).extend(batch.column(4).slice(a, b - a).to_pylist())
+                    levels.append(data)
         if now is not None:
             yield closed()
+        if distinct:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *[pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], pa.array([distinct], pa.int64())], names=done.names)
 
-    scored = parts.repartition("block").sortWithinPartitions("block", "kind", "at").mapInArrow(finish, done)
-    return scored.select("doc.*", "n_tokens", "n_known", F.lit(model.total).cast("bigint").alias("train_tokens"), "base_score", "score")
+    answered = answer_blocks(ask_shards(texts, dealing, row), row)
+    scored = materialize(answered.repartition("block").sortWithinPartitions("block", "kind", "shard").mapInArrow(finish, done), "scores")
+    distinct = scored.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
+    return scored.filter(F.col("distinct").isNull()).select("doc.*", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id"), 7, 2))
-    model, counts, filters = fit_lm(docs.filter(~F.col("held_out")))
-    return score_texts(docs, model, counts, filters, keep=("held_out",))
+    return score_texts(docs, ~F.col("held_out"), keep=("held_out",))

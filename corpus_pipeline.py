@@ -22,24 +22,37 @@ from pyspark.sql import functions as F
 from kinmesh.llm import codec, decontam, langid, secrets, simhash
 from kinmesh.session import materialize, own_name, read_table
 
+#: Rows of an Arrow batch in all stages.
+BATCH_ROWS = 500
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let at most BATCH_ROWS rows travel to a Python worker at once, since a row holds a whole text."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     name = own_name(docs, "found")
     found = docs.withColumn(name, langid.language_column(spark, langid.fit_languages(docs), F.col("text")))
     return found.filter(F.col(name)["lang"] != "und").select(docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash.keep_one(docs).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     name = own_name(docs, "spans")
     found = docs.withColumn(name, secrets.secret_column(spark, secrets.fit_secrets(docs), F.col("text")))
     clean = found.withColumn("text", secrets.redact(F.col("text"), F.col(name))).withColumn("n_chars", F.length("text").cast("bigint"))
@@ -47,6 +60,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     import public_tokenizers
 
     coded = codec.encode_documents(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(RANKS))

@@ -8,13 +8,31 @@ from pyspark.sql import functions as F
 from kinmesh.functions.features import feature_family, humanize_feature
 
 
+def pair_differences(weighted: DataFrame, pairs: DataFrame, limit: int = 10) -> DataFrame:
+    """(space, i, j, rank, feature, left, right, gap, dominant): the ``limit`` widest gaps of each pair, features of one side alone included.
+
+    Each side's features meet the pair once and are summed by feature, so an absent one is 0.
+    The side of the larger weight is dominant, the first where they are equal.
+    """
+    own = weighted.filter(F.col("w") != 0).select("space", "sid", "feature", "w")
+    keys = pairs.select("space", "i", "j")
+    zero = F.lit(0.0)
+    left = keys.join(own.withColumnRenamed("sid", "i"), ["space", "i"]).select("space", "i", "j", "feature", F.col("w").alias("left"), zero.alias("right"))
+    right = keys.join(own.withColumnRenamed("sid", "j"), ["space", "j"]).select("space", "i", "j", "feature", zero.alias("left"), F.col("w").alias("right"))
+    both = left.unionByName(right).groupBy("space", "i", "j", "feature").agg(F.sum("left").alias("left"), F.sum("right").alias("right"))
+    both = both.withColumn("gap", F.round(F.abs(F.col("left") - F.col("right")), 6))
+    rank = F.row_number().over(Window.partitionBy("space", "i", "j").orderBy(F.desc("gap"), "feature"))
+    return both.withColumn("rank", rank).filter(F.col("rank") <= limit).withColumn("dominant", F.when(F.col("left") >= F.col("right"), F.col("i")).otherwise(F.col("j")))
+
+
 def pair_contributions(weighted: DataFrame, pairs: DataFrame, limit: int = 10) -> DataFrame:
     """The ``limit`` strongest common features of each pair: product of weights over product of norms."""
     own = weighted.groupBy("space", "sid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     side = weighted.filter(F.col("w") > 0).join(own, ["space", "sid"]).select("space", "sid", "feature", "w", "norm")
     a = side.withColumnsRenamed({"sid": "i", "w": "wi", "norm": "ni"})
     b = side.withColumnsRenamed({"sid": "j", "w": "wj", "norm": "nj"})
-    met = pairs.select("space", "i", "j").join(a, ["space", "i"]).join(b, ["space", "j", "feature"])
+    # features meet first, so that a pair is joined with its common features only
+    met = a.join(b, ["space", "feature"]).filter(F.col("i") < F.col("j")).join(pairs.select("space", "i", "j"), ["space", "i", "j"])
     value = F.col("wi") * F.col("wj") / (F.col("ni") * F.col("nj"))
     rank = F.row_number().over(Window.partitionBy("space", "i", "j").orderBy(F.desc("contribution"), "feature"))
     return met.select("space", "i", "j", "feature", value.alias("contribution")).withColumn("rank", rank).filter(F.col("rank") <= limit)

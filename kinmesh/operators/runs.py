@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinmesh.session import own_name
+
 
 def latest_runs(runs: DataFrame, *keys: str, created: str = "created_at", tie: str = "run_id") -> DataFrame:
     """The newest run of each key; ``tie`` decides between equal times, the larger wins.
@@ -56,9 +58,20 @@ def eligible_assignments(bundles: DataFrame) -> DataFrame:
 
 
 def unique_ids(rows: DataFrame, candidate: str, *order: str) -> DataFrame:
-    """``rows`` with submission_id: the candidate, with _2, _3, ... for repeats in ``order``."""
-    n = F.row_number().over(Window.partitionBy(candidate).orderBy(*order))
-    return rows.withColumn("_n", n).withColumn("submission_id", F.when(F.col("_n") > 1, F.concat(F.col(candidate), F.lit("_"), F.col("_n").cast("string"))).otherwise(F.col(candidate))).drop("_n")
+    """``rows`` with submission_id: the candidate, with _2, _3, ... for repeats in ``order``.
+
+    A number is passed over where some row's candidate already reads like the result, so ids
+    stay distinct: a repeat takes the n-th number that no candidate has taken.
+    """
+    name = own_name(rows, "nth")
+    nth = F.row_number().over(Window.partitionBy(candidate).orderBy(*order))
+    tail = F.regexp_extract(candidate, r"^(.+)_([1-9][0-9]*)$", 2)
+    taken = rows.filter(tail != "").select(F.regexp_extract(candidate, r"^(.+)_([1-9][0-9]*)$", 1).alias(candidate), F.try_to_number(tail, F.lit("999999999")).cast("bigint").alias("k")).distinct()
+    taken = taken.groupBy(candidate).agg(F.sort_array(F.collect_set("k")).alias(f"{name}_taken"))  # as many as there are ids with that stem
+    df = rows.withColumn(name, nth).join(taken, candidate, "left")
+    free = F.aggregate(F.coalesce(f"{name}_taken", F.array().cast("array<bigint>")), F.col(name).cast("bigint"), lambda n, k: F.when((k >= 2) & (k <= n), n + 1).otherwise(n))
+    made = F.when(F.col(name) > 1, F.concat(F.col(candidate), F.lit("_"), free.cast("string"))).otherwise(F.col(candidate))
+    return df.withColumn("submission_id", made).select(*rows.columns, "submission_id")
 
 
 def submission_id(year, bundle, archive_hash, path, index):

@@ -26,10 +26,29 @@ RARE_LIMIT = 14
 
 
 def rare_signals(weighted: DataFrame, limit: int = RARE_LIMIT) -> DataFrame:
-    """The ``limit`` largest positive weights of each sid among keys with a colon; all keys where a sid has none of those."""
+    """(space, sid, feature, w, kind, has): the ``limit`` largest positive weights of each sid, once among its keys with a
+    colon (kind structured) and once among all (kind any); ``has`` says whether the sid has a key with a colon."""
     marked = weighted.filter(F.col("w") > 0).withColumn("colon", F.col("feature").contains(":"))
-    by = Window.partitionBy("space", "sid", "colon").orderBy(F.desc("w"), "feature")
-    return marked.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit).select("space", "sid", "feature", "w", "colon")
+    order = (F.desc("w"), F.col("feature"))
+    own = F.row_number().over(Window.partitionBy("space", "sid", "colon").orderBy(*order))
+    every = F.row_number().over(Window.partitionBy("space", "sid").orderBy(*order))
+    has = F.max("colon").over(Window.partitionBy("space", "sid"))
+    ranked = marked.withColumns({"own": own, "every": every, "has": has})
+    kinds = F.array_compact(F.array(F.when(F.col("colon") & (F.col("own") <= limit), "structured"), F.when(F.col("every") <= limit, "any")))
+    return ranked.select("space", "sid", "feature", "w", "has", F.explode(kinds).alias("kind"))
+
+
+def rare_overlaps(weighted: DataFrame, limit: int = RARE_LIMIT) -> DataFrame:
+    """(space, i, j, rare_overlap): minima over maxima of the common ones among both sids' rare signals.
+
+    Signals are keys with a colon where both sids have some, else all keys of both. Pairs
+    without a common signal have no row.
+    """
+    top = rare_signals(weighted, limit)
+    a = top.withColumnsRenamed({"sid": "i", "w": "wi", "has": "has_i"})
+    b = top.withColumnsRenamed({"sid": "j", "w": "wj", "has": "has_j"})
+    met = a.join(b, ["space", "feature", "kind"]).filter((F.col("i") < F.col("j")) & ((F.col("kind") == "structured") == (F.col("has_i") & F.col("has_j"))))
+    return met.groupBy("space", "i", "j").agg(safe_ratio(F.sum(F.least("wi", "wj")), F.sum(F.greatest("wi", "wj"))).alias("rare_overlap"))
 
 
 def pair_components(weighted: DataFrame) -> DataFrame:
@@ -51,12 +70,8 @@ def pair_components(weighted: DataFrame) -> DataFrame:
     left, right = side.withColumnsRenamed({"sid": "i", "w": "wi"}), side.select("space", "feature", F.col("sid").alias("j"), F.col("w").alias("wj"))
     met = left.join(right, ["space", "feature"]).filter(F.col("i") < F.col("j"))
     met = met.groupBy("space", "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"), F.sum(F.col("wi") * F.col("wj") * F.col("v")).alias("dotv"), F.sum(F.least("wi", "wj")).alias("low"))
-    top = rare_signals(weighted)
-    tl, tr = top.select("space", "feature", F.col("sid").alias("i"), F.col("w").alias("wi"), "colon"), top.select("space", "feature", F.col("sid").alias("j"), F.col("w").alias("wj"), F.col("colon").alias("colon_j"))
-    colons = top.groupBy("space", "sid").agg(F.bool_or("colon").alias("has"))
-    rare = tl.join(tr, ["space", "feature"]).filter((F.col("i") < F.col("j")) & F.col("colon"))
-    rare = rare.groupBy("space", "i", "j").agg(safe_ratio(F.sum(F.least("wi", "wj")), F.sum(F.greatest("wi", "wj"))).alias("rare_overlap"))
-    a = own.join(colons, ["space", "sid"], "left").select("space", *[F.col(c).alias(f"{c}_i") for c in ("sid", "ww", "mass", "wwv", "wmv", "mmv")])
+    rare = rare_overlaps(weighted)
+    a = own.select("space", *[F.col(c).alias(f"{c}_i") for c in ("sid", "ww", "mass", "wwv", "wmv", "mmv")])
     b = own.select("space", *[F.col(c).alias(f"{c}_j") for c in ("sid", "ww", "mass", "wwv", "wmv")])
     spine = a.join(b, "space").filter(F.col("sid_i") < F.col("sid_j")).withColumnsRenamed({"sid_i": "i", "sid_j": "j"})
     df = spine.join(met, ["space", "i", "j"], "left").join(rare, ["space", "i", "j"], "left").fillna(0.0, ["dot", "dotv", "low", "rare_overlap"])

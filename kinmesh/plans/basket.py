@@ -32,7 +32,7 @@ def basket(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weighted vectors, written once: a few thousand rows that every later step reads."""
     long = materialize(basket(spark, sf_dir), "basket")
-    return M.weighted_features(long, F.broadcast(M.feature_stats(long)))
+    return M.weighted_features(long, M.feature_stats(long))
 
 
 def nodes_of(w: DataFrame) -> DataFrame:
@@ -103,6 +103,28 @@ def pair_rare_overlap(spark, sf_dir):
     return _components(spark, sf_dir).select("space", "i", "j", *_r("rare_overlap"))
 
 
+def mixed_keys(spark, sf_dir):
+    """Weights of parts' sizes under plain keys for all nations, and of brands under keys with a colon for odd ones only."""
+    line = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    orders = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    customer = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("sid"))
+    part = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
+    flat = line.join(orders, "l_orderkey").join(customer, "o_custkey").join(part, "l_partkey")
+    keys = F.array_compact(F.array(F.concat(F.lit("size "), F.col("p_size").cast("string")), F.when(F.col("sid") % 2 == 1, F.concat(F.lit("brand:"), "p_brand"))))
+    sums = flat.select("sid", "l_quantity", F.explode(keys).alias("feature")).groupBy("sid", "feature").agg(F.sum("l_quantity").alias("value"))
+    return sums.select(F.lit("expr").alias("space"), "sid", "feature", F.round(F.log1p("value"), 6).alias("w"))
+
+
+def pair_rare_overlap_fallback(spark, sf_dir):
+    """Rare overlap where even nations have no key with a colon: pairs with one of them fall back to all keys."""
+    return S.rare_overlaps(mixed_keys(spark, sf_dir)).select("i", "j", *_r("rare_overlap"))
+
+
+def pair_differing_signals(spark, sf_dir):
+    w, _, pairs = calibrated(spark, sf_dir)
+    return X.pair_differences(w, pairs).select("space", "i", "j", "rank", "feature", *_r("gap"), "dominant")
+
+
 def pair_hybrid(spark, sf_dir):
     return S.hybrid(_components(spark, sf_dir)).select("space", "i", "j", *_r("raw"))
 
@@ -363,6 +385,17 @@ SELECT 'expr' AS space, sid, feature, round(value, 4) AS value FROM g""",
     "pair_weighted_jaccard": f"WITH {_PAIRS} SELECT space, i, j, {_rs('overlap')} FROM comp",
     "pair_size_similarity": f"WITH {_PAIRS} SELECT space, i, j, {_rs('size')} FROM comp",
     "pair_rare_overlap": f"WITH {_PAIRS} SELECT space, i, j, {_rs('rare_overlap')} FROM comp",
+    "pair_rare_overlap_fallback": """WITH f AS (
+  SELECT c_nationkey AS sid, 'size ' || p_size AS feature, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey
+  UNION ALL SELECT c_nationkey, 'brand:' || p_brand, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey WHERE c_nationkey % 2 = 1),
+w AS (SELECT sid, feature, round(ln(1 + sum(l_quantity)), 6) AS w FROM f GROUP BY ALL),
+s AS (SELECT *, row_number() OVER (PARTITION BY sid, contains(feature, ':') ORDER BY w DESC, feature) AS own, row_number() OVER (PARTITION BY sid ORDER BY w DESC, feature) AS every,
+  bool_or(contains(feature, ':')) OVER (PARTITION BY sid) AS has FROM w WHERE w > 0)
+SELECT a.sid AS i, b.sid AS j, round(sum(least(a.w, b.w)) / sum(greatest(a.w, b.w)), 4) AS rare_overlap FROM s a JOIN s b ON a.feature = b.feature AND a.sid < b.sid
+WHERE CASE WHEN a.has AND b.has THEN contains(a.feature, ':') AND a.own <= 14 AND b.own <= 14 ELSE a.every <= 14 AND b.every <= 14 END GROUP BY ALL""",
+    "pair_differing_signals": f"""WITH {_CAL}, g AS (SELECT a.space, a.sid AS i, b.sid AS j, a.feature, abs(a.w - b.w) AS gap, CASE WHEN a.w >= b.w THEN a.sid ELSE b.sid END AS dominant
+  FROM z a JOIN z b ON a.space = b.space AND a.feature = b.feature AND a.sid < b.sid WHERE a.w <> 0 OR b.w <> 0)
+  SELECT space, i, j, rank, feature, {_rs('gap')}, dominant FROM (SELECT *, row_number() OVER (PARTITION BY space, i, j ORDER BY round(gap, 6) DESC, feature) AS rank FROM g) WHERE rank <= 10""",
     "pair_hybrid": f"WITH {_PAIRS} SELECT space, i, j, {_rs('raw')} FROM hyb",
     "pair_calibrated": f"WITH {_CAL} SELECT space, i, j, {_rs('raw', 'cal')} FROM p",
     "similarity_stats": f"""WITH {_CAL} SELECT space, count(*) AS n, round(min(cal), 4) AS min, round(max(cal), 4) AS max, round(avg(cal), 4) AS mean,

@@ -6,6 +6,8 @@ Nothing here touches Spark; the operators run these helpers inside tasks.
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
 import gc
 import heapq
 import json
@@ -69,6 +71,12 @@ def built(kind: Callable, args: tuple):
     return made
 
 
+def trim() -> None:
+    """Give freed memory back to the system where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Memo(dict):
     """A dictionary that computes what it misses and holds two generations of at most ``size`` entries.
 
@@ -84,6 +92,10 @@ class Memo(dict):
     def compute(self, key):
         raise NotImplementedError
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:

@@ -11,12 +11,13 @@ Ids are packed as little-endian unsigned 32-bit integers, as training shards hol
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmesh.llm.bpe import Deferred, Memo, Transducer, Utf8Decoder, load_ranks, piece_finder
+from kinmesh.llm.bpe import Deferred, Memo, Transducer, Utf8Decoder, load_ranks, piece_finder, trim
 from kinmesh.session import own_name, read_table
 
 #: Ids decoded at a time, and rows of a batch held as Python values at a time.
@@ -54,6 +55,12 @@ class Codec(Decoder):
         self.find = piece_finder()
         self.packed = Packed(Transducer(ranks), cache)
 
+    def forget(self) -> None:
+        """Drop what texts have filled at the end of a task: an executor keeps more workers than it runs tasks."""
+        self.packed.forget()
+        self.packed.transducer.restart()
+        trim()
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.packed.__getitem__, self.find(text)))
 
@@ -76,9 +83,11 @@ def codec_columns(spark: SparkSession, ranks: str) -> tuple:
     plain = spark.sparkContext.broadcast(Deferred(Decoder, held))
 
     @F.arrow_udf("binary")
-    def encode(texts: pa.Array) -> pa.Array:
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = sent.value
-        return sliced(texts, lambda ts: pa.array([codec.encode(t) if t else b"" for t in ts], pa.binary()))
+        for texts in batches:
+            yield sliced(texts, lambda ts: pa.array([codec.encode(t) if t else b"" for t in ts], pa.binary()))
+        codec.forget()
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
@@ -86,14 +95,16 @@ def codec_columns(spark: SparkSession, ranks: str) -> tuple:
         return sliced(ids, lambda xs: pa.array([None if x is None else decoder.decode(x) for x in xs], pa.string()))
 
     @F.arrow_udf("struct<ids:binary,decoded:string>")
-    def both(texts: pa.Array) -> pa.Array:
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = sent.value
 
         def run(ts: list) -> pa.Array:
             ids = [codec.encode(t) if t else b"" for t in ts]
             return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.string())], ["ids", "decoded"])
 
-        return sliced(texts, run)
+        for texts in batches:
+            yield sliced(texts, run)
+        codec.forget()
 
     return encode, decode, both
 

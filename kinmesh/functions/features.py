@@ -47,6 +47,7 @@ LABELS = (
     ("ast_provider:", "AST-Provider %s"),
     ("ast_parse_status:", "AST-Parse-Status %s"),
 )
+#: German labels of operator groups.
 OPERATOR_LABELS = {
     "assignment": "Zuweisungsoperatoren",
     "comparison": "Vergleichsoperatoren",
@@ -56,6 +57,33 @@ OPERATOR_LABELS = {
 }
 
 
+#: German labels of families, and the families that a space's agreement is told by.
+FAMILY_LABELS = {
+    "surface": "Oberfläche",
+    "calls": "Aufrufmuster",
+    "control": "Kontrollfluss",
+    "ast": "AST-Form",
+    "size": "Größe/Volumen",
+    "style": "Stil/Format",
+    "semantics": "inhaltliches Signal",
+    "parsing": "Parser-/AST-Status",
+    "other": "sonstiges Signal",
+}
+AGREEMENT = {
+    "expr": (("surface", "Oberfläche"), ("calls", "Aufrufmuster"), ("style", "Stil/Format"), ("size", "Größe")),
+    "struct": (("control", "Kontrollfluss"), ("ast", "AST-Form"), ("style", "Methoden-/Blockprofil"), ("size", "Größe")),
+    "sem": (("semantics", "Strategie-/API-Signal"), ("calls", "Aufrufmuster"), ("surface", "Oberflächenreste")),
+    "fusion": (("surface", "Oberfläche"), ("control", "Struktur"), ("semantics", "Inhalt/Strategie")),
+}
+
+
+def family_label(family: Column) -> Column:
+    out = family
+    for name, label in FAMILY_LABELS.items():
+        out = F.when(family == name, label).otherwise(out)
+    return out
+
+
 def _any(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 

@@ -31,6 +31,7 @@ OPERATORS = {
     "arithmetic": r"(?:\+|-|\*|/|%)",
     "bitwise": r"(?:&|\||\^|~|<<|>>|>>>)",
 }
+#: Keywords counted, shapes of identifiers, words of type and call families.
 EXPR_KEYWORDS = ("if", "for", "while", "switch", "return", "try", "catch", "throw", "new")
 SHAPES = {
     "single_char": r"^[A-Za-z]$",
@@ -124,6 +125,17 @@ def mask_literals(text: Column) -> Column:
     return F.regexp_replace(strings, r"(?U)(?<!\w)\d+(?:\.\d+)?(?!\w)", "NUM")
 
 
+def normalizations(text: Column, bare: Column) -> dict[str, Column]:
+    """The forms of a source: raw, whitespace, no_comments, masked_identifiers, masked_literals. ``bare`` is the text without comments."""
+    return {
+        "raw": text,
+        "whitespace": normalize_whitespace(text),
+        "no_comments": normalize_whitespace(bare),
+        "masked_identifiers": normalize_whitespace(mask_identifiers(bare)),
+        "masked_literals": normalize_whitespace(mask_literals(bare)),
+    }
+
+
 def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 

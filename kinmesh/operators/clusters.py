@@ -96,6 +96,36 @@ def central_members(members: DataFrame, pairs: DataFrame, limit: int = 3) -> Dat
     return df.withColumn("rank", rank).filter(F.col("rank") <= limit)
 
 
+def exemplars(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(space, cluster, exemplar): the member of the largest sum of similarities to the others times its strength, 0.1 at least; ties by sid."""
+    own = members.filter(F.col("cluster").isNotNull()).select("space", "sid", "cluster", F.greatest(F.lit(0.1), "strength").alias("strength"))
+    there = mirrored(pairs).join(own.withColumnRenamed("sid", "src"), ["space", "src"])
+    other = own.select("space", F.col("sid").alias("dst"), F.col("cluster").alias("other"))
+    sums = there.join(other, ["space", "dst"]).filter(F.col("cluster") == F.col("other")).groupBy("space", F.col("src").alias("sid")).agg(F.sum("cal").alias("near"))
+    df = own.join(sums, ["space", "sid"], "left").withColumn("score", F.round(F.coalesce("near", F.lit(0.0)) * F.col("strength"), 9))
+    return df.groupBy("space", "cluster").agg(F.min_by("sid", F.struct(-F.col("score"), "sid")).alias("exemplar"))
+
+
+def cluster_report(members: DataFrame, pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(space, cluster, size, internal_density, avg_similarity, mean_strength, span, exemplar, method), and with a null cluster
+    the noise of a space: its size and mean outlier score 1 - strength.
+
+    A space of one submission is a cluster of method singleton with all metrics 1 and span 0.
+    """
+    n = members.groupBy("space").agg(F.count(F.lit(1)).alias("n"))
+    df = members.join(n, "space")
+    alone = F.col("n") == 1
+    df = df.withColumn("cluster", F.when(alone, F.col("sid")).otherwise(F.col("cluster"))).withColumn("strength", F.when(alone, 1.0).otherwise(F.col("strength")))
+    inner = df.filter(F.col("cluster").isNotNull())
+    density = component_density(inner.select("space", "sid", F.col("cluster").alias("component")), edges).select("space", F.col("component").alias("cluster"), F.col("density").alias("internal_density"))
+    strength = inner.groupBy("space", "cluster").agg(F.round(F.avg("strength"), 6).alias("mean_strength"), F.max("n").alias("n"))
+    found = cluster_metrics(df, pairs).join(density, ["space", "cluster"]).join(strength, ["space", "cluster"]).join(exemplars(df, pairs), ["space", "cluster"])
+    method = F.when(F.col("n") == 1, "singleton").otherwise("graph_support_components")
+    found = found.select("space", "cluster", "size", "internal_density", "avg_similarity", "mean_strength", "span", "exemplar", method.alias("method"), F.lit(None).cast("double").alias("outlier_score"))
+    noise = df.filter(F.col("cluster").isNull()).groupBy("space").agg(F.count(F.lit(1)).alias("size"), F.avg(1 - F.col("strength")).alias("outlier_score"))
+    return found.unionByName(noise.withColumn("method", F.lit("noise")), allowMissingColumns=True)
+
+
 def signature_lift(members: DataFrame, weighted: DataFrame, top: int = 8, low: int = 5) -> DataFrame:
     """Feature lift of each cluster: mean over members less mean over the rest, absent features as 0.
 

@@ -156,6 +156,22 @@ def space_profile(pairs: DataFrame) -> DataFrame:
     return row.withColumns({f"w_{s}": F.when(total > 0, F.col(f"x_{s}") / total).otherwise(1 / 3) for s in spaces}).drop(*[f"{p}_{s}" for p in "sqx" for s in spaces])
 
 
+def fused_representations(weighted: DataFrame, profile: DataFrame, limit: int = 12) -> DataFrame:
+    """(sid, rank, feature, w, share): the ``limit`` largest dimensions of each sid over the fused spaces, under ``space|feature``.
+
+    A weight counts with its space's weight times 0.55 + 0.45 of the space's uniqueness.
+    ``profile`` is the one row of :func:`space_profile`.
+    """
+    discount = F.lit(0.0)
+    for s in FUSION_BASE:
+        discount = F.when(F.col("space") == s, F.col(f"w_{s}") * (0.55 + 0.45 * F.col(f"u_{s}"))).otherwise(discount)
+    own = weighted.filter(F.col("space").isin(*FUSION_BASE) & (F.abs("w") >= 1e-9)).crossJoin(F.broadcast(profile))  # one row
+    own = own.select("sid", F.concat_ws("|", "space", "feature").alias("feature"), (discount * F.col("w")).alias("w"))
+    by = Window.partitionBy("sid")
+    ranked = own.withColumn("share", F.abs("w") / F.sum(F.abs("w")).over(by)).withColumn("rank", F.row_number().over(by.orderBy(F.abs("w").desc(), F.col("feature").desc())))
+    return ranked.filter(F.col("rank") <= limit).select("sid", "rank", "feature", "w", "share")
+
+
 def fuse(pairs: DataFrame) -> DataFrame:
     """(space 'fusion', i, j, raw, cal, mean, agreement, n_support) over calibrated pairs of the three spaces."""
     spaces = list(FUSION_BASE)

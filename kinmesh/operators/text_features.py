@@ -9,7 +9,10 @@ from kinmesh.functions import text as X
 from kinmesh.functions.features import safe_ratio
 
 IMPORT = r"(?m)^\s*import\s+([A-Za-z0-9_.*]+)\s*;"
-CONSTRUCTOR = r"\b([A-Z][A-Za-z0-9_]*)\s*\([^;{}]*\)\s*(?:throws\s+[^ {]+)?\{"
+#: Patterns of imports, constructors and methods.
+#: One word of the type stands for all: words before it start a match earlier and end none elsewhere, but cost a search each.
+METHOD = r"(?U)\b[A-Za-z_][A-Za-z0-9_<>\[\]]+\s+[A-Za-z_][A-Za-z0-9_]*\s*\([^;{}]*\)\s*(?:throws\s+[^ {]+)?\{"
+CONSTRUCTOR = r"(?U)\b([A-Z][A-Za-z0-9_]*)\s*\([^;{}]*\)\s*(?:throws\s+[^ {]+)?\{"
 
 
 def prepared(files: DataFrame, text: str = "text") -> DataFrame:
@@ -90,11 +93,12 @@ def expr_features(df: DataFrame) -> Column:
         "comment_line_ratio": F.col("_cut.comment_lines") / F.greatest(lines, F.lit(1)),
         "comment_char_ratio": F.col("_cut.comment_chars") / F.greatest(F.length(src), F.lit(1)),
         "masked_token_entropy": X.entropy(words),
+        "method_signature_count": F.regexp_count(code, F.lit(METHOD)),
         "constructor_signature_count": F.regexp_count(code, F.lit(CONSTRUCTOR)),
         "import_stmt_count": F.regexp_count(code, F.lit(IMPORT)),
     }
     scalars |= line_buckets(lengths) | identifier_shapes(F.col("_ids")) | token_categories(tokens)
-    scalars |= {f"keyword:{k}": F.regexp_count(code, F.lit(rf"\b{k}\b")) for k in X.EXPR_KEYWORDS}
+    scalars |= {f"keyword:{k}": F.regexp_count(code, F.lit(rf"(?U)\b{k}\b")) for k in X.EXPR_KEYWORDS}
     scalars |= {f"operator:{k}": F.regexp_count(code, F.lit(p)) for k, p in X.OPERATORS.items()}
     return _entries(
         scalars,
@@ -126,7 +130,7 @@ def call_names(code: Column, k: int) -> Column:
 
 def sem_features(df: DataFrame) -> Column:
     code = F.col("_code")
-    words = lambda *names: F.regexp_count(code, F.lit(rf"\b(?:{'|'.join(names)})\b"))
+    words = lambda *names: F.regexp_count(code, F.lit(rf"(?U)\b(?:{'|'.join(names)})\b"))
     imports = F.regexp_extract_all(code, F.lit(IMPORT), F.lit(1))
     scalars = {
         "try_count": words("try"),
@@ -139,7 +143,7 @@ def sem_features(df: DataFrame) -> Column:
     for family, names in X.TYPE_FAMILIES.items():
         scalars[f"type_family:{family}"] = sum((X.count_substring(code, n) for n in names), F.lit(0))
     for family, names in X.CALL_FAMILIES.items():
-        scalars[f"call_family:{family}"] = F.regexp_count(code, F.lit(rf"\b(?:{'|'.join(sorted(names, key=len, reverse=True))})\s*\("))
+        scalars[f"call_family:{family}"] = F.regexp_count(code, F.lit(rf"(?U)\b(?:{'|'.join(sorted(names, key=len, reverse=True))})\s*\("))
     scalars["import_count_total"] = F.size(imports)
     total = sum((v.cast("double") for v in scalars.values()), F.lit(0.0))
     scalars["semantic_signal_density"] = total / F.greatest(F.size("_tokens"), F.lit(1))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinmesh.functions.features import AGREEMENT
 from kinmesh.operators import clusters as C
 from kinmesh.operators import explain as X
 from kinmesh.operators import model as M
@@ -47,7 +48,7 @@ def calibrated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 
 #: Stored with 6 decimals by their operators; shown as they are, since rounding them again would meet ties.
-SIX = ("raw", "cal", "density", "strength", "lift")
+SIX = ("raw", "cal", "density", "strength", "lift", "gap")
 
 
 def _r(*names: str) -> list:
@@ -235,6 +236,46 @@ def explain_pair(spark, sf_dir):
     return found.select("space", "i", "j", "relation", "dominant_family", *_r("strength"), "verdict", "strongest_component", "summary")
 
 
+def explain_pair_report(spark, sf_dir):
+    w, comp, pairs = calibrated(spark, sf_dir)
+    found = X.pair_reports(pairs, X.pair_contributions(w, pairs), X.pair_differences(w, pairs), comp)
+    names = lambda column, f: F.array_join(F.transform(column, lambda e: e[f]), "|").alias(column)
+    verdicts = F.array_join(F.transform("agreement", lambda a: F.concat_ws(":", a["dimension"], a["verdict"])), "|").alias("verdicts")
+    return found.select("space", "i", "j", "summary", F.array_join("dominant_families", "|").alias("families"), names("shared", "feature"), names("different", "feature"), verdicts)
+
+
+def _cluster_parts(spark, sf_dir):
+    w, pairs, edges, members = _clustered(spark, sf_dir)
+    lifts = materialize(C.signature_lift(members, w), "lifts")
+    return w, pairs, edges, members, lifts, materialize(C.cluster_report(members, pairs, edges), "report")
+
+
+def cluster_report(spark, sf_dir):
+    return _cluster_parts(spark, sf_dir)[5].select("space", "cluster", F.col("size").cast("bigint").alias("size"), "method", "exemplar", *[F.round(c, 4).alias(c) for c in ("internal_density", "avg_similarity", "mean_strength", "span", "outlier_score")])
+
+
+def explain_cluster_report(spark, sf_dir):
+    _, pairs, _, members, lifts, report = _cluster_parts(spark, sf_dir)
+    metrics = report.filter(F.col("cluster").isNotNull()).select("space", "cluster", F.col("internal_density").alias("density"), "avg_similarity", "span")
+    found = X.explain_clusters(metrics, lifts, C.central_members(members, pairs), C.cluster_pair_summaries(members, pairs))
+    names = lambda column: F.coalesce(F.array_join(F.transform(column, lambda e: e["feature"]), "|"), F.lit("")).alias(column)
+    lines = lambda column: F.coalesce(F.size(column), F.lit(0)).alias(column)
+    return found.select("space", "cluster", "summary", F.array_join("core_members", "|").alias("core"), names("cohesion_basis"), names("boundary_basis"), lines("internal_story"), lines("external_story"))
+
+
+def explain_submission_report(spark, sf_dir):
+    _, pairs, edges, members, lifts, _ = _cluster_parts(spark, sf_dir)
+    top = N.incident_top_edges(edges).withColumn("edge_type", F.lit("mutual_knn"))
+    sizes = C.decorate(C.cluster_metrics(members, pairs))
+    found = X.explain_submissions(members, top, sizes, lifts)
+    return found.select("space", "sid", "summary", F.size("neighbor_story").alias("neighbors"), F.array_join("why_here", "|").alias("why_here"), F.array_join("why_not_else", "|").alias("why_not_else"))
+
+
+def fused_representations(spark, sf_dir):
+    w, _, pairs = calibrated(spark, sf_dir)
+    return S.fused_representations(w, S.space_profile(pairs)).select("sid", "rank", "feature", *_r("w", "share"))
+
+
 # --- SQL -----------------------------------------------------------------------------------
 
 _BLEND = "CASE space " + " ".join(f"WHEN '{s}' THEN {w[0]}*profile + {w[1]}*contrast + {w[2]}*overlap + {w[3]}*size + {w[4]}*rare_overlap" for s, w in S.BLEND.items()) + " END"
@@ -335,6 +376,10 @@ ct AS (SELECT *, row_number() OVER (PARTITION BY space, i, j ORDER BY contributi
   JOIN nw na ON na.space = a.space AND na.sid = a.sid JOIN nw nb ON nb.space = b.space AND nb.sid = b.sid WHERE a.w > 0 AND b.w > 0))"""
 
 
+def _rs4(*names: str) -> str:
+    return ", ".join(f"round({n}, 4) AS {n}" for n in names)
+
+
 def _rs(*names: str) -> str:
     return ", ".join(f"round({n}, {6 if n in SIX else 4}) AS {n}" for n in names)
 
@@ -442,4 +487,53 @@ WHERE CASE WHEN a.has AND b.has THEN contains(a.feature, ':') AND a.own <= 14 AN
   SELECT space, i, j, relation, dominant_family, {_rs('strength')}, CASE WHEN coalesce(strength, 0) <= 0 THEN 'kaum sichtbar' WHEN cal >= 0.82 THEN 'hoch' WHEN cal >= 0.6 THEN 'mittel' ELSE 'schwach' END AS verdict, strongest_component,
     'Diese Paarung ist ' || relation || ' und wird vor allem durch ' || coalesce(dominant_family, 'wenige klare Signale') || ' getragen. Dominanter Score-Baustein: ' || strongest_component || '.' AS summary FROM x""",
 }
+_RANKED_CT = "SELECT space, i, j, string_agg(feature, '|' ORDER BY rank) AS shared, sum(contribution) AS strength FROM ct WHERE rank <= {n} GROUP BY ALL"
+_GAPS = """gp AS (SELECT space, i, j, string_agg(feature, '|' ORDER BY rank) AS different FROM (
+    SELECT *, row_number() OVER (PARTITION BY space, i, j ORDER BY gap DESC, feature) AS rank FROM (SELECT a.space, a.sid AS i, b.sid AS j, a.feature, round(abs(a.w - b.w), 6) AS gap
+      FROM z a JOIN z b ON a.space = b.space AND a.feature = b.feature AND a.sid < b.sid WHERE a.w <> 0 OR b.w <> 0)) WHERE rank <= 5 GROUP BY ALL)"""
+_NONE = {space: "|".join(f"{family}:kaum sichtbar" for family, _ in rows) for space, rows in AGREEMENT.items() if space != "fusion"}
+_LIFTS = """c AS (SELECT DISTINCT space, cluster FROM mem WHERE cluster IS NOT NULL),
+  lf AS (SELECT c.space, c.cluster, z.feature, round(avg(w) FILTER (WHERE m.cluster IS NOT DISTINCT FROM c.cluster) - coalesce(avg(w) FILTER (WHERE m.cluster IS DISTINCT FROM c.cluster), 0), 6) AS lift
+    FROM c JOIN z USING (space) JOIN mem m ON m.space = z.space AND m.sid = z.sid GROUP BY ALL),
+  k AS (SELECT *, CASE WHEN lift > 0 THEN 'signature' ELSE 'contrast' END AS kind FROM lf WHERE lift <> 0),
+  kr AS (SELECT *, row_number() OVER (PARTITION BY space, cluster, kind ORDER BY abs(lift) DESC, feature) AS rank FROM k),
+  basis AS (SELECT space, cluster, string_agg(feature, '|' ORDER BY rank) FILTER (WHERE kind = 'signature' AND rank <= 5) AS cohesion, string_agg(feature, '|' ORDER BY rank) FILTER (WHERE kind = 'contrast' AND rank <= 4) AS boundary,
+    string_agg(feature, '|' ORDER BY rank) FILTER (WHERE kind = 'signature' AND rank <= 4) AS here, string_agg(feature, '|' ORDER BY rank) FILTER (WHERE kind = 'contrast' AND rank <= 3) AS elsewhere FROM kr GROUP BY ALL)"""
+_REPORT = """cm AS (SELECT s.space, s.cluster, s.size, s.mean_strength, coalesce(avg(cal), 1.0) AS avg_similarity, coalesce(max(greatest(0, 1 - cal)), 0.0) AS span
+    FROM (SELECT space, cluster, count(*) AS size, round(avg(strength), 6) AS mean_strength FROM mem WHERE cluster IS NOT NULL GROUP BY ALL) s LEFT JOIN pc ON pc.space = s.space AND pc.ci = s.cluster AND pc.cj = s.cluster GROUP BY ALL),
+  dn AS (SELECT m.space, m.cluster, CASE WHEN m.size < 2 THEN 1.0 ELSE round(count(b.sid) * 2.0 / (m.size * (m.size - 1)), 6) END AS internal_density FROM cm m
+    LEFT JOIN mem a ON a.space = m.space AND a.cluster = m.cluster LEFT JOIN e ON e.space = a.space AND e.i = a.sid LEFT JOIN mem b ON b.space = e.space AND b.sid = e.j AND b.cluster = m.cluster GROUP BY m.space, m.cluster, m.size),
+  es AS (SELECT m.space, m.cluster, m.sid, m.strength, coalesce(sum(pc.cal), 0) AS near FROM mem m
+    LEFT JOIN pc ON pc.space = m.space AND pc.ci = m.cluster AND pc.cj = m.cluster AND m.sid IN (pc.i, pc.j) WHERE m.cluster IS NOT NULL GROUP BY ALL),
+  ex AS (SELECT space, cluster, sid AS exemplar FROM (SELECT *, row_number() OVER (PARTITION BY space, cluster ORDER BY round(near * greatest(0.1, strength), 9) DESC, sid) AS rn FROM es) WHERE rn = 1),
+  o AS (SELECT *, 'C' || row_number() OVER (PARTITION BY space ORDER BY size DESC, avg_similarity DESC, cluster) AS label FROM cm),
+  core AS (SELECT space, cluster, string_agg(sid::VARCHAR, '|' ORDER BY mean DESC, sid) AS core FROM (SELECT *, row_number() OVER (PARTITION BY space, cluster ORDER BY mean DESC, sid) AS rn FROM (
+    SELECT m.space, m.cluster, m.sid, coalesce(avg(pc.cal), 1.0) AS mean FROM mem m LEFT JOIN pc ON pc.space = m.space AND pc.ci = m.cluster AND pc.cj = m.cluster AND m.sid IN (pc.i, pc.j) WHERE m.cluster IS NOT NULL GROUP BY ALL)) WHERE rn <= 3 GROUP BY ALL)"""
+SQL |= {
+    "explain_pair_report": f"""WITH {_CAL} {_CONTRIB}, s8 AS ({_RANKED_CT.format(n=8)}), s5 AS ({_RANKED_CT.format(n=5)}), {_GAPS},
+  x AS (SELECT p.space, p.i, p.j, s5.shared, different, coalesce(s8.strength, 0) > 0 AS carried, CASE WHEN cal >= 0.82 THEN 'stark' WHEN cal >= 0.6 THEN 'mittel' WHEN cal >= 0.4 THEN 'locker' ELSE 'schwach' END AS relation,
+    CASE greatest(profile, contrast, overlap, size, rare_overlap) WHEN profile THEN 'profile' WHEN contrast THEN 'contrast' WHEN overlap THEN 'overlap' WHEN size THEN 'size' ELSE 'rare_overlap' END AS best
+    FROM p JOIN comp USING (space, i, j) LEFT JOIN s8 USING (space, i, j) LEFT JOIN s5 USING (space, i, j) LEFT JOIN gp USING (space, i, j))
+  SELECT space, i, j, 'Diese Paarung ist ' || relation || ' und wird vor allem durch ' || CASE WHEN carried THEN 'sonstiges Signal' ELSE 'wenige klare Signale' END || ' getragen. Dominanter Score-Baustein: ' || best || '.' AS summary,
+    CASE WHEN carried THEN 'sonstiges Signal' ELSE '' END AS families, shared, different, CASE space {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _NONE.items())} END AS verdicts FROM x""",
+    "cluster_report": f"""WITH RECURSIVE {_CLUSTERS}, {_REPORT}
+  SELECT space, cluster, size, 'graph_support_components' AS method, exemplar, {_rs4("internal_density", "avg_similarity", "mean_strength", "span")}, NULL::DOUBLE AS outlier_score FROM cm JOIN dn USING (space, cluster) JOIN ex USING (space, cluster)
+  UNION ALL SELECT space, NULL, count(*), 'noise', NULL, NULL, NULL, NULL, NULL, round(avg(1 - strength), 4) FROM mem WHERE cluster IS NULL GROUP BY space""",
+    "explain_cluster_report": f"""WITH RECURSIVE {_CLUSTERS}, {_LIFTS}, {_REPORT},
+  inn AS (SELECT space, ci AS cluster, least(3, count(*))::INT AS n FROM pc WHERE ci = cj GROUP BY ALL),
+  oux AS (SELECT space, cluster, least(3, count(*))::INT AS n FROM (SELECT space, ci AS cluster FROM pc WHERE ci IS NOT NULL AND ci IS DISTINCT FROM cj UNION ALL SELECT space, cj FROM pc WHERE cj IS NOT NULL AND ci IS DISTINCT FROM cj) GROUP BY ALL)
+  SELECT space, cluster, 'Das Cluster ist ' || CASE WHEN internal_density >= 0.66 AND avg_similarity >= 0.72 THEN 'eng' WHEN internal_density >= 0.4 THEN 'mittel' ELSE 'locker' END || ' und hält vor allem über '
+      || CASE WHEN cohesion IS NULL THEN 'gemischte Signale' ELSE 'sonstiges Signal' END || ' zusammen. Typische Vertreter sind ' || replace(core, '|', ', ') || '.'
+      || CASE WHEN span >= 0.45 THEN ' Es gibt aber spürbare interne Varianz, also eher eine Lösungsfamilie als einen Near-Duplicate-Block.' ELSE '' END AS summary,
+    core, coalesce(cohesion, '') AS cohesion_basis, coalesce(boundary, '') AS boundary_basis, coalesce(inn.n, 0) AS internal_story, coalesce(oux.n, 0) AS external_story
+  FROM cm JOIN dn USING (space, cluster) JOIN core USING (space, cluster) LEFT JOIN basis USING (space, cluster) LEFT JOIN inn USING (space, cluster) LEFT JOIN oux USING (space, cluster)""",
+    "explain_submission_report": f"""WITH RECURSIVE {_CLUSTERS}, {_LIFTS}, {_REPORT}, deg AS (SELECT space, sid, count(*) AS n FROM (SELECT space, i AS sid FROM e UNION ALL SELECT space, j FROM e) GROUP BY ALL)
+  SELECT m.space, m.sid, CASE WHEN m.is_noise THEN m.sid || ' ist hier aktuell Noise. Es gibt lokale Ähnlichkeiten, aber keine dichte oder stabile Einbettung in einen Cluster.'
+      ELSE m.sid || ' liegt in ' || o.label || ' mit ' || o.size || ' Mitgliedern. Die Zuordnung wird vor allem durch die typischen Cluster-Signaturen und die stärksten Nachbarverbindungen getragen.' END AS summary,
+    least(coalesce(deg.n, 0), CASE WHEN m.is_noise THEN 3 ELSE 4 END)::INT AS neighbors, CASE WHEN m.is_noise THEN '' ELSE replace(coalesce(here, ''), '_', ' ') END AS why_here,
+    CASE WHEN m.is_noise THEN 'zu wenig starker Mehrfach-Support zu anderen Lösungen|Ähnlichkeit verteilt sich eher punktuell als als dichter Block' ELSE replace(coalesce(elsewhere, ''), '_', ' ') END AS why_not_else
+  FROM mem m LEFT JOIN o ON o.space = m.space AND o.cluster = m.cluster LEFT JOIN basis b ON b.space = m.space AND b.cluster = m.cluster LEFT JOIN deg ON deg.space = m.space AND deg.sid = m.sid""",
+    "fused_representations": f"""WITH {_PROFILE}, d AS (SELECT sid, space || '|' || feature AS feature, w * CASE space WHEN 'expr' THEN w_expr * (0.55 + 0.45 * u_expr) WHEN 'struct' THEN w_struct * (0.55 + 0.45 * u_struct) ELSE w_sem * (0.55 + 0.45 * u_sem) END AS w FROM z, sp WHERE abs(w) >= 1e-9)
+  SELECT sid, rank, feature, {_rs("w", "share")} FROM (SELECT *, abs(w) / sum(abs(w)) OVER (PARTITION BY sid) AS share, row_number() OVER (PARTITION BY sid ORDER BY abs(w) DESC, feature DESC) AS rank FROM d) WHERE rank <= 12""",
+}
 QUERIES = {name: globals()[name] for name in SQL}

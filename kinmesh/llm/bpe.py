@@ -240,7 +240,7 @@ class Transducer:
     between two pieces and filled anew by what the next texts need.
     """
 
-    def __init__(self, ranks: dict[bytes, int], states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], states: int = 120_000):
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.prefixes = {}

@@ -50,7 +50,7 @@ class Packed(Memo):
 
 
 class Codec(Decoder):
-    def __init__(self, ranks: dict[bytes, int], cache: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], cache: int = 80_000):
         super().__init__(ranks)
         self.find = piece_finder()
         self.packed = Packed(Transducer(ranks), cache)

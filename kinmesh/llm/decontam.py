@@ -4,20 +4,22 @@
 2. One pass over the documents keeps the texts that hold a seed. The pass asks a bit array
    of fixed size, filled from all seeds, so what is broadcast does not grow with the
    benchmark; a larger benchmark only lets more texts through to the next step.
-3. The survivors' seeds join the benchmark's seeds: exact pairs of text and item. Equal texts
-   are joined once, under the digest of the text.
+3. The survivors' seeds join the benchmark's seeds and are counted by pair of text and item;
+   pairs whose seeds cannot reach the threshold end here. Equal texts are joined once, under
+   the digest of the text, and so are equal items.
 4. Each pair is tiled: the longest runs common to both that overlap nothing marked are
    marked first, again and again down to ``MIN_TILE`` tokens, with rolling hashes
    (Karp-Rabin) to find them and a comparison to confirm them. Tiles may lie in any order, so
    reordered passages are found. A pair counts if tiles cover ``MIN_COVERAGE`` of the item.
 
-Tokens are lower-cased runs of letters, digits and underscores. An item with fewer than
-``MIN_TILE`` tokens has no seed and is never matched. Null texts have no tokens.
+Tokens are lower-cased runs of letters, digits and underscores. A row of fewer than
+``MIN_TILE`` tokens, in an item or a text, has its whole as its one seed: an item that short
+is matched by texts that are as short and equal it, not by longer ones, where so few tokens
+meet by chance. Null texts and texts without a token match nothing.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 
 import numpy as np
@@ -32,6 +34,8 @@ from kinmesh.session import materialize, own_name, read_table
 MIN_TILE = 5
 MIN_COVERAGE = 0.5
 FILTER_BITS = 1 << 24
+#: Digests of contaminated texts up to which they are broadcast (about 25 MB); beyond, both sides meet by a shuffle.
+MOST_SENT = 200_000
 
 find_tokens = re.compile(r"\w+").findall
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -85,64 +89,89 @@ def passing(table: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return seeds[(table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
 
 
+class Side:
+    """One side of a tiling: its tokens, which of them are free, and where runs may not cross."""
+
+    def __init__(self, tokens: np.ndarray, places: np.ndarray):
+        self.tokens, self.places, self.free = tokens, places, np.ones(len(tokens), bool)
+
+    def starts(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of free runs of ``size`` tokens that lie side by side, and their Karp-Rabin hashes."""
+        n = len(self.tokens) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        used = np.concatenate([[0], np.cumsum(~self.free)])
+        at = np.flatnonzero((used[size:] == used[:n]) & (self.places[size - 1 :] - self.places[:n] == size - 1))
+        return at, rolled(self.tokens, size)[at]
+
+
+def matches(item: Side, text: Side, size: int) -> list[tuple[int, int]]:
+    """Starts of equal free runs of ``size`` tokens, by place in the item, then in the text; hashes find, tokens confirm."""
+    i, h = item.starts(size)
+    t, g = text.starts(size)
+    near = np.isin(h, g)
+    if not near.any():
+        return []
+    where: dict[int, list[int]] = {}
+    for at in np.flatnonzero(np.isin(g, h[near])):
+        where.setdefault(int(g[at]), []).append(int(t[at]))
+    return [(int(a), b) for a, x in zip(i[near], h[near], strict=True) for b in where.get(int(x), ()) if np.array_equal(item.tokens[a : a + size], text.tokens[b : b + size])]
+
+
 def tile(text: np.ndarray, item: np.ndarray, least: int = MIN_TILE) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two token rows: (place in item, place in text, length) of each tile.
 
-    Matches are longest first, then by place in the item, then in the text. Candidate
-    diagonals come from rolling hashes of ``least`` tokens; runs are extended over unmarked
-    tokens and confirmed token by token (tokens are their 64-bit hashes).
+    Each pass finds the greatest length at which free runs of both sides are equal, by
+    Karp-Rabin hashes rolled at one length after the other (a run of a length holds one of each
+    less, so lengths are searched by halving), and marks the runs of that length, by place in
+    the item, then in the text, as long as they stay free. Passes go on below that length down
+    to ``least``. Only the parts of the text that share a run of ``least`` with the item are read.
     """
-    seeds: dict[int, list[int]] = {}
-    wanted = rolled(item, least)
-    have = rolled(text, least)
-    for at in np.flatnonzero(np.isin(have, wanted)):
-        seeds.setdefault(int(have[at]), []).append(int(at))
-    # maximal runs: start where the tokens before differ
-    runs = set()
-    for i, h in enumerate(wanted):
-        for t in seeds.get(int(h), ()):
-            if i and t and item[i - 1] == text[t - 1]:
-                continue
-            n = 0
-            while i + n < len(item) and t + n < len(text) and item[i + n] == text[t + n]:
-                n += 1
-            if n >= least:
-                runs.add((-n, i, t))
-    free_item, free_text = np.ones(len(item), bool), np.ones(len(text), bool)
-    tiles = []
-    queue = list(runs)
-    heapq.heapify(queue)
-    while queue and free_item.any():
-        n, i, t = heapq.heappop(queue)
-        n = -n
-        both = free_item[i : i + n] & free_text[t : t + n]
-        if both.all():
-            free_item[i : i + n] = False
-            free_text[t : t + n] = False
-            tiles.append((i, t, n))
-            continue
-        # what is left of a run that a longer tile has cut goes back by its own length
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], both.view(np.int8), [0]])))
-        for a, b in zip(edges[::2], edges[1::2], strict=True):
-            if b - a >= least:
-                heapq.heappush(queue, (-int(b - a), i + int(a), t + int(a)))
+    shared = np.isin(rolled(text, least), rolled(item, least))
+    if not shared.any():
+        return []
+    kept = np.zeros(len(text) + 1, np.int64)
+    np.add.at(kept, np.flatnonzero(shared), 1)
+    np.add.at(kept, np.flatnonzero(shared) + least, -1)
+    places = np.flatnonzero(np.cumsum(kept)[:-1] > 0)
+    a, b = Side(item, np.arange(len(item))), Side(text[places], places)
+    tiles, top = [], min(len(item), len(places))
+    while a.free.any():
+        low, high = least - 1, top
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if matches(a, b, middle) else (low, middle - 1)
+        if low < least:
+            break
+        for i, t in matches(a, b, low):
+            if a.free[i : i + low].all() and b.free[t : t + low].all():
+                a.free[i : i + low] = b.free[t : t + low] = False
+                tiles.append((i, int(places[t]), low))
+        top = low - 1
     return tiles
 
 
-def benchmark_seeds(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, tokens, seed): a row for each distinct seed of each item."""
+def seeds_of(tokens: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of MIN_TILE tokens; of a shorter row the hash of the whole."""
+    return rolled(tokens, min(MIN_TILE, max(1, len(tokens))))
 
-    @F.arrow_udf("struct<tokens:array<bigint>,seeds:array<bigint>>")
+
+def benchmark_seeds(items: DataFrame, text: str = "text") -> DataFrame:
+    """(item_key, tokens, seeds, times): for each distinct text of the items its tokens, its distinct seeds and how often each occurs."""
+
+    @F.arrow_udf("struct<tokens:array<bigint>,seeds:array<bigint>,times:array<bigint>>")
     def run(texts: pa.Array) -> pa.Array:
         hashes, out = TokenHashes(), []
         for t in texts.to_pylist():
             tokens = hashes(t)
-            out.append({"tokens": tokens.view(np.int64), "seeds": np.unique(rolled(tokens, MIN_TILE)).view(np.int64)})
+            seeds, times = np.unique(seeds_of(tokens), return_counts=True)
+            out.append({"tokens": tokens.view(np.int64), "seeds": seeds.view(np.int64), "times": times})
         longs = pa.list_(pa.int64())
-        return pa.array(out, pa.struct([("tokens", longs), ("seeds", longs)]))
+        return pa.array(out, pa.struct([("tokens", longs), ("seeds", longs), ("times", longs)]))
 
-    found = items.select(F.col(item_id).alias("item_id"), run(F.col(text)).alias("s"))
-    return materialize(found.select("item_id", "s.tokens", F.col("s.seeds").alias("seeds")), "seeds")
+    own = items.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()).distinct()
+    found = own.select(F.sha2("text", 256).alias("item_key"), run(F.col("text")).alias("s"))
+    return materialize(found.select("item_key", "s.*").filter(F.size("seeds") > 0), "seeds")
 
 
 def seed_filter(seeds: DataFrame) -> np.ndarray:
@@ -165,9 +194,11 @@ def seed_filter(seeds: DataFrame) -> np.ndarray:
 
 
 def contaminated_texts(df: DataFrame, items: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
-    """(survivors with ``keep`` and text_key, verdicts by text_key and item).
+    """(survivors with ``keep`` and text_key, verdicts by text_key and item_key).
 
-    Verdicts hold coverage, n_tiles, longest_tile for each pair that reaches MIN_COVERAGE.
+    Verdicts hold coverage, n_tiles, longest_tile for each pair of texts that reaches
+    MIN_COVERAGE. Every tile of n tokens begins n - MIN_TILE + 1 shared seeds of the item, so a
+    pair whose shared seeds, with repeats, times MIN_TILE fall short of that share is not tiled.
     """
     bench = benchmark_seeds(items)
     sent = df.sparkSession.sparkContext.broadcast(seed_filter(bench))
@@ -175,26 +206,28 @@ def contaminated_texts(df: DataFrame, items: DataFrame, text: str = "text", keep
     @F.arrow_udf("array<bigint>")
     def seeded(texts: pa.Array) -> pa.Array:
         hashes, table = TokenHashes(), sent.value
-        return pa.array([np.unique(passing(table, rolled(hashes(t), MIN_TILE))).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+        return pa.array([np.unique(passing(table, seeds_of(hashes(t)))).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
-    narrow = df.select(*keep, F.col(text).alias("_text")).withColumn("_seeds", seeded(F.col("_text"))).filter(F.size("_seeds") > 0)
-    held = materialize(narrow.withColumn("text_key", F.sha2("_text", 256)), "seeded")
-    texts = held.select("text_key", "_text", "_seeds").dropDuplicates(["text_key"])
-    own = bench.select("item_id", F.explode("seeds").alias("seed"))
-    met = texts.select("text_key", F.explode("_seeds").alias("seed")).join(own, "seed").select("text_key", "item_id").distinct()
-    pairs = met.join(texts.select("text_key", "_text"), "text_key").join(bench.select("item_id", "tokens"), "item_id")
+    own = F.struct(*keep).alias("keep") if keep else F.lit(None).alias("keep")
+    narrow = df.select(own, F.col(text).alias("text")).withColumn("seeds", seeded(F.col("text"))).filter(F.size("seeds") > 0)
+    held = materialize(narrow.withColumn("text_key", F.sha2("text", 256)).withColumn("keep", F.col("keep") if keep else F.lit(0)), "seeded")
+    texts = held.select("text_key", "text", "seeds").dropDuplicates(["text_key"])
+    seeds = bench.select("item_key", F.size("tokens").alias("size"), F.explode(F.arrays_zip("seeds", "times")).alias("z")).select("item_key", "size", "z.*")
+    met = texts.select("text_key", F.explode("seeds").alias("seeds")).join(seeds, "seeds").groupBy("text_key", "item_key", "size").agg(F.sum("times").alias("shared"))
+    enough = met.filter(F.col("shared") * F.least("size", F.lit(MIN_TILE)) >= MIN_COVERAGE * F.col("size")).select("text_key", "item_key")
+    pairs = enough.join(texts.select("text_key", "text"), "text_key").join(bench.select("item_key", "tokens"), "item_key")
 
     @F.arrow_udf("struct<covered:bigint,n_tiles:int,longest_tile:int>")
     def tiled(texts: pa.Array, tokens: pa.Array) -> pa.Array:
         hashes, out = TokenHashes(), []
         for t, item in zip(texts.to_pylist(), tokens.to_pylist(), strict=True):
-            tiles = tile(hashes(t), np.array(item, np.int64).view(np.uint64))
+            tiles = tile(hashes(t), np.array(item, np.int64).view(np.uint64), min(MIN_TILE, len(item)))
             out.append({"covered": sum(n for *_, n in tiles), "n_tiles": len(tiles), "longest_tile": max((n for *_, n in tiles), default=0)})
         return pa.array(out, pa.struct([("covered", pa.int64()), ("n_tiles", pa.int32()), ("longest_tile", pa.int32())]))
 
-    judged = pairs.select("text_key", "item_id", F.size("tokens").alias("item_tokens"), tiled(F.col("_text"), F.col("tokens")).alias("t"))
-    verdicts = judged.select("text_key", "item_id", (F.col("t.covered") / F.col("item_tokens")).alias("coverage"), "t.n_tiles", "t.longest_tile").filter(F.col("coverage") >= MIN_COVERAGE)
-    return held.select(*keep, "text_key"), verdicts
+    judged = pairs.select("text_key", "item_key", F.size("tokens").alias("item_tokens"), tiled(F.col("text"), F.col("tokens")).alias("t"))
+    verdicts = judged.select("text_key", "item_key", (F.col("t.covered") / F.col("item_tokens")).alias("coverage"), "t.n_tiles", "t.longest_tile").filter(F.col("coverage") >= MIN_COVERAGE)
+    return held.select("keep.*", "text_key") if keep else held.select("text_key"), verdicts
 
 
 def decontaminate(df: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
@@ -202,11 +235,22 @@ def decontaminate(df: DataFrame, items: DataFrame, text: str = "text") -> DataFr
     _, verdicts = contaminated_texts(df.select(text), items, text, keep=())
     bad = materialize(verdicts.select("text_key").distinct(), "leaks")
     name = own_name(df, "text_key")
+    if bad.count() <= MOST_SENT:
+        bad = F.broadcast(bad)
     return df.withColumn(name, F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(bad.select(F.col("text_key").alias(name)), name, "left_anti").select(df.columns)
 
 
+def contaminated_documents(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """(doc_id, item_id, coverage, n_tiles, longest_tile): a row for each document with each item that it covers.
+
+    Repeated rows keep a row each, null ids of documents and items too.
+    """
+    held, verdicts = contaminated_texts(df.select(F.col(doc_id).alias("doc_id"), text), items, text)
+    ids = items.filter(F.col(text).isNotNull()).select(F.col(item_id).alias("item_id"), F.sha2(F.col(text), 256).alias("item_key"))
+    return held.join(verdicts, "text_key").join(ids, "item_key").select("doc_id", "item_id", "coverage", "n_tiles", "longest_tile")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contaminated documents only: a row for each with each item that it covers."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    held, verdicts = contaminated_texts(docs, read_table(spark, sf_dir, "benchmark"))
-    return held.join(verdicts, "text_key").select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"), "n_tiles", "longest_tile", F.lit(True).alias("contaminated"))
+    found = contaminated_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"), "n_tiles", "longest_tile", F.lit(True).alias("contaminated"))

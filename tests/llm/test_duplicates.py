@@ -151,7 +151,39 @@ def test_decontamination_finds_whole_reordered_and_cased_passages(spark, tmp_pat
     assert sorted({str(r.doc_id) for r in found}) == ["100", "101", "102", "103", "None"]
     assert {r.item_id for r in found} == {1, 5}
     assert {r.coverage for r in found if r.doc_id == 101} == {1.0}
+    short = spark.createDataFrame([(None, "too Short"), (8, "")], "item_id bigint, text string")
+    rows_short = [(1, "Too, short!", "en", "s", 1), (2, "this is too short", "en", "s", 1), (3, "short", "en", "s", 1), (4, "", "en", "s", 1), (5, None, "en", "s", 1)]
+    assert [(r.doc_id, r.item_id) for r in decontam.contaminated_documents(docs(spark, rows_short), short).collect()] == [(1, None)]
     left = decontam.decontaminate(with_clashes(docs(spark, rows)), bench)
     assert left.count() == len(rows) - len(hit)
     assert decontam.decontaminate(docs(spark, []), bench).count() == 0
     assert decontam.decontaminate(docs(spark, rows), bench.limit(0)).count() == len(rows)
+
+
+def test_decontamination_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(12)
+    vocabulary = [f"v{k}" for k in range(30)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(k, " ".join(say(rng.choice([2, 4, 5, 9, 15, 24])))) for k in range(14)] + [(None, " ".join(say(12)))]
+    rows = []
+    for k in range(60):
+        words = say(rng.randint(0, 25))
+        for _ in range(rng.randint(0, 2)):
+            part = items[rng.randrange(len(items))][1].split()
+            at = rng.randint(0, len(words))
+            words[at:at] = part[rng.randint(0, len(part) // 2) :]
+        rows.append((k, " ".join(words), "en", "s", 1))
+    rows += [(90 + k, t, "en", "s", 1) for k, (_, t) in enumerate(items)]
+    d = save(spark, tmp_path, documents=docs(spark, rows), benchmark=spark.createDataFrame(items, "item_id bigint, text string"))
+    want = set()
+    for i, t, *_ in rows:
+        text = re.findall(r"\w+", t.lower())
+        for item_id, it in items:
+            item = re.findall(r"\w+", it.lower())
+            if len(item) < 5 and text != item:
+                continue
+            tiles = slow_tiling(text, item, min(5, len(item)))
+            if sum(n for *_, n in tiles) >= 0.5 * len(item):
+                want.add((i, item_id, round(sum(n for *_, n in tiles) / len(item), 6), len(tiles), max(n for *_, n in tiles)))
+    got = decontam.op9_decontamination(spark, d).collect()
+    assert {(r.doc_id, r.item_id, r.coverage, r.n_tiles, r.longest_tile) for r in got} == want and len(got) == len(want)

@@ -1,10 +1,11 @@
 """Quality rules: base counts, then distribution divergence from language references.
 
 DataFrame expressions only. For each document two histograms are taken over the whole text:
-character classes, and common words of each language. A language's reference is the mean
-histogram over all documents of that language that pass the base rules; documents far from
-it are left out and the mean is taken once more, so that junk does not shift it. Both
-rounds are small aggregates over counts taken once. A document's verdict comes from its
+character classes, and the common words of each language, which are the most frequent ones
+over all documents of that lang value. A language's reference is the mean histogram over all
+its documents that pass the base rules; documents far from it are left out and the mean is
+taken once more, so that junk does not shift it. Both rounds are small aggregates over counts
+taken once. A document's verdict comes from its
 Jensen-Shannon distances to the nearest reference.
 
 Short texts scatter: a text below ``MIN_WORDS`` words is not judged by divergence, and each
@@ -14,8 +15,9 @@ Equality of 8-word windows is decided on 64-bit hashes of word hashes. In a text
 million words the chance that two different windows agree is about 3 in 10^8.
 
 Defined results: null text has no words and fails the base rules; repeated rows get the
-same row each; documents without lang count for no reference but are judged; with no
-reference at all (an empty or unlabelled corpus) the base rules alone decide.
+same row each; documents without lang count for no reference but are judged by the nearest one;
+documents of a language that has no reference, as fewer than ``LEAST_DOCUMENTS`` pass, and
+all documents of a corpus without any are decided by the base rules alone.
 """
 
 from __future__ import annotations
@@ -25,13 +27,10 @@ from pyspark.sql import functions as F
 
 from kinmesh.session import materialize, read_table
 
-#: Common words of each language, in no order.
-COMMON_WORDS = {
-    "de": ("der", "die", "das", "und", "in", "zu", "den", "nicht", "von", "mit", "des", "ist", "dem", "sich", "ein", "auf"),
-    "en": ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "as", "was", "with", "be", "on", "are"),
-    "es": ("de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "un", "por", "con", "para", "una", "su"),
-    "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par"),
-}
+#: Common words of a language that make its histogram, and items that the sketch which finds them tracks.
+COMMON, TRACKED = 16, 8192
+#: Documents that a language needs for a reference.
+LEAST_DOCUMENTS = 10
 CLASSES = ("lower", "upper", "digit", "punctuation", "other")
 WORD_GAP = r"[ \t-\r]+"
 MIN_WORDS = 40
@@ -75,12 +74,26 @@ def repeated_window_words(words: Column, width: int = 8) -> Column:
     return F.when(F.size(words) <= width, 0).otherwise(count).cast("bigint")
 
 
-def common_word_counts(text: Column) -> Column:
-    """Counts of the common words in a text by word, and under "" of all its runs of letters.
+def letter_words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
+
+
+def common_words(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
+    """The COMMON most frequent words of each language, over all its documents.
+
+    A frequent-items sketch by language passes over every word; its state has a fixed size,
+    so tasks send one small row a language. One row a language comes to the driver.
+    """
+    words = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.explode(letter_words(F.col(text))).alias("word"))
+    rows = words.groupBy("lang").agg(F.expr(f"approx_top_k(word, {COMMON}, {TRACKED})").alias("top")).collect()
+    return {r["lang"]: sorted(e["item"] for e in r["top"]) for r in rows}
+
+
+def common_word_counts(text: Column, every: list[str]) -> Column:
+    """Counts of the words of ``every`` in a text by word, and under "" of all its runs of letters.
 
     The common words are sorted, so a word's count is the distance to where the next begins.
     """
-    every = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 
     def runs(s: Column) -> Column:
         kinds = F.array_distinct(s)
@@ -89,14 +102,14 @@ def common_word_counts(text: Column) -> Column:
         return F.map_from_arrays(kinds, F.transform(steps, lambda x: x.cast("double")))
 
     def counts(all_words: Column) -> Column:
-        common = F.sort_array(F.filter(all_words, lambda w: w.isin(every)))
+        common = F.sort_array(F.filter(all_words, lambda w: w.isin(every) if every else F.lit(False)))
         return F.map_concat(let(common, runs), F.create_map(F.lit(""), F.size(all_words).cast("double")))
 
-    return let(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != ""), counts)
+    return let(letter_words(text), counts)
 
 
-def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the base counts, the two histograms and base_failed. No shuffle."""
+def base_counts(df: DataFrame, every: list[str], text: str = "text") -> DataFrame:
+    """``df`` with the base counts, the histograms of classes and of the words ``every``, and base_failed. No shuffle."""
     whole = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("_t", whole).withColumn("_w", words_of(F.col("_t")))
     df = df.withColumn("_c", F.array_join("_w", ""))
@@ -115,29 +128,31 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
             "n_dup_lines": let(lines, lambda a: (F.size(a) - F.size(F.array_distinct(a))).cast("bigint")),
             "n_repeat_words": repeated_window_words(F.col("_w")),
             "class_counts": F.array(*[n.cast("double") for n in names]),
-            "word_counts": common_word_counts(F.col("_t")),
+            "word_counts": common_word_counts(F.col("_t"), every),
         }
     )
     df = df.drop("_t", "_w", "_c", *[f"_{c}" for c in CLASSES[:-1]])
     return df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def language_references(counted: DataFrame, lang: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
-    """Mean histograms of each language of COMMON_WORDS over all its documents that pass the base rules.
+def language_references(counted: DataFrame, words: dict[str, list[str]], lang: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
+    """Mean histograms of each language over all its documents that pass the base rules, of LEAST_DOCUMENTS at least.
 
-    One row a language comes to the driver; the number of languages is that of the fixed lists.
+    COMMON + 1 rows and one more come to the driver for each language.
     """
-    every = sorted({w for ws in COMMON_WORDS.values() for w in ws})
-    sums = [F.sum(F.col("class_counts")[k]).alias(f"c{k}") for k in range(len(CLASSES))]
-    sums += [F.sum(F.coalesce(F.try_element_at("word_counts", F.lit(w)), F.lit(0.0))).alias(f"w{k}") for k, w in enumerate([*every, ""])]
-    rows = counted.filter(~F.col("base_failed") & F.col(lang).isin(*COMMON_WORDS)).groupBy(lang).agg(*sums).collect()
+    if not words:
+        return {}
+    good = counted.filter(~F.col("base_failed") & F.col(lang).isNotNull())
+    sums = good.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("class_counts")[k]).alias(f"c{k}") for k in range(len(CLASSES))]).filter(F.col("n") >= LEAST_DOCUMENTS)
+    own = F.create_map(*[x for name, ws in words.items() for x in (F.lit(name), F.array(*map(F.lit, ["", *ws])))])
+    pairs = good.select(F.col(lang).alias("lang"), F.explode("word_counts").alias("word", "n")).filter(F.array_contains(F.try_element_at(own, F.col("lang")), F.col("word")))
+    counts = {(r["lang"], r["word"]): r["n"] for r in pairs.groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()}
     found = {}
-    for row in rows:
-        classes = [row[f"c{k}"] for k in range(len(CLASSES))]
-        own = [row[f"w{every.index(w)}"] for w in COMMON_WORDS[row[lang]]]
-        total = row[f"w{len(every)}"]
+    for row in sums.collect():
+        name, classes = row["lang"], [row[f"c{k}"] for k in range(len(CLASSES))]
+        held, total = [counts.get((name, w), 0.0) for w in words.get(name, ())], counts.get((name, ""), 0.0)
         if sum(classes) and total:
-            found[row[lang]] = ([x / sum(classes) for x in classes], [x / total for x in own] + [(total - sum(own)) / total])
+            found[name] = ([x / sum(classes) for x in classes], [x / total for x in held] + [(total - sum(held)) / total])
     return dict(sorted(found.items()))
 
 
@@ -152,14 +167,14 @@ def jensen_shannon(shares: Column, reference: list[float]) -> Column:
     return F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2)
 
 
-def divergences(counted: DataFrame, references: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
+def divergences(counted: DataFrame, references: dict[str, tuple[list[float], list[float]]], words: dict[str, list[str]]) -> DataFrame:
     """``counted`` with class_divergence and word_divergence from the nearest reference (0 where there is none)."""
     df = counted.withColumn("_chars", F.greatest(F.lit(1.0), F.aggregate("class_counts", F.lit(0.0), lambda s, x: s + x)))
     df = df.withColumn("_class", F.transform("class_counts", lambda x: x / F.col("_chars")))
     near = []
     for k, (lang, (classes, own)) in enumerate(references.items()):
         total = F.greatest(F.try_element_at("word_counts", F.lit("")), F.lit(1.0))
-        shares = F.array(*[F.coalesce(F.try_element_at("word_counts", F.lit(w)), F.lit(0.0)) / total for w in COMMON_WORDS[lang]])
+        shares = F.array(*[F.coalesce(F.try_element_at("word_counts", F.lit(w)), F.lit(0.0)) / total for w in words[lang]])
         shares = let(shares, lambda c: F.concat(c, F.array(1.0 - F.aggregate(c, F.lit(0.0), lambda s, x: s + x))))
         df = df.withColumn(f"_near{k}", F.struct(jensen_shannon(shares, own).alias("word"), jensen_shannon(F.col("_class"), classes).alias("class")))
         near.append(F.col(f"_near{k}"))
@@ -180,18 +195,22 @@ def is_far(class_limit: float, word_limit: float) -> Column:
 
 
 def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Base counts and verdict of each document. Columns other than ``keep`` are dropped.
+    """``keep``, base counts, divergences and kept of each document. Other columns are dropped.
 
     The counts are written to the shared folder once, as the references and the verdicts
     both read them.
     """
-    narrow = df.select(*keep, F.col(lang).alias("_lang"), F.col(text).alias("_text"))
-    counted = materialize(base_counts(narrow, "_text").drop("_text"), "quality")
-    first = language_references(counted, "_lang")
-    near = divergences(counted, first).filter(~is_far(ROUGH_CLASS_DIVERGENCE, ROUGH_WORD_DIVERGENCE))
-    out = divergences(counted, language_references(near, "_lang"))
+    narrow = df.select(F.struct(*keep).alias("keep"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    words = common_words(narrow)
+    counted = materialize(base_counts(narrow, sorted({w for ws in words.values() for w in ws})).drop("text"), "quality")
+    first = language_references(counted, words)
+    near = divergences(counted, first, words).filter(~is_far(ROUGH_CLASS_DIVERGENCE, ROUGH_WORD_DIVERGENCE))
+    known = language_references(near, words)
+    out = divergences(counted, known, words)
     far = (F.col("n_words") >= MIN_WORDS) & is_far(MAX_CLASS_DIVERGENCE, MAX_WORD_DIVERGENCE)
-    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("_lang", "class_counts", "word_counts")
+    told = F.col("lang").isNull() | (F.col("lang").isin(*known) if known else F.lit(False))
+    own = [c for c in out.columns if c not in ("keep", "lang", "class_counts", "word_counts")]
+    return out.withColumn("kept", ~F.col("base_failed") & ~(far & told)).select("keep.*", *own, "kept")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

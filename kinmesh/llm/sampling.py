@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,19 +11,29 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, label: str, per_label: int, most: int, key: str) -> list:
-    """At most ``per_label`` rows of each label, ``most`` in all, chosen by a hash of ``key``.
+#: Characters of all texts of a sample.
+MOST_CHARS = 60_000_000
 
-    Labels are counted first over all rows; then each label's rows pass a hash threshold that
-    keeps about ``per_label`` of them, so no sort and no more than a sample reaches the driver.
-    The choice depends on the rows alone, not on partitions or order.
+
+def bounded_sample(df: DataFrame, label: str, per_label: int, most: int, key: str, text: str = "text") -> list:
+    """At most ``per_label`` rows of each label, about ``most`` in all, chosen by a hash of ``key`` and ``text``.
+
+    Labels are counted over all rows. With many labels each has its share of ``most``, and no
+    label is left out. A hash threshold passes about twice what a label needs, the rank of the
+    hash cuts it to size, and equal rows are told apart by nothing, so the choice depends on the
+    rows alone. Texts are whole; a label's rows end where their texts would pass its part of
+    MOST_CHARS, so what reaches the driver is bounded in bytes too.
     """
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(256).collect()}
-    if not counts:
+    counts = df.groupBy(F.col(label).alias("label_")).agg(F.count(F.lit(1)).alias("label_rows"))
+    total, labels = counts.agg(F.sum(F.least("label_rows", F.lit(per_label))), F.count(F.lit(1))).first()
+    if not total:
         return []
-    share = min(1.0, most / sum(min(n, per_label) for n in counts.values()))
-    spot = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(20)), F.lit(1 << 30))
-    keep = F.lit(False)
-    for value, n in counts.items():
-        keep = keep | (F.col(label).eqNullSafe(F.lit(value)) & (spot < int((1 << 30) * min(1.0, share * per_label / n))))
-    return sorted(df.filter(keep).limit(2 * most).collect(), key=lambda r: tuple(str(x) for x in r))
+    each = F.greatest(F.lit(1), F.floor(F.least(F.lit(per_label), F.col("label_rows")) * min(1.0, most / total))).cast("int")
+    spot = F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit(20))
+    joined = df.join(counts, df[label].eqNullSafe(F.col("label_"))).withColumn("spot_", spot).withColumn("each_", each)
+    likely = joined.filter(F.pmod("spot_", F.lit(1 << 30)) < F.least(F.lit(1.0), (2 * F.col("each_") + 32) / F.col("label_rows")) * (1 << 30))
+    by = Window.partitionBy("label_").orderBy("spot_")
+    near = likely.withColumn("rank_", F.row_number().over(by)).filter(F.col("rank_") <= F.col("each_"))
+    chars = F.sum(F.coalesce(F.length(text), F.lit(0))).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    chosen = near.withColumn("chars_", chars).filter(F.col("chars_") <= MOST_CHARS // labels).select(*df.columns)
+    return sorted(chosen.collect(), key=lambda r: tuple(str(x) for x in r))

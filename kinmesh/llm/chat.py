@@ -88,6 +88,20 @@ def flatten_parts(parts: Column) -> Column:
     )
 
 
+def running_starts(sizes: Column, block: int = 256) -> Column:
+    """For each entry the sum of those before it: sums within blocks, then over the blocks before."""
+
+    def prefix(xs: Column) -> Column:
+        begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(xs, begin, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    cuts = F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(block))
+    blocks = F.transform(cuts, lambda i: F.slice(sizes, i, block))
+    bases = prefix(F.transform(blocks, total))
+    return F.flatten(F.zip_with(blocks, bases, lambda xs, base: F.transform(prefix(xs), lambda x: x + base)))
+
+
 def format_chats(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
     """One row per conversation: id, ``formatted`` and its side columns.
 
@@ -115,20 +129,16 @@ def format_chats(messages: DataFrame, conv_id: str = "conv_id", turn: str = "tur
             F.col("flat.attachment_tokens").alias("attachment_tokens"),
         ).alias("m"),
     )
-    chat = row.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-    def add(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(m["head"])
-        span = F.array(F.struct(start.alias("start"), (start + F.length(m["content"])).alias("end")))
-        spans = F.when(m["role"] == "assistant", F.concat(acc["spans"], span)).otherwise(acc["spans"])
-        return F.struct((acc["at"] + m["chars"]).alias("at"), spans.alias("spans"))
+    chat = row.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms")).withColumn("starts", running_starts(F.transform("ms", lambda m: m["chars"].cast("bigint"))))
+    # where each turn begins: running sums of lengths, taken over blocks of turns so that long chats stay near linear
+    loss = F.filter(F.transform("ms", lambda m, k: F.struct(m.alias("m"), (F.col("starts")[k] + F.length(m["head"])).alias("at"))), lambda e: e["m"]["role"] == "assistant")
+    spans = F.transform(loss, lambda e: F.struct(e["at"].alias("start"), (e["at"] + F.length(e["m"]["content"])).alias("end")))
 
     return chat.select(
         "conv_id",
         F.size("ms").cast("bigint").alias("n_turns"),
         F.array_join(F.transform("ms", lambda m: F.concat(m["head"], m["content"], F.lit(END + "\n"))), "").alias("formatted"),
-        F.aggregate("ms", begin, add)["spans"].alias("loss_spans"),
+        spans.alias("loss_spans"),
         F.flatten(F.transform("ms", lambda m: m["attachments"])).alias("attachments"),
         F.aggregate("ms", F.lit(0).cast("bigint"), lambda s, m: s + m["attachment_tokens"]).alias("attachment_tokens"),
     )

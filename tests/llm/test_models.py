@@ -38,7 +38,7 @@ def test_secret_model_keeps_recall_on_fresh_findings_and_redacts(spark):
     model = secrets.fit_secrets(None)
     fresh = secrets.generated_findings(1500, seed=77)
     x, y = np.stack([secrets.window(t, a, b) for t, a, b, _ in fresh]), np.array([label for *_, label in fresh])
-    s = model.score(x) >= model.threshold
+    s = model.is_secret(x, np.array([secrets.shape_of(t[a:b]) for t, a, b, _ in fresh]))
     assert s[y == 1].mean() >= 0.9 and s[y == 0].mean() <= 0.05
     df = spark.createDataFrame([("a token=abcdefgh then AKIA" + "B" * 16 + ".",), (None,), ("plain",)], "text string")
     out = secrets.scan_secrets(with_clashes(df), model).withColumn("r", secrets.redact(F.col("text"), F.col("secrets")))
@@ -209,3 +209,86 @@ def test_secret_candidates_are_read_whole(spark):
     assert key[:12] not in out[2].r and key[-12:] not in out[2].r and [s.kind for s in out[2].secrets] == ["model", "hex", "model"]
     assert "[REDACTED:model]" in out[3].r and out[4].r == texts[4]
     assert secrets.candidates(texts[2], [(2 + len(key) + 1, 2 + len(key) + 25, "hex")]) == [(2, 37), (61, 96)]
+
+
+def test_secrets_of_shapes_that_no_generator_makes():
+    model = secrets.fit_secrets(None)
+    rng = random.Random(31)
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    made = [f"{pick(digits, 4)}-{pick(letters + digits, 24)}-{pick(letters + digits, 12)}" for _ in range(60)]
+    made += [f"hf_{pick(letters + digits, 34)}" for _ in range(60)] + [f"{pick(letters + digits, 22)}.{pick(letters + digits, 6)}.{pick(letters + digits, 27)}" for _ in range(60)]
+    plain = ["/usr/lib/python3/dist-packages/numpy/core/multiarray", "Donaudampfschifffahrtsgesellschaft", "src/main/java/org/example/service/Application", "2024-03-15-release-notes-draft", "internationalization-of-applications"]
+
+    def flagged(token):
+        text = f"we saw {token} there"
+        spans = secrets.candidates(text, [])
+        x = np.stack([secrets.window(text, at, min(b, at + secrets.INSIDE)) for a, b in spans for at in secrets.window_starts(a, b)])
+        return model.is_secret(x, np.array([secrets.shape_of(text[a:b]) for a, b in spans for _ in secrets.window_starts(a, b)])).any()
+
+    assert sum(map(flagged, made)) >= 0.9 * len(made)
+    assert sum(map(flagged, plain)) <= 1
+
+
+def test_samples_keep_every_label_and_do_not_grow_with_repeats(spark):
+    from kinmesh.llm.sampling import bounded_sample
+
+    rows = [(None, f"text {k}", f"l{k % 300}") for k in range(3000)] + [(1, "same", "l0")] * 500
+    got = bounded_sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "lang", 5, 600, "doc_id")
+    assert {r.lang for r in got} == {f"l{k}" for k in range(300)} and len(got) <= 900
+    again = bounded_sample(spark.createDataFrame(rows[::-1], "doc_id bigint, text string, lang string").repartition(7), "lang", 5, 600, "doc_id")
+    assert [tuple(r) for r in got] == [tuple(r) for r in again]
+
+
+def test_quality_verdict_equals_brute_force_and_spares_unknown_languages(spark):
+    rng = random.Random(8)
+    rows, k = [], 0
+    for lang, n in (("aa", 60), ("bb", 60), ("zz", 4)):
+        vocabulary = [f"{lang}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)]
+        for _ in range(n):
+            words = rng.choices(vocabulary, [1 / (i + 1) for i in range(120)], k=rng.randint(45, 120))
+            rows.append((k, " ".join(words), lang, "s", 1))
+            k += 1
+    rows += [(500 + j, " ".join("".join(rng.choice("0123456789#$") for _ in range(6)) for _ in range(60)), "aa", "s", 1) for j in range(3)]
+    got = {r.doc_id: r for r in quality.quality_rules(docs(spark, rows)).collect()}
+    words_of = lambda t: [w for w in re.split(r"[^a-z]+", t) if w]
+    top = {lang: [w for w, _ in Counter(w for _, t, x, *_ in rows if x == lang for w in words_of(t)).most_common(16)] for lang in ("aa", "bb")}
+
+    def histograms(t):
+        chars = "".join(t.split())
+        sizes = [sum(map(str.islower, chars)), 0, sum(map(str.isdigit, chars)), 0]
+        return [*sizes, len(chars) - sum(sizes)], Counter(words_of(t))
+
+    def js(p, q):
+        part = lambda a, m: a * math.log2(a / m) if a else 0.0
+        return sum(part(a, (a + b) / 2) + part(b, (a + b) / 2) for a, b in zip(p, q, strict=True)) / 2
+
+    def shares(counts, lang):
+        total = max(1, sum(counts.values()))
+        own = [counts[w] / total for w in top[lang]]
+        return [*own, 1 - sum(own)]
+
+    def near(refs, t):
+        sizes, counts = histograms(t)
+        return min((js(shares(counts, lang), w), js([x / max(1, sum(sizes)) for x in sizes], c)) for lang, (c, w) in refs.items())
+
+    def references(chosen):
+        out = {}
+        for lang in top:
+            own = [histograms(t) for _, t, x, *_ in chosen if x == lang]
+            sizes, counts = [sum(c) for c in zip(*[s for s, _ in own], strict=True)], sum((c for _, c in own), Counter())
+            out[lang] = ([x / sum(sizes) for x in sizes], shares(counts, lang))
+        return out
+
+    def far(refs, t, class_limit, word_limit):
+        w, c = near(refs, t)
+        n = len(t.split())
+        return c > class_limit + 20 / max(1, len("".join(t.split()))) or w > word_limit + 16 / (4 * math.log(2) * n)
+
+    sound = [r for r in rows if not got[r[0]].base_failed]
+    first = references(sound)
+    second = references([r for r in sound if not far(first, r[1], quality.ROUGH_CLASS_DIVERGENCE, quality.ROUGH_WORD_DIVERGENCE)])
+    for i, t, lang, *_ in rows:
+        want = not got[i].base_failed and (lang == "zz" or not far(second, t, quality.MAX_CLASS_DIVERGENCE, quality.MAX_WORD_DIVERGENCE))
+        assert got[i].kept == want, (i, lang)
+    assert all(got[i].kept == (not got[i].base_failed) for i, _, lang, *_ in rows if lang == "zz") and not any(got[i].kept for i in range(500, 503))

@@ -50,6 +50,29 @@ def test_density_clusters_find_both_groups_and_noise(spark):
     assert got["a"] != got["d"] and got["f"] == -1
 
 
+def test_spanning_trees_weigh_what_a_plain_one_weighs(spark):
+    rng = random.Random(11)
+    names = [f"n{k:02d}" for k in range(30)]
+    edges = {(a, b): round(rng.random(), 2) for k, a in enumerate(names) for b in names[k + 1 :]}
+    reach = spark.createDataFrame([("expr", a, b, w) for (a, b), w in edges.items()], "space string, i string, j string, reach double")
+    got = D.spanning_trees(nodes(spark, names), reach).collect()
+    inside, want = {names[0]}, 0.0
+    while len(inside) < len(names):
+        w, x = min((w, b if a in inside else a) for (a, b), w in edges.items() if (a in inside) != (b in inside))
+        inside.add(x)
+        want += w
+    assert len(got) == len(names) - 1 and abs(sum(r.reach for r in got) - want) < 1e-9
+
+
+def test_drift_clusters_place_every_point(spark):
+    rng = random.Random(42)
+    points = [(rng.gauss(1, 0.02), rng.gauss(0, 0.02)) for _ in range(18)] + [(rng.gauss(0, 0.02), rng.gauss(1, 0.02)) for _ in range(18)] + [(0.7, 0.7), (0.6, 0.75), (0.75, 0.6)]
+    rows = [("x", k, [a / (a * a + b * b) ** 0.5, b / (a * a + b * b) ** 0.5]) for k, (a, b) in enumerate(points)] + [("y", 100 + k, [1.0, 0.0]) for k in range(2)]
+    got = {r.id: r.cluster for r in D.drift_clusters(spark.createDataFrame(rows, "lab string, id bigint, v array<double>")).collect()}
+    assert len(got) == 41 and all(c >= 0 for c in got.values())
+    assert not {got[k] for k in range(18)} & {got[k] for k in range(18, 36)}
+
+
 def test_fallback_clusters_recover_the_dense_part(spark):
     edges = pairs_of(spark, {"ab": 0.91, "ac": 0.89, "bc": 0.90}).withColumn("shared", F.lit(1))
     got = {r.sid: (r.cluster, r.is_noise) for r in C.fallback_clusters(nodes(spark, "abcd"), edges).collect()}
@@ -226,3 +249,28 @@ def test_cache_text_counters_hit_equal_texts_only(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     (r,) = P.cache_text_counters(spark, str(tmp_path)).collect()
     assert (r.model, r.requests, r.hits, r.misses, r.stale) == ("m0", 6, 2, 2, 2)
+
+
+def test_similar_sources_are_fused_first(spark):
+    from kinmesh.operators import struct_features as ST
+    from kinmesh.session import materialize
+
+    a = "import java.util.List;\nclass A {\n  int sum(List<Integer> xs) { int s = 0; for (int x : xs) { if (x > 0) { s += x; } } return s; }\n}\n"
+    c = "class C {\n  void run() { while (true) { try { System.out.println(\"go\"); } catch (Exception e) { throw new RuntimeException(e); } } }\n  C() { run(); }\n}\n"
+    files = spark.createDataFrame([("a", 1, a), ("b", 2, a.replace("sum", "total").replace("xs", "values")), ("c", 3, c), ("d", 4, "class D { int x = ; }"), ("d", 5, None)], "sid string, file_id int, text string")
+    tree = materialize(ST.syntax_nodes(files))
+    struct = ST.struct_features(tree)
+    by_file = {}
+    for r in struct.collect():
+        by_file.setdefault(r.file_id, {})[r.feature] = r.value
+    one = by_file["1"]
+    assert one["ast_node_count"] > 0 and one["ast_max_depth"] >= 3 and one["ast_node:method"] >= 1 and one["ast_node:if"] >= 1 and one["ast_parse_status:ok"] == 1.0
+    assert any(k.startswith("ast_path:") for k in one) and one["ast_edge:method->block"] == 1.0 and one["ast_method_arity:1"] == 1.0 and one["ast_method_statement:3_5"] == 1.0
+    assert abs(sum(v for k, v in one.items() if k.startswith("ast_node_ratio:")) - 1) < 1e-9
+    assert by_file["4"]["ast_parse_status:recovered"] == 1.0 and by_file["4"]["ast_error_ratio"] > 0 and by_file["5"]["ast_node_count"] == 1.0
+    text = T.file_features(files).withColumn("file_id", F.col("file_id").cast("string"))
+    long = materialize(M.aggregate_features(text.unionByName(struct)))
+    w = materialize(M.weighted_features(long, M.feature_stats(long)))
+    pairs = materialize(S.calibrate(S.hybrid(S.pair_components(w))))
+    fused = {r.i + r.j: r.raw for r in S.fuse(pairs).collect()}
+    assert len(fused) == 6 and max(fused, key=fused.get) == "ab"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmesh.functions import text as X
@@ -123,6 +123,21 @@ def keyword_operator_pairs(tokens: Column, k: int) -> Column:
     return X.top_counts(pairs, k)
 
 
+def top_grams(tokens: DataFrame, n: int, k: int) -> DataFrame:
+    """(file_id, rank, gram, n) from (file_id, tokens): the ``k`` most frequent runs of n tokens of each file, then by gram.
+
+    Grams are rows counted in part before the shuffle, and ranks prune before theirs, so a
+    long text is work for many tasks.
+    """
+    size = F.greatest(F.size("tokens") - (n - 1), F.lit(0))
+    runs = F.slice("tokens", F.lit(1), size)
+    for shift in range(1, n):
+        runs = F.zip_with(runs, F.slice("tokens", F.lit(1 + shift), size), lambda a, b: F.concat(a, F.lit(" "), b))
+    counts = tokens.select("file_id", F.explode(runs).alias("gram")).groupBy("file_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("n"), "gram"))
+    return counts.withColumn("rank", rank).filter(F.col("rank") <= k).select("file_id", "rank", "gram", "n")
+
+
 def call_names(code: Column, k: int) -> Column:
     found = F.regexp_extract_all(code, F.lit(rf"(?U)(?<!\w)({X.IDENTIFIER})\s*\("), F.lit(1))
     return X.top_counts(F.transform(F.filter(found, lambda w: ~w.isin(*X.JAVA_KEYWORDS)), lambda w: F.lower(w)), k)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmesh.functions import text as X
+from kinmesh.operators import struct_features as ST
 from kinmesh.operators import text_features as T
-from kinmesh.session import read_table
+from kinmesh.session import materialize, read_table
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +21,7 @@ def _wide(df: DataFrame, columns: dict) -> DataFrame:
 
 def text_tokens_ngrams(spark, sf_dir):
     """The 36 most frequent token pairs of each file, count downward, then pair."""
-    df = files(spark, sf_dir).withColumn("t", X.top_counts(X.grams(X.tokenize(F.col("text")), 2), 36))
-    return df.select("file_id", F.posexplode("t").alias("rank", "e")).select("file_id", (F.col("rank") + 1).alias("rank"), F.col("e.key").alias("gram"), F.col("e.n").alias("n"))
+    return T.top_grams(files(spark, sf_dir).select("file_id", X.tokenize(F.col("text")).alias("tokens")), 2, 36)
 
 
 def text_line_buckets(spark, sf_dir):
@@ -45,7 +45,10 @@ def text_token_categories(spark, sf_dir):
 
 
 def text_token_entropy(spark, sf_dir):
-    return files(spark, sf_dir).select("file_id", F.round(X.entropy(X.tokenize(F.col("text"))), 5).alias("entropy"))
+    tokens = files(spark, sf_dir).select("file_id", F.explode_outer(X.tokenize(F.col("text"))).alias("token"))
+    counts = tokens.groupBy("file_id", "token").agg(F.count("token").alias("n"))
+    total, spread = F.sum("n"), F.sum(F.when(F.col("n") > 0, F.col("n") * F.log2("n")).otherwise(0.0))
+    return counts.groupBy("file_id").agg(F.round(F.when(total > 0, F.log2(F.greatest(total, F.lit(1))) - spread / F.greatest(total, F.lit(1))).otherwise(0.0), 5).alias("entropy"))
 
 
 def text_call_names(spark, sf_dir):
@@ -92,6 +95,34 @@ def submission_features(spark, sf_dir):
     return aggregate_features(T.file_features(files(spark, sf_dir))).select("space", "sid", "feature", F.round("value", 4).alias("value"))
 
 
+METHOD_TEXT = "int take(int a) { if (a > 1) { return a; } return 0; } "
+CALL_TEXT = "void run() { try { list.add(take(2)); print(take(3)); } catch (Error e) { throw e; } } "
+
+
+def java_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Java source for each nation: one method for its region and each before it, then one that calls."""
+    nation = read_table(spark, sf_dir, "nation")
+    text = F.concat(F.lit("import java.util.List; // sources\nclass N"), F.col("n_nationkey").cast("string"), F.lit(" { "), F.repeat(F.lit(METHOD_TEXT), F.col("n_regionkey") + 1), F.lit(CALL_TEXT), F.lit("}\n"))
+    return nation.select(F.col("n_nationkey").alias("file_id"), F.col("n_regionkey").cast("string").alias("sid"), text.alias("text"))
+
+
+def source_struct_features(spark, sf_dir):
+    """Counts of node kinds and the profile of methods of each source."""
+    nodes = materialize(ST.syntax_nodes(java_sources(spark, sf_dir)), "nodes")
+    found = ST.struct_features(nodes).filter(F.col("feature").rlike("^ast_(node|method_arity|method_statement):|^ast_(node_count|max_depth|max_control_depth|error_ratio|method_arity_mean|method_statement_max)$"))
+    return found.select(F.col("file_id").cast("int").alias("file_id"), "feature", F.round("value", 6).alias("value"))
+
+
+def source_call_names(spark, sf_dir):
+    df = java_sources(spark, sf_dir).withColumn("t", T.call_names(F.col("text"), 16))
+    return df.select("file_id", F.explode("t").alias("e")).select("file_id", F.col("e.key").alias("name"), F.col("e.n").alias("n"))
+
+
+def source_keyword_counts(spark, sf_dir):
+    features = T.file_features(java_sources(spark, sf_dir)).filter(F.col("feature").startswith("keyword:") | F.col("feature").isin("method_signature_count", "import_stmt_count", "try_count", "catch_count", "throw_count", "import_count_total"))
+    return features.select("space", F.col("file_id").cast("int").alias("file_id"), "feature", "value")
+
+
 _F = "f AS (SELECT doc_id AS file_id, source AS sid, coalesce(text, '') AS text FROM documents)"
 _TOKEN = X.TOKEN.replace("'", "''")
 _TOK = f"{_F}, k AS (SELECT file_id, regexp_extract_all(text, '{_TOKEN}') AS t FROM f)"
@@ -123,4 +154,22 @@ SQL = {
     "text_substring_families": f"""WITH {_F} SELECT file_id, {', '.join('(' + ' + '.join(f"(length(text) - length(replace(text, '{n}', ''))) // {len(n)}" for n in names) + f')::BIGINT AS type_{k}' for k, names in X.TYPE_FAMILIES.items())} FROM f""",
     "content_hash_dedupe": f"WITH {_F} SELECT sha256(text) AS sha256, min(file_id) AS first_file, count(*) AS files, max(length(text)) AS chars FROM f GROUP BY ALL",
 }
+#: Nodes of the calling method and of its surroundings by kind, and of each other method.
+_NODES = {
+    "compilation_unit": (1, 0), "import": (1, 0), "scoped_identifier": (2, 0), "identifier": (19, 4), "class": (1, 0), "class_body": (1, 0), "method": (1, 1), "void_type": (1, 0), "integral_type": (0, 2),
+    "formal_parameters": (1, 1), "parameter": (1, 1), "block": (3, 2), "if": (0, 1), "parenthesized_expr": (0, 1), "binary_expr": (0, 1), "literal": (2, 2), "return": (0, 2), "try": (1, 0), "catch": (1, 0),
+    "catch_type": (1, 0), "type_identifier": (1, 0), "throw": (1, 0), "expression": (2, 0), "call": (4, 0), "argument_list": (4, 0),
+}
+_NODES["identifier"] = (3 + 1 + 1 + 2 + 1 + 1 + 1 + 1 + 1, 4)  # import, class, run, list.add, take, print, take, catch, throw
+_SOURCES = "s AS (SELECT n_nationkey AS file_id, n_regionkey + 1 AS m FROM nation)"
+SQL |= {
+    "source_struct_features": f"""WITH {_SOURCES}, k(kind, a, b) AS (VALUES {", ".join(f"('{k}', {a}, {b})" for k, (a, b) in _NODES.items())}), c AS (SELECT file_id, m, kind, a + b * m AS n FROM s, k)
+  SELECT file_id, 'ast_node:' || kind AS feature, n::DOUBLE AS value FROM c WHERE n > 0
+  UNION ALL SELECT file_id, 'ast_node_count', sum(n) FROM c GROUP BY file_id
+  UNION ALL SELECT file_id, unnest(['ast_max_depth', 'ast_max_control_depth', 'ast_error_ratio', 'ast_method_arity_mean', 'ast_method_statement_max', 'ast_method_arity:0', 'ast_method_arity:1', 'ast_method_statement:3_5']),
+    unnest([13.0, 3.0, 0.0, round(m / (m + 1), 6), 5.0, 1.0, m, m + 1]) FROM s""",
+    "source_call_names": f"WITH {_SOURCES} SELECT file_id, unnest(['take', 'add', 'print', 'run']) AS name, unnest([m + 2, 1, 1, 1])::BIGINT AS n FROM s",
+    "source_keyword_counts": f"""WITH {_SOURCES} SELECT 'expr' AS space, file_id, unnest({["keyword:" + k for k in X.EXPR_KEYWORDS] + ["method_signature_count", "import_stmt_count"]}) AS feature, unnest([m, 0, 0, 0, 2 * m, 1, 1, 1, 0, m + 1, 1])::DOUBLE AS value FROM s
+  UNION ALL SELECT 'sem', file_id, unnest(['try_count', 'catch_count', 'throw_count', 'import_count_total']), unnest([1.0, 1.0, 1.0, 1.0]) FROM s""",
+}
 QUERIES = {name: globals()[name] for name in SQL} | {"text_masking": text_masking, "text_chunks": text_chunks, "text_features": text_features, "submission_features": submission_features}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 IGNORED_PARTS = ("__MACOSX", "target", "build", "out", "bin", "dist", ".gradle", ".idea", ".git", "node_modules", ".DS_Store", "Thumbs.db")
 
 
+#: Unpacked bytes of one file up to which an archive is read.
+MOST_BYTES = 1 << 30
+
+
 def ignored(path: Column) -> Column:
     """Any part is in the ignored set or begins with ``._``."""
     return F.exists(F.split(path, "/"), lambda p: p.isin(*IGNORED_PARTS) | p.startswith("._"))
@@ -34,8 +38,13 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("bundle"), "content")
 
 
-def entries(archives: DataFrame, key: str, content: str = "content") -> DataFrame:
-    """(key, index, path, data, corrupt): a row for each file of each archive; a corrupt archive gives one row without a path."""
+def entries(archives: DataFrame, key: str, content: str = "content", wanted: Callable[[str], bool] | None = None, strict: bool = False) -> DataFrame:
+    """(key, index, path, data, corrupt): a row for each file of each archive; a corrupt archive gives one row without a path, or is an
+    error if ``strict``.
+
+    Files whose path is not ``wanted`` are listed without data and are not unpacked; one that
+    says it is larger than MOST_BYTES is an error.
+    """
     schema = pa.schema([(key, pa.string()), ("index", pa.int32()), ("path", pa.string()), ("data", pa.binary()), ("corrupt", pa.bool_())])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,29 +53,35 @@ def entries(archives: DataFrame, key: str, content: str = "content") -> DataFram
                 try:
                     with zipfile.ZipFile(io.BytesIO(blob or b"")) as z:
                         for k, info in enumerate(i for i in z.infolist() if not i.is_dir()):
-                            yield pa.RecordBatch.from_pylist([{key: name, "index": k, "path": info.filename, "data": z.read(info), "corrupt": False}], schema)
-                except (zipfile.BadZipFile, EOFError, NotImplementedError, RuntimeError, zipfile.zlib.error):
+                            take = wanted is None or wanted(info.filename)
+                            if take and info.file_size > MOST_BYTES:
+                                raise ValueError(f"{info.filename} in {name} has {info.file_size} bytes")
+                            yield pa.RecordBatch.from_pylist([{key: name, "index": k, "path": info.filename, "data": z.read(info) if take else None, "corrupt": False}], schema)
+                except (zipfile.BadZipFile, EOFError, NotImplementedError, RuntimeError, zipfile.zlib.error) as cause:
+                    if strict:
+                        raise ValueError(f"no readable ZIP archive: {name}") from cause
                     yield pa.RecordBatch.from_pylist([{key: name, "index": 0, "path": None, "data": None, "corrupt": True}], schema)
 
     return archives.select(F.col(key).cast("string"), F.col(content)).mapInArrow(unpack, f"{key} string, index int, path string, data binary, corrupt boolean")
 
 
 def submission_archives(bundles: DataFrame) -> DataFrame:
-    """(bundle, name, archive_path, index, content): the nested archives that are not ignored."""
-    e = entries(bundles, "bundle").filter(~F.col("corrupt") & F.lower("path").endswith(".zip") & ~ignored(F.col("path")))
+    """(bundle, name, archive_path, index, content): the nested archives that are not ignored. A corrupt bundle is an error."""
+    every = entries(bundles, "bundle", wanted=lambda path: path.lower().endswith(".zip"), strict=True)
+    e = every.filter(F.lower("path").endswith(".zip") & ~ignored(F.col("path")))
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?i)\.zip$", "")
     return e.select("bundle", name.alias("name"), F.col("path").alias("archive_path"), "index", F.col("data").alias("content"))
 
 
 def source_files(submissions: DataFrame, key: str = "submission_id") -> DataFrame:
     """(key, relative_path, basename, sha256, size_bytes, text) of the relevant files; text is UTF-8 with replacement."""
-    e = entries(submissions, key).filter(~F.col("corrupt") & relevant_source(F.col("path")))
+    e = entries(submissions, key, wanted=lambda path: path.lower().endswith(".java")).filter(~F.col("corrupt") & relevant_source(F.col("path")))
     return e.select(key, F.col("path").alias("relative_path"), F.element_at(F.split("path", "/"), -1).alias("basename"), F.sha2("data", 256).alias("sha256"), F.length("data").cast("bigint").alias("size_bytes"), F.make_valid_utf8(F.col("data").cast("string")).alias("text"))
 
 
 def submission_status(submissions: DataFrame, key: str = "submission_id") -> DataFrame:
     """(key, status, files, relevant, ignored): ok, empty, or error for a corrupt archive."""
-    e = entries(submissions, key)
+    e = entries(submissions, key, wanted=lambda path: False)
     own = relevant_source(F.col("path"))
     stats = e.groupBy(key).agg(F.bool_or("corrupt").alias("corrupt"), F.count("path").alias("files"), F.count_if(F.coalesce(own, F.lit(False))).alias("relevant"))
     df = submissions.select(F.col(key).cast("string").alias(key)).distinct().join(stats, key, "left")

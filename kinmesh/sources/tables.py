@@ -31,7 +31,11 @@ def read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def publish(spark: SparkSession, run_dir: str, required: tuple[str, ...], pointer: str, run_id: str) -> None:
-    """Move the pointer to a run whose artefacts are all there; a missing one is an error and nothing moves."""
+    """Move the pointer to a run whose artefacts are all there; a missing one is an error and nothing moves.
+
+    Each move adds a numbered version and deletes none, so a reader finds the last whole one at
+    any time. Two writers that take one number collide on its folder, and one of them fails.
+    """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     conf = spark._jsc.hadoopConfiguration()
     missing = []
@@ -41,14 +45,23 @@ def publish(spark: SparkSession, run_dir: str, required: tuple[str, ...], pointe
             missing.append(name)
     if missing:
         raise FileNotFoundError(f"run {run_id} lacks {', '.join(missing)}")
-    spark.createDataFrame([(run_id, run_dir)], "run_id string, run_dir string").coalesce(1).write.mode("overwrite").parquet(pointer)
+    version = max(_versions(spark, pointer), default=0) + 1
+    spark.createDataFrame([(run_id, run_dir)], "run_id string, run_dir string").coalesce(1).write.mode("error").parquet(f"{pointer}/version-{version:09d}")
 
 
-def published(spark: SparkSession, pointer: str) -> str | None:
-    from pyspark.errors import AnalysisException
+def _versions(spark: SparkSession, pointer: str) -> list[int]:
+    """Numbers of the versions that are written in full."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(pointer)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return []
+    made = [s.getPath() for s in system.listStatus(place) if s.isDirectory()]
+    whole = [p.getName() for p in made if system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return [int(n.removeprefix("version-")) for n in whole if n.startswith("version-")]
 
-    try:
-        row = spark.read.parquet(pointer).first()
-    except AnalysisException:
+
+def published(spark: SparkSession, pointer: str) -> str | None:
+    """The run that the newest version names, None where there is none."""
+    if not (versions := _versions(spark, pointer)):
         return None
-    return row["run_id"] if row else None
+    return spark.read.parquet(f"{pointer}/version-{max(versions):09d}").first()["run_id"]

@@ -29,6 +29,14 @@ def test_nested_archives_become_files(spark, tmp_path):
     assert {r.submission_id: r.status for r in A.submission_status(subs).collect()} == {"alice": "ok", "bob": "empty", "broken": "error"}
 
 
+def test_a_corrupt_bundle_is_an_error(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "bad.zip").write_bytes(b"no zip at all")
+    with pytest.raises(Exception, match="no readable ZIP archive"):
+        A.submission_archives(A.read_bundles(spark, str(tmp_path))).collect()
+
+
 def test_bundle_entries_are_classified(spark, tmp_path):
     found = A.classify_bundle(A.read_bundles(spark, bundle(tmp_path)))
     assert {(r.path, r.kind, r.reason) for r in found.collect()} == {
@@ -68,6 +76,8 @@ def test_publishing_needs_every_artefact(spark, tmp_path):
     T.write_artifacts({"clusters": spark.range(1)}, run)
     T.publish(spark, run, ("graph", "clusters"), pointer, "run1")
     assert T.published(spark, pointer) == "run1"
+    T.publish(spark, run, ("graph", "clusters"), pointer, "run2")
+    assert T.published(spark, pointer) == "run2"
     pairs = spark.range(12).selectExpr("'expr' AS space", "id AS i", "id + 1 AS j")
     T.write_pairs(pairs, str(tmp_path / "pairs"), chunk=5)
     assert spark.read.parquet(str(tmp_path / "pairs")).count() == 12

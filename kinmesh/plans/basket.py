@@ -6,6 +6,8 @@ sids, and so of pairs, whatever the size of the fact tables.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,19 +32,36 @@ def basket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("sid", "value", F.explode(keys).alias("k")).groupBy("k.space", "sid", "k.feature").agg(F.sum("value").alias("value"))
 
 
+def once(build):
+    """Run ``build`` once for each application and input folder: the queries below read one written copy of its tables."""
+    held: dict[tuple[str, str], object] = {}
+
+    @functools.wraps(build)
+    def found(spark: SparkSession, sf_dir: str):
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in held:
+            held.clear()
+            held[key] = build(spark, sf_dir)
+        return held[key]
+
+    return found
+
+
+@once
 def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weighted vectors, written once: a few thousand rows that every later step reads."""
     long = materialize(basket(spark, sf_dir), "basket")
-    return M.weighted_features(long, M.feature_stats(long))
+    return materialize(M.weighted_features(long, M.feature_stats(long)), "weighted")
 
 
 def nodes_of(w: DataFrame) -> DataFrame:
     return w.select("space", "sid").distinct()
 
 
+@once
 def calibrated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(weighted, components, calibrated pairs), each from the shared folder."""
-    w = materialize(weighted(spark, sf_dir), "weighted")
+    w = weighted(spark, sf_dir)
     comp = materialize(S.pair_components(w), "components")
     return w, comp, materialize(S.calibrate(S.hybrid(comp)), "pairs")
 
@@ -85,7 +104,7 @@ def top_dimensions(spark, sf_dir):
 
 
 def _components(spark, sf_dir):
-    return S.pair_components(materialize(weighted(spark, sf_dir), "weighted"))
+    return calibrated(spark, sf_dir)[1]
 
 
 def pair_cosine(spark, sf_dir):
@@ -155,6 +174,7 @@ def adaptive_topk(spark, sf_dir):
     return N.adaptive_topk(calibrated(spark, sf_dir)[2]).select("space", "src", "dst", "rank", *_r("cal", "local_floor"))
 
 
+@once
 def _graph(spark, sf_dir):
     w, comp, pairs = calibrated(spark, sf_dir)
     near = materialize(N.adaptive_topk(pairs), "near")
@@ -163,7 +183,7 @@ def _graph(spark, sf_dir):
 
 
 def mutual_edges(spark, sf_dir):
-    return N.mutual_edges(materialize(N.adaptive_topk(calibrated(spark, sf_dir)[2]), "near")).select("space", "i", "j", "rank", *_r("raw", "cal"))
+    return N.mutual_edges(_graph(spark, sf_dir)[3]).select("space", "i", "j", "rank", *_r("raw", "cal"))
 
 
 def shared_neighbors(spark, sf_dir):
@@ -191,6 +211,7 @@ def component_density(spark, sf_dir):
     return C.component_density(members, edges).select("space", "component", F.col("size").cast("bigint").alias("size"), F.col("edges").cast("bigint").alias("edges"), *_r("density"))
 
 
+@once
 def _clustered(spark, sf_dir):
     w, comp, pairs, near, edges = _graph(spark, sf_dir)
     return w, pairs, edges, materialize(C.fallback_clusters(nodes_of(w), edges), "clusters")
@@ -244,6 +265,7 @@ def explain_pair_report(spark, sf_dir):
     return found.select("space", "i", "j", "summary", F.array_join("dominant_families", "|").alias("families"), names("shared", "feature"), names("different", "feature"), verdicts)
 
 
+@once
 def _cluster_parts(spark, sf_dir):
     w, pairs, edges, members = _clustered(spark, sf_dir)
     lifts = materialize(C.signature_lift(members, w), "lifts")

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
 #: Names that the operators use inside or return.
-CLASHES = ("n_tokens", "score", "ids", "seeds", "fp", "group", "component_id", "secrets", "kept", "n_words", "predicted", "token", "n", "coverage", "lang_pred", "over_limit", "n_bytes", "decoded", "base_failed")
+CLASHES = ("n_tokens", "score", "ids", "seeds", "fp", "group", "component_id", "secrets", "kept", "n_words", "predicted", "token", "n", "coverage", "lang_pred", "over_limit", "n_bytes", "decoded", "base_failed", "_key", "_found", "_coded", "_text", "_seeds", "text_key", "row_key", "found", "coded", "spans", "keep", "rank", "doc")
 
 
 def awkward(n: int = 60, seed: int = 1) -> list[tuple]:

@@ -292,3 +292,64 @@ def test_quality_verdict_equals_brute_force_and_spares_unknown_languages(spark):
         want = not got[i].base_failed and (lang == "zz" or not far(second, t, quality.MAX_CLASS_DIVERGENCE, quality.MAX_WORD_DIVERGENCE))
         assert got[i].kept == want, (i, lang)
     assert all(got[i].kept == (not got[i].base_failed) for i, _, lang, *_ in rows if lang == "zz") and not any(got[i].kept for i in range(500, 503))
+
+
+def plain_grams(text):
+    letters = [c if c.isalpha() else " " for c in text.lower()]
+    x = [ord(c) for k, c in enumerate(letters) if c != " " or k == 0 or letters[k - 1] != " "]
+    m = 1 << 32
+    one = [c * 2654435761 % m for c in x]
+    two = [(one[k] ^ (x[k + 1] * 2246822519 % m)) * 3266489917 % m for k in range(len(x) - 1)]
+    three = [(two[k] ^ (x[k + 2] * 668265263 % m)) * 374761393 % m for k in range(len(x) - 2)]
+    counts = Counter(h >> 32 - langid.BITS for h in one + two + three)
+    length = math.sqrt(sum(n * n for n in counts.values()))
+    return {k: n / length for k, n in counts.items()}
+
+
+def test_language_query_equals_plain_recomputation_from_the_weights(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit_languages(table.filter(~langid.held_out(F.col("doc_id"), 4, 2)))
+    rows = {r.doc_id: r.text for r in table.select("doc_id", "text").collect()}
+    logistic = lambda m, g: 1 / (1 + math.exp(-m[2] * (sum(float(m[0][k]) * v for k, v in g.items()) + m[1])))
+    got = {r.doc_id: r for r in langid.op5_language_id(spark, sf).collect()}
+    for i in sorted(rows)[:60]:
+        if len(rows[i]) > 4000 or not any(map(str.isalpha, rows[i])):
+            continue
+        g = plain_grams(rows[i])
+        shares = {f: logistic(m, g) for f, m in model.family_machines.items()}
+        family = max(shares, key=lambda f: (shares[f], f))
+        members, votes, mass = model.groups[family], Counter(), Counter()
+        for (a, b), m in model.pair_machines.items():
+            if a in members:
+                p = logistic(m, g)
+                votes[a if p >= 0.5 else b] += 1
+                mass[a] += p
+                mass[b] += 1 - p
+        best = max(members, key=lambda x: (votes[x], mass[x], x))
+        score = shares[family] / sum(shares.values()) * (mass[best] / (len(members) - 1) if len(members) > 1 else 1)
+        assert got[i].lang_pred == best and abs(got[i].score - score) < 1e-4
+
+
+def test_toxicity_query_equals_plain_convolution_with_the_weights(spark, sf, tmp_path):
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    train = table.filter(~toxicity.held_out(F.col("doc_id"), 5, 0)).select("doc_id", "text", "lang").join(labels, "doc_id")
+    model = toxicity.fit_toxicity(train)
+    got = {r.doc_id: r for r in toxicity.op10_toxicity(spark, sf).collect()}
+    checked = 0
+    for r in table.select("doc_id", "text").orderBy("doc_id").limit(40).collect():
+        words = re.findall(r"[^\W_]+", r.text.lower())
+        if len(words) > 400:
+            continue
+        pairs = [divmod(toxicity.buckets(w), 1 << 32) for w in words]
+        vectors = [model.embedding[a] + model.embedding[b] for a, b in pairs]
+        pooled = []
+        for width, kernel in model.kernels.items():
+            responses = [np.concatenate(vectors[k : k + width]) @ kernel for k in range(len(vectors) - width + 1)]
+            pooled.append(np.maximum(np.max(responses, axis=0), 0) if responses else np.zeros(toxicity.FILTERS))
+        logit = float(np.concatenate(pooled) @ model.out + model.bias)
+        logs = [sum(float(model.word_logs[a % toxicity.LANGUAGE_BUCKETS, k]) for a, _ in pairs) for k in range(len(model.languages))]
+        lang = model.languages[int(np.argmax(logs))] if words else model.languages[0]
+        want = 1 / (1 + math.exp(-(logit - model.thresholds.get(lang, model.thresholds.get("", 0.0)))))
+        assert abs(got[r.doc_id].score - want) < 1e-3 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5)
+        checked += 1
+    assert checked > 10

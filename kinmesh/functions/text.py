@@ -126,13 +126,14 @@ def mask_literals(text: Column) -> Column:
 
 
 def normalizations(text: Column, bare: Column) -> dict[str, Column]:
-    """The forms of a source: raw, whitespace, no_comments, masked_identifiers, masked_literals. ``bare`` is the text without comments."""
+    """The six forms of a source. ``bare`` is the text without comments; the last form masks identifiers first, so words in strings are masked too."""
     return {
         "raw": text,
         "whitespace": normalize_whitespace(text),
         "no_comments": normalize_whitespace(bare),
         "masked_identifiers": normalize_whitespace(mask_identifiers(bare)),
         "masked_literals": normalize_whitespace(mask_literals(bare)),
+        "ast_normalized": normalize_whitespace(mask_literals(mask_identifiers(bare))),
     }
 
 

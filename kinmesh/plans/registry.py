@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinmesh.plans import basket, dense, models, runs, text
+from kinmesh.plans import basket, dense, models, reports, runs, text
 
-MODULES = (basket, dense, text, runs, models)
+MODULES = (basket, dense, text, runs, models, reports)
 
 
 def queries() -> dict:

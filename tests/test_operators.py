@@ -163,6 +163,15 @@ def test_masks_and_chunks(spark):
     assert row.s == "a_b_c" and row.c == ["aa\nbb", "cccccccc", "dd"]
 
 
+def test_six_normal_forms(spark):
+    df = spark.createDataFrame([("int  x = 12; // note\n\ty(\"a b\");\n",)], "t string").withColumn("c", X.strip_comments(F.col("t")))
+    row = df.select(*[v.alias(k) for k, v in X.normalizations(F.col("t"), F.col("c.text")).items()]).first().asDict()
+    assert row == {
+        "raw": "int  x = 12; // note\n\ty(\"a b\");\n", "whitespace": "int x = 12; // note\ny(\"a b\");", "no_comments": "int x = 12;\ny(\"a b\");",
+        "masked_identifiers": "int ID = 12;\nID(\"ID ID\");", "masked_literals": "int x = NUM;\ny(STR);", "ast_normalized": "int ID = NUM;\nID(STR);",
+    }
+
+
 def test_source_features_of_code(spark):
     code = "import java.util.List;\nclass A {\n  int f(int n) { if (n > 1) { return n; } return g(n); } // c\n}\n"
     df = spark.createDataFrame([(1, "s", code), (2, "s", None), (3, "s", "")], "file_id int, sid string, text string")

@@ -135,4 +135,5 @@ SQL = {
   SELECT lab, id, CASE WHEN cluster < 0 THEN near ELSE cluster END AS cluster FROM b WHERE rn = 1""",
     "year_cluster_cube": f"WITH {_POINTS} SELECT lab, year, cluster, (grouping(lab) * 4 + grouping(year) * 2 + grouping(cluster))::BIGINT AS level, count(*) AS n FROM pt GROUP BY CUBE (lab, year, cluster)",
 }
-QUERIES = {name: globals()[name] for name in SQL} | {"dense_vector_pairs": dense_vector_pairs}
+SQL["dense_vector_pairs"] = f"WITH {_UNIT} SELECT q.id, b.id AS neighbor, round(greatest(0, least(1, list_dot_product(q.v, b.v))), 5) AS similarity FROM u q JOIN u b ON q.id <> b.id WHERE q.id % 50 = 0"
+QUERIES = {name: globals()[name] for name in SQL}

@@ -46,4 +46,5 @@ SQL = {
   SELECT a.model, count(*) AS requests, count(*) FILTER (WHERE d IS NOT NULL AND d % 9 <> 0) AS hits, count(*) FILTER (WHERE d IS NULL) AS misses, count(*) FILTER (WHERE d % 9 = 0) AS stale, 0::BIGINT AS bypassed
   FROM a LEFT JOIN c ON a.model = c.model AND a.h = c.h GROUP BY ALL""",
 }
-QUERIES = {name: globals()[name] for name in SQL} | {"cache_text_counters": cache_text_counters}
+SQL["cache_text_counters"] = SQL["cache_counters"].replace("sha256(source || ':' || n_chars)", "sha256(coalesce(text, ''))")
+QUERIES = {name: globals()[name] for name in SQL}

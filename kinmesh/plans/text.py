@@ -161,6 +161,12 @@ _NODES = {
     "catch_type": (1, 0), "type_identifier": (1, 0), "throw": (1, 0), "expression": (2, 0), "call": (4, 0), "argument_list": (4, 0),
 }
 _NODES["identifier"] = (3 + 1 + 1 + 2 + 1 + 1 + 1 + 1 + 1, 4)  # import, class, run, list.add, take, print, take, catch, throw
+SQL["text_chunks"] = f"""WITH RECURSIVE {_F}, ln AS (SELECT file_id, string_split(text, chr(10)) AS l FROM f WHERE length(text) > 1000),
+  r AS (SELECT file_id, 1 AS i, 0 AS chunk, length(l[1]) + 1 AS size FROM ln
+    UNION ALL SELECT r.file_id, i + 1, CASE WHEN size + length(l[i + 1]) + 1 > 1000 THEN chunk + 1 ELSE chunk END, CASE WHEN size + length(l[i + 1]) + 1 > 1000 THEN length(l[i + 1]) + 1 ELSE size + length(l[i + 1]) + 1 END
+    FROM r JOIN ln USING (file_id) WHERE i < len(l)),
+  c AS (SELECT file_id, chunk, (sum(length(l[i])) + count(*) - 1)::BIGINT AS chars FROM r JOIN ln USING (file_id) GROUP BY ALL UNION ALL SELECT file_id, 0, length(text) FROM f WHERE length(text) <= 1000)
+  SELECT file_id, chunk, chars, round(greatest(1.0, sqrt(chars)), 5) AS weight FROM c"""
 _SOURCES = "s AS (SELECT n_nationkey AS file_id, n_regionkey + 1 AS m FROM nation)"
 SQL |= {
     "source_struct_features": f"""WITH {_SOURCES}, k(kind, a, b) AS (VALUES {", ".join(f"('{k}', {a}, {b})" for k, (a, b) in _NODES.items())}), c AS (SELECT file_id, m, kind, a + b * m AS n FROM s, k)
@@ -172,4 +178,4 @@ SQL |= {
     "source_keyword_counts": f"""WITH {_SOURCES} SELECT 'expr' AS space, file_id, unnest({["keyword:" + k for k in X.EXPR_KEYWORDS] + ["method_signature_count", "import_stmt_count"]}) AS feature, unnest([m, 0, 0, 0, 2 * m, 1, 1, 1, 0, m + 1, 1])::DOUBLE AS value FROM s
   UNION ALL SELECT 'sem', file_id, unnest(['try_count', 'catch_count', 'throw_count', 'import_count_total']), unnest([1.0, 1.0, 1.0, 1.0]) FROM s""",
 }
-QUERIES = {name: globals()[name] for name in SQL} | {"text_masking": text_masking, "text_chunks": text_chunks, "text_features": text_features, "submission_features": submission_features}
+QUERIES = {name: globals()[name] for name in SQL} | {"text_masking": text_masking, "text_features": text_features, "submission_features": submission_features}

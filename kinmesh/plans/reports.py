@@ -60,7 +60,7 @@ def cluster_edge_groups(spark, sf_dir):
 def name_keys(spark, sf_dir):
     """Year and key read from made-up file names of parts."""
     part = read_table(spark, sf_dir, "part")
-    name = F.concat(F.col("p_name"), F.lit("_Jahrgang "), (F.lit(1990) + F.col("p_size")).cast("string"), F.lit("_Abgabe-"), F.col("p_partkey").cast("string"), F.lit(".ZIP"))
+    name = F.concat(F.col("p_name"), F.lit("_Jahrgang "), (F.lit(1990) + F.col("p_size")).cast("string"), F.lit("_Abgabe-p"), F.col("p_partkey").cast("string"), F.lit(".ZIP"))
     return part.select("p_partkey", R.year_of_name(name).alias("year"), R.key_of_name(name).alias("key"), R.natural_key(F.col("p_brand")).alias("sort_key"))
 
 
@@ -87,7 +87,7 @@ SQL = {
   ec AS (SELECT e.space, a.cluster AS ci, b.cluster AS cj FROM e JOIN mem a ON a.space = e.space AND a.sid = e.i JOIN mem b ON b.space = e.space AND b.sid = e.j)
   SELECT n.space, n.cluster, n.nodes, (SELECT count(*) FROM ec WHERE ec.space = n.space AND ci IS NOT DISTINCT FROM n.cluster AND cj IS NOT DISTINCT FROM n.cluster) AS internal,
     (SELECT count(*) FROM ec WHERE ec.space = n.space AND (ci IS NOT DISTINCT FROM n.cluster) <> (cj IS NOT DISTINCT FROM n.cluster)) AS external FROM n""",
-    "name_keys": r"""SELECT p_partkey, 1990 + p_size AS year, regexp_replace(regexp_replace(lower(p_name) || '_jahrgang_abgabe_' || p_partkey, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS key,
+    "name_keys": r"""SELECT p_partkey, 1990 + p_size AS year, regexp_replace(regexp_replace(lower(p_name) || '_jahrgang_abgabe_p' || p_partkey, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS key,
   regexp_replace(p_brand, '[0-9]+$', '') || lpad(regexp_extract(p_brand, '[0-9]+$'), 20, '0') AS sort_key FROM part""",
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -16,9 +16,12 @@ MODULES = {
     "op8_quality_rules": "quality",
     "op9_decontamination": "decontam",
     "op10_toxicity": "toxicity",
+    "op11_best_fit_packing": "packing",
+    "op12_fill_in_middle": "fim",
+    "op13_prefix_trie": "trie",
 }
 #: query name -> attribute that holds its SQL.
-SQL = {"op1_chat_format": "OP1_SQL"}
+SQL = {"op1_chat_format": "OP1_SQL", "op12_fill_in_middle": "OP12_SQL", "op13_prefix_trie": "OP13_SQL"}
 
 
 def _module(name: str):

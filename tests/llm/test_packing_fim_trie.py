@@ -1,6 +1,7 @@
 """Packing, fill-in-middle and the prefix trie, held to the libraries and to plain versions."""
 
 import hashlib
+import math
 import random
 import sys
 import zlib
@@ -166,7 +167,7 @@ def plain_trie(rows):
     whole = {}
     for c in own:
         h = zlib.crc32(str(c).encode()) % 4
-        whole[c] = own.get(c - c % 20, [])[:h] + own[c][h:]
+        whole[c] = own.get(c - int(math.fmod(c, 20)), [])[:h] + own[c][h:]
     members = defaultdict(list)
     for c in sorted(whole):
         for d in range(len(whole[c]) + 1):

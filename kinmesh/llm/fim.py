@@ -37,12 +37,12 @@ def elias_fano(ends: np.ndarray) -> bytes:
     high = (ends >> low) + np.arange(n)
     bits = np.zeros(int(high[-1]) + 1, np.uint8)
     bits[high] = 1
-    return n.to_bytes(8, "little") + bytes([low]) + lows + np.packbits(bits, bitorder="little").tobytes()
+    return n.to_bytes(8, "big") + bytes([low]) + lows + np.packbits(bits, bitorder="little").tobytes()
 
 
 def select(packed: bytes, k: int) -> int:
     """The k-th number of an Elias-Fano list, from 0."""
-    n, low = int.from_bytes(packed[:8], "little"), packed[8]
+    n, low = int.from_bytes(packed[:8], "big"), packed[8]
     if not 0 <= k < n:
         raise IndexError(k)
     size = (n * low + 7) // 8
@@ -120,7 +120,7 @@ def fill_in_middle(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     index = text_index(dealt.select("digest", "share", "text"))
     joined = index.join(dealt.select("own", "digest", "share"), ["digest", "share"])
 
-    count = F.expr("cast(conv(hex(reverse(substring(bounds, 1, 8))), 16, 10) as bigint)")
+    count = F.expr("cast(conv(hex(substring(bounds, 1, 8)), 16, 10) as bigint)")
     h1, h2, h3, h4 = seeds(F.col("own.doc_id"), seed)
     marked = F.contains("text", F.lit(PREFIX)) | F.contains("text", F.lit(SUFFIX)) | F.contains("text", F.lit(MIDDLE))
     plain = (F.col("text") == "") | marked | (h3 % 100 >= rate)

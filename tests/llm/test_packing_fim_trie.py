@@ -139,7 +139,7 @@ def plain_fim(doc_id, text):
 
 
 def test_fill_in_middle_equals_a_plain_version(spark, tmp_path):
-    more = [(100, "a\nb\n\nc", "en", "a", 1), (101, "\n\n\n", "en", "a", 1), (102, "x<P>\ny", "en", "a", 1), (103, "é\n漢<\n<S\n>M>🙂", "en", "a", 1), (104, "line\n" * 5000, "en", "a", 1), (105, "a\r\nb c\x0bd\n", "en", "a", 1)]
+    more = [(100, "a\nb\n\nc", "en", "a", 1), (101, "\n\n\n", "en", "a", 1), (102, "x<P>\ny", "en", "a", 1), (103, "é\n漢<\n<S\n>M>🙂", "en", "a", 1), (104, "line\n" * 5000, "en", "a", 1), *[(2000 + k, "l\n" * k, "en", "a", 1) for k in range(120, 300)], (105, "a\r\nb c\x0bd\n", "en", "a", 1)]
     copies = [(1000 + k, "one\ntwo\nthree of a hot text", "en", "hot", 1) for k in range(900)]
     table = awkward() + more + copies
     path = save(spark, tmp_path, documents=with_clashes(docs(spark, table)))

@@ -7,6 +7,7 @@ from kinmesh.functions import features as FF
 from kinmesh.functions import text as X
 from kinmesh.operators import clusters as C
 from kinmesh.operators import density as D
+from kinmesh.operators import drift
 from kinmesh.operators import model as M
 from kinmesh.operators import neighbors as N
 from kinmesh.operators import runs as R
@@ -68,7 +69,7 @@ def test_drift_clusters_place_every_point(spark):
     rng = random.Random(42)
     points = [(rng.gauss(1, 0.02), rng.gauss(0, 0.02)) for _ in range(18)] + [(rng.gauss(0, 0.02), rng.gauss(1, 0.02)) for _ in range(18)] + [(0.7, 0.7), (0.6, 0.75), (0.75, 0.6)]
     rows = [("x", k, [a / (a * a + b * b) ** 0.5, b / (a * a + b * b) ** 0.5]) for k, (a, b) in enumerate(points)] + [("y", 100 + k, [1.0, 0.0]) for k in range(2)]
-    got = {r.id: r.cluster for r in D.drift_clusters(spark.createDataFrame(rows, "lab string, id bigint, v array<double>")).collect()}
+    got = {r.id: r.cluster for r in drift.drift_clusters(spark.createDataFrame(rows, "lab string, id bigint, v array<double>")).collect()}
     assert len(got) == 41 and all(c >= 0 for c in got.values())
     assert not {got[k] for k in range(18)} & {got[k] for k in range(18, 36)}
 

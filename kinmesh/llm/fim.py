@@ -5,7 +5,8 @@
    ``SHARES`` is dealt into shares, so that no task gets a hot text's documents whole.
 2. For each distinct text the ends of its lines are found once and kept as an Elias-Fano list:
    about 2 + log2(characters / lines) bits a line.
-3. The index is joined back to the documents, which bring their id alone; the text travels once.
+3. The index is joined back to the documents, which bring their id alone. Both sides are dealt
+   by (digest, share) already, so the text travels once, and a share's ids are one list.
 4. Each document selects its two cuts in the list, and built-in functions cut the text.
 
 The forms put ``<P>``, ``<S>`` and ``<M>`` before prefix, suffix and middle. A text that holds
@@ -85,20 +86,20 @@ def seeds(doc_id: Column, seed: int = SEED) -> list[Column]:
 
 
 def hot_texts(df: DataFrame, text: Column, shares: int = SHARES) -> DataFrame:
-    """(hash, n) of the texts that have more than one row in ``shares`` and the shares they get; at most ``shares`` rows."""
+    """(hash, n) of the texts that have more than one row in ``shares``, with the shares of about COPIES rows they get; at most ``shares`` rows."""
     least = max(COPIES, df.count() // shares)
     counts = df.groupBy(F.xxhash64(text).alias("hash")).count().filter(F.col("count") > least)
-    return counts.select("hash", F.ceil(F.col("count") / least).alias("n"))
+    return counts.select("hash", F.ceil(F.col("count") / COPIES).alias("n"))
 
 
 def text_index(rows: DataFrame) -> DataFrame:
-    """(digest, share, text, bounds): each distinct text of ``rows`` (digest, share, text) once, with its line ends.
+    """(digest, share, text): each distinct text of ``rows`` (digest, share, text) once.
 
     The set of a digest's texts compares contents; more than one text under a digest is an error.
     """
     held = rows.groupBy("digest", "share").agg(F.collect_set("text").alias("texts"))
     one = F.when(F.size("texts") == 1, F.col("texts")[0]).otherwise(F.raise_error(F.lit("two texts have one digest")))
-    return held.select("digest", "share", one.alias("text")).withColumn("bounds", F.arrow_udf(boundary_list, "binary")("text"))
+    return held.select("digest", "share", one.alias("text"))
 
 
 def fill_in_middle(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), seed: int = SEED, rate: int = RATE, spm_rate: int = SPM_RATE) -> DataFrame:
@@ -118,7 +119,11 @@ def fill_in_middle(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     share = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col("own")), F.col("n")).cast("int"))
     dealt = dealt.select("own", "text", F.sha2("text", 256).alias("digest"), share.alias("share"))
     index = text_index(dealt.select("digest", "share", "text"))
-    joined = index.join(dealt.select("own", "digest", "share"), ["digest", "share"])
+    # a share's documents: COPIES of a hot text, and of any other one row in SHARES at most
+    owners = dealt.groupBy("digest", "share").agg(F.collect_list("own").alias("owners"))
+    # a Python function forgets how its rows are dealt, so the lists are made behind the join
+    bounded = index.join(owners, ["digest", "share"]).withColumn("bounds", F.arrow_udf(boundary_list, "binary")("text"))
+    joined = bounded.select("text", "bounds", F.explode("owners").alias("own"))
 
     count = F.expr("cast(conv(hex(substring(bounds, 1, 8)), 16, 10) as bigint)")
     h1, h2, h3, h4 = seeds(F.col("own.doc_id"), seed)

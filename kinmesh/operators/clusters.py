@@ -150,3 +150,50 @@ def graph_nodes(nodes: DataFrame, members: DataFrame, edges: DataFrame) -> DataF
     from kinmesh.operators.neighbors import degrees
 
     return degrees(nodes, edges).join(members, ["space", "sid"], "left")
+
+
+def cluster_spaces(nodes: DataFrame, pairs: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((space, sid, cluster, is_noise, strength), (space, method, fallback, reason, n, clusters, noise, least, samples, probe)): each space by the way that fits it.
+
+    singleton                 a space of one node is one cluster
+    connected_components      a space with a pair that has no number cannot be clustered by density; components of its edges stand in
+    hdbscan_precomputed       density clusters, the rest is noise; also where all is noise and the edges give nothing
+    graph_support_components  all is noise, but strong edges hold clusters together
+
+    The way is chosen by aggregates over each space, so all spaces run in one plan. ``cluster``
+    is the smallest sid in it. Nodes are (space, sid), pairs (space, i, j, cal), edges
+    (space, i, j, cal, shared). least, samples and probe (the 75 % quantile
+    of cal) are the parameters of density clusters and null for the other ways.
+    """
+    from kinmesh.operators import density as D
+    from kinmesh.session import materialize
+
+    n = nodes.groupBy("space").agg(F.count(F.lit(1)).alias("n"))
+    broken = pairs.groupBy("space").agg(F.bool_or(F.col("cal").isNull() | F.isnan("cal")).alias("broken"), F.percentile("cal", 0.75).alias("probe"))
+    told = n.join(broken, "space", "left").withColumn("way", F.when(F.col("n") == 1, "singleton").when(F.coalesce("broken", F.lit(False)), "connected_components").otherwise("density"))
+    told = materialize(told.select("space", "n", "way", F.when(F.col("way") == "density", F.col("probe")).alias("probe")), "spaces")
+    of = lambda df, way: df.join(told.filter(F.col("way") == way).select("space"), "space")
+
+    dense = D.density_clusters(of(nodes, "density"), of(pairs, "density"))
+    least = F.when(F.col("label") >= 0, F.min("sid").over(Window.partitionBy("space", "label")))
+    dense = materialize(dense.select("space", "sid", least.alias("cluster"), "probability"), "dense")
+    held = dense.groupBy("space").agg(F.count("cluster").alias("held"))
+    empty = held.filter("held = 0").select("space")
+    graph = materialize(fallback_clusters(of(nodes, "density").join(empty, "space"), of(edges, "density").join(empty, "space")), "graph")
+    found = graph.groupBy("space").agg(F.count("cluster").alias("kept")).filter("kept > 0").select("space")
+
+    alone = of(nodes, "singleton").select("space", "sid", F.col("sid").alias("cluster"), F.lit(1.0).alias("strength"))
+    parts = components_by_space(of(nodes, "connected_components"), of(edges, "connected_components")).select("space", "sid", F.col("component").alias("cluster"), F.lit(1.0).alias("strength"))
+    by_density = dense.join(found, "space", "left_anti").select("space", "sid", "cluster", F.col("probability").alias("strength"))
+    by_graph = graph.join(found, "space").select("space", "sid", "cluster", "strength")
+    members = materialize(alone.unionByName(parts).unionByName(by_density).unionByName(by_graph).select("space", "sid", "cluster", F.col("cluster").isNull().alias("is_noise"), "strength"), "members")
+
+    counts = members.groupBy("space").agg(F.countDistinct("cluster").alias("clusters"), F.count_if("is_noise").alias("noise"))
+    lifted = found.withColumn("graph", F.lit(True))
+    rows = told.join(counts, "space").join(lifted, "space", "left")
+    method = F.when(F.col("way") != "density", F.col("way")).when(F.col("graph"), "graph_support_components").otherwise("hdbscan_precomputed")
+    reason = F.when(F.col("way") == "connected_components", "hdbscan_unavailable_or_failed").when(F.col("graph"), "all_noise_graph_support_fallback")
+    density = F.col("way") == "density"
+    size = F.when(density, F.greatest(F.lit(2), F.least(F.col("n"), F.greatest(F.lit(2), F.least(F.lit(12), F.bround(F.sqrt(F.greatest(F.lit(2), F.col("n"))))))))).cast("bigint")
+    spaces = rows.select("space", method.alias("method"), reason.isNotNull().alias("fallback"), reason.alias("reason"), "n", "clusters", "noise", size.alias("least"), F.when(density, F.greatest(F.lit(1), F.least(F.floor(size / 2), F.greatest(F.lit(1), F.col("n") - 1)))).cast("bigint").alias("samples"), F.round("probe", 6).alias("probe"))
+    return members, spaces

@@ -51,13 +51,31 @@ def rare_overlaps(weighted: DataFrame, limit: int = RARE_LIMIT) -> DataFrame:
     return met.groupBy("space", "i", "j").agg(safe_ratio(F.sum(F.least("wi", "wj")), F.sum(F.greatest("wi", "wj"))).alias("rare_overlap"))
 
 
+def inverse_variance() -> Column:
+    return F.when(F.col("std") >= 1e-9, 1 / (F.col("std") * F.col("std"))).otherwise(0.0)
+
+
 def pair_components(weighted: DataFrame) -> DataFrame:
     """(space, i, j, profile, contrast, overlap, size, rare_overlap) for all i < j of a space.
 
+    By a join on features, for spaces of few sids; :mod:`kinmesh.operators.blocked` has the same in blocks.
+    """
+    side = weighted.select("space", "feature", "sid", "w", inverse_variance().alias("v"))
+    left, right = side.withColumnsRenamed({"sid": "i", "w": "wi"}), side.select("space", "feature", F.col("sid").alias("j"), F.col("w").alias("wj"))
+    met = left.join(right, ["space", "feature"]).filter(F.col("i") < F.col("j"))
+    met = met.groupBy("space", "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"), F.sum(F.col("wi") * F.col("wj") * F.col("v")).alias("dotv"), F.sum(F.least("wi", "wj")).alias("low"))
+    ids = weighted.select("space", "sid").distinct()
+    spine = ids.withColumnRenamed("sid", "i").join(ids.withColumnRenamed("sid", "j"), "space").filter(F.col("i") < F.col("j"))
+    met = spine.join(met, ["space", "i", "j"], "left").fillna(0.0, ["dot", "dotv", "low"])
+    return assemble_components(weighted, met, rare_overlaps(weighted))
+
+
+def assemble_components(weighted: DataFrame, met: DataFrame, rare: DataFrame) -> DataFrame:
+    """The five components from the sums of all pairs, ``met`` (space, i, j, dot, dotv, low), and the rare overlaps of those that have one.
+
     The z-score dot product is expanded over w, so that only its first term needs the pair.
     """
-    ok = F.col("std") >= 1e-9
-    inv = F.when(ok, 1 / (F.col("std") * F.col("std"))).otherwise(0.0)
+    inv = inverse_variance()
     own = weighted.groupBy("space", "sid").agg(
         F.sum(F.col("w") * F.col("w")).alias("ww"),
         F.sum("w").alias("mass"),
@@ -66,15 +84,9 @@ def pair_components(weighted: DataFrame) -> DataFrame:
     )
     const = weighted.select("space", "feature", "mean", "std").distinct().groupBy("space").agg(F.sum(F.col("mean") * F.col("mean") * inv).alias("mmv"))
     own = own.join(const, "space")
-    side = weighted.select("space", "feature", "sid", "w", inv.alias("v"))
-    left, right = side.withColumnsRenamed({"sid": "i", "w": "wi"}), side.select("space", "feature", F.col("sid").alias("j"), F.col("w").alias("wj"))
-    met = left.join(right, ["space", "feature"]).filter(F.col("i") < F.col("j"))
-    met = met.groupBy("space", "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"), F.sum(F.col("wi") * F.col("wj") * F.col("v")).alias("dotv"), F.sum(F.least("wi", "wj")).alias("low"))
-    rare = rare_overlaps(weighted)
-    a = own.select("space", *[F.col(c).alias(f"{c}_i") for c in ("sid", "ww", "mass", "wwv", "wmv", "mmv")])
-    b = own.select("space", *[F.col(c).alias(f"{c}_j") for c in ("sid", "ww", "mass", "wwv", "wmv")])
-    spine = a.join(b, "space").filter(F.col("sid_i") < F.col("sid_j")).withColumnsRenamed({"sid_i": "i", "sid_j": "j"})
-    df = spine.join(met, ["space", "i", "j"], "left").join(rare, ["space", "i", "j"], "left").fillna(0.0, ["dot", "dotv", "low", "rare_overlap"])
+    a = own.select("space", F.col("sid").alias("i"), *[F.col(c).alias(f"{c}_i") for c in ("ww", "mass", "wwv", "wmv", "mmv")])
+    b = own.select("space", F.col("sid").alias("j"), *[F.col(c).alias(f"{c}_j") for c in ("ww", "mass", "wwv", "wmv")])
+    df = met.join(a, ["space", "i"]).join(b, ["space", "j"]).join(rare, ["space", "i", "j"], "left").fillna(0.0, ["rare_overlap"])
     profile = clip(safe_ratio(F.col("dot"), F.sqrt("ww_i") * F.sqrt("ww_j")))
     zz = F.col("dotv") - F.col("wmv_i") - F.col("wmv_j") + F.col("mmv_i")
     zi, zj = F.col("wwv_i") - 2 * F.col("wmv_i") + F.col("mmv_i"), F.col("wwv_j") - 2 * F.col("wmv_j") + F.col("mmv_i")

@@ -87,7 +87,7 @@ def feature_aggregate(spark, sf_dir):
         F.struct(F.concat(F.lit("import_family:"), "p_brand").alias("feature"), F.col("q").alias("value")),
     )
     files = flat.select(F.lit("expr").alias("space"), "sid", "file_id", F.explode(rows).alias("f")).select("space", "sid", "file_id", "f.*")
-    return M.aggregate_features(files).select("space", "sid", "feature", *_r("value"))
+    return M.aggregate_features(files).select("space", "sid", "feature", F.round("value", 10).alias("value"))
 
 
 def feature_tfidf_weights(spark, sf_dir):
@@ -443,7 +443,7 @@ g AS (
   UNION ALL SELECT sid, 'discount:' || p_brand || '_mean', avg(d) FROM f GROUP BY ALL
   UNION ALL SELECT sid, 'import_family:' || p_brand, max((q > 0)::INT)::DOUBLE FROM f GROUP BY ALL
   UNION ALL SELECT sid, 'file_count', count(DISTINCT file_id)::DOUBLE FROM f GROUP BY ALL)
-SELECT 'expr' AS space, sid, feature, round(value, 4) AS value FROM g""",
+SELECT 'expr' AS space, sid, feature, round(value, 10) AS value FROM g""",
     "feature_tfidf_weights": f"WITH {_BASE} SELECT DISTINCT space, feature, df, {_rs('sparsity', 'weight', 'mean', 'std')} FROM z JOIN stats USING (space, feature)",
     "feature_zscores": f"WITH {_BASE} SELECT space, sid, feature, {_rs('w', 'z')} FROM z JOIN l USING (space, sid, feature)",
     "top_dimensions": f"""WITH {_BASE} SELECT space, sid, rank, feature, {_rs('w', 'share')} FROM (

@@ -1,12 +1,13 @@
 """Benchmark decontamination by greedy string tiling.
 
 1. Benchmark items give seeds: hashes of each run of ``MIN_TILE`` tokens.
-2. One pass over the documents keeps the texts that hold a seed. The pass asks a bit array
+2. One pass over the documents keeps the texts that hold a seed. The pass asks a Bloom filter
    of fixed size, filled from all seeds, so what is broadcast does not grow with the
    benchmark; a larger benchmark only lets more texts through to the next step.
 3. The survivors' seeds join the benchmark's seeds and are counted by pair of text and item;
    pairs whose seeds cannot reach the threshold end here. Equal texts are joined once, under
-   the digest of the text, and so are equal items.
+   the digest of the text, and so are equal items; a seed that many texts hold is dealt into
+   shares.
 4. Each pair is tiled: the longest runs common to both that overlap nothing marked are
    marked first, again and again down to ``MIN_TILE`` tokens, with rolling hashes
    (Karp-Rabin) to find them and a comparison to confirm them. Tiles may lie in any order, so
@@ -29,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmesh.llm.bpe import Memo
+from kinmesh.llm.skew import dealt_join
 from kinmesh.session import materialize, own_name, read_table
 
 MIN_TILE = 5
 MIN_COVERAGE = 0.5
-FILTER_BITS = 1 << 24
+#: Bits of the filter and probes of a seed.
+FILTER_BITS, PROBES = 1 << 24, 8
 #: Digests of contaminated texts up to which they are broadcast (about 25 MB); beyond, both sides meet by a shuffle.
 MOST_SENT = 200_000
 
@@ -77,16 +80,29 @@ def rolled(tokens: np.ndarray, size: int) -> np.ndarray:
     return left[:n] * np.uint64(pow(int(_BASE), size - half, 1 << 64)) + right[half : half + n]
 
 
+def probe(seeds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit of the k-th probe of each seed."""
+    mixed = seeds ^ (seeds >> np.uint64(29))
+    at = (mixed + np.uint64(k) * ((seeds >> np.uint64(33)) | np.uint64(1))) & np.uint64(FILTER_BITS - 1)
+    return (at >> np.uint64(3)).astype(np.int64), (at & np.uint64(7)).astype(np.uint8)
+
+
 def filter_of(seeds: np.ndarray) -> np.ndarray:
     table = np.zeros(FILTER_BITS // 8, np.uint8)
-    at = (seeds ^ (seeds >> np.uint64(29))) & np.uint64(FILTER_BITS - 1)
-    np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+    for k in range(PROBES):
+        byte, bit = probe(seeds, k)
+        np.bitwise_or.at(table, byte, np.left_shift(np.uint8(1), bit))
     return table
 
 
 def passing(table: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    at = (seeds ^ (seeds >> np.uint64(29))) & np.uint64(FILTER_BITS - 1)
-    return seeds[(table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+    """The seeds whose probes are all set; each probe asks only what passed those before."""
+    for k in range(PROBES):
+        if not len(seeds):
+            break
+        byte, bit = probe(seeds, k)
+        seeds = seeds[(table[byte] >> bit & 1).astype(bool)]
+    return seeds
 
 
 class Side:
@@ -105,17 +121,44 @@ class Side:
         return at, rolled(self.tokens, size)[at]
 
 
-def matches(item: Side, text: Side, size: int) -> list[tuple[int, int]]:
-    """Starts of equal free runs of ``size`` tokens, by place in the item, then in the text; hashes find, tokens confirm."""
+def meet(item: Side, text: Side, size: int) -> bool:
+    """Whether free runs of ``size`` tokens are equal; hashes find, tokens confirm. Stops at the first."""
+    i, h = item.starts(size)
+    t, g = text.starts(size)
+    for x in np.intersect1d(h, g):
+        a = item.tokens[(at := i[h == x][0]) : at + size]
+        if any(np.array_equal(a, text.tokens[at : at + size]) for at in t[g == x]):
+            return True
+    return False
+
+
+def mark(item: Side, text: Side, size: int) -> list[tuple[int, int]]:
+    """Mark equal free runs of ``size`` tokens, by place in the item, then in the text, and return their starts.
+
+    A run that is no longer free never is again, so the places of a hash are read once.
+    """
     i, h = item.starts(size)
     t, g = text.starts(size)
     near = np.isin(h, g)
-    if not near.any():
-        return []
     where: dict[int, list[int]] = {}
-    for at in np.flatnonzero(np.isin(g, h[near])):
+    for at in np.flatnonzero(np.isin(g, h[near]))[::-1]:
         where.setdefault(int(g[at]), []).append(int(t[at]))
-    return [(int(a), b) for a, x in zip(i[near], h[near], strict=True) for b in where.get(int(x), ()) if np.array_equal(item.tokens[a : a + size], text.tokens[b : b + size])]
+    out = []
+    for a, x in zip(i[near].tolist(), h[near].tolist(), strict=True):
+        if not item.free[a : a + size].all():
+            continue
+        places, passed = where[x], []
+        while places:
+            b = places.pop()
+            if not text.free[b : b + size].all():
+                continue
+            if np.array_equal(item.tokens[a : a + size], text.tokens[b : b + size]):
+                item.free[a : a + size] = text.free[b : b + size] = False
+                out.append((a, b))
+                break
+            passed.append(b)  # another run of the same hash
+        places += passed[::-1]
+    return out
 
 
 def tile(text: np.ndarray, item: np.ndarray, least: int = MIN_TILE) -> list[tuple[int, int, int]]:
@@ -140,13 +183,10 @@ def tile(text: np.ndarray, item: np.ndarray, least: int = MIN_TILE) -> list[tupl
         low, high = least - 1, top
         while low < high:
             middle = (low + high + 1) // 2
-            low, high = (middle, high) if matches(a, b, middle) else (low, middle - 1)
+            low, high = (middle, high) if meet(a, b, middle) else (low, middle - 1)
         if low < least:
             break
-        for i, t in matches(a, b, low):
-            if a.free[i : i + low].all() and b.free[t : t + low].all():
-                a.free[i : i + low] = b.free[t : t + low] = False
-                tiles.append((i, int(places[t]), low))
+        tiles += [(i, int(places[t]), low) for i, t in mark(a, b, low)]
         top = low - 1
     return tiles
 
@@ -175,7 +215,7 @@ def benchmark_seeds(items: DataFrame, text: str = "text") -> DataFrame:
 
 
 def seed_filter(seeds: DataFrame) -> np.ndarray:
-    """The bit array of all seeds. Each task makes its part's bits; only arrays of the fixed size meet."""
+    """The filter of all seeds. Each task makes its part's bits; only arrays of the fixed size meet."""
 
     def bits(batches):
         table, any_seed = np.zeros(FILTER_BITS // 8, np.uint8), False
@@ -213,7 +253,8 @@ def contaminated_texts(df: DataFrame, items: DataFrame, text: str = "text", keep
     held = materialize(narrow.withColumn("text_key", F.sha2("text", 256)).withColumn("keep", F.col("keep") if keep else F.lit(0)), "seeded")
     texts = held.select("text_key", "text", "seeds").dropDuplicates(["text_key"])
     seeds = bench.select("item_key", F.size("tokens").alias("size"), F.explode(F.arrays_zip("seeds", "times")).alias("z")).select("item_key", "size", "z.*")
-    met = texts.select("text_key", F.explode("seeds").alias("seeds")).join(seeds, "seeds").groupBy("text_key", "item_key", "size").agg(F.sum("times").alias("shared"))
+    asked = texts.select("text_key", F.explode("seeds").alias("seeds"))
+    met = dealt_join(asked, seeds, "seeds", F.col("text_key")).groupBy("text_key", "item_key", "size").agg(F.sum("times").alias("shared"))
     enough = met.filter(F.col("shared") * F.least("size", F.lit(MIN_TILE)) >= MIN_COVERAGE * F.col("size")).select("text_key", "item_key")
     pairs = enough.join(texts.select("text_key", "text"), "text_key").join(bench.select("item_key", "tokens"), "item_key")
 

@@ -19,10 +19,11 @@ def bounded_sample(df: DataFrame, label: str, per_label: int, most: int, key: st
     """At most ``per_label`` rows of each label, about ``most`` in all, chosen by a hash of ``key`` and ``text``.
 
     Labels are counted over all rows. With many labels each has its share of ``most``, and no
-    label is left out. A hash threshold passes about twice what a label needs, the rank of the
+    label is left out: the first row of a label always stays, whatever its length, so the bound on
+    characters is passed by the first texts of long labels at most. A hash threshold passes about twice what a label needs, the rank of the
     hash cuts it to size, and equal rows are told apart by nothing, so the choice depends on the
-    rows alone. Texts are whole; a label's rows end where their texts would pass its part of
-    MOST_CHARS, so what reaches the driver is bounded in bytes too.
+    rows alone. Texts are whole; a label's further rows are taken, by their hash, as long as
+    their texts stay within its part of MOST_CHARS; a text longer than the part is passed over.
     """
     counts = df.groupBy(F.col(label).alias("label_")).agg(F.count(F.lit(1)).alias("label_rows"))
     total, labels = counts.agg(F.sum(F.least("label_rows", F.lit(per_label))), F.count(F.lit(1))).first()
@@ -33,7 +34,9 @@ def bounded_sample(df: DataFrame, label: str, per_label: int, most: int, key: st
     joined = df.join(counts, df[label].eqNullSafe(F.col("label_"))).withColumn("spot_", spot).withColumn("each_", each)
     likely = joined.filter(F.pmod("spot_", F.lit(1 << 30)) < F.least(F.lit(1.0), (2 * F.col("each_") + 32) / F.col("label_rows")) * (1 << 30))
     by = Window.partitionBy("label_").orderBy("spot_")
-    near = likely.withColumn("rank_", F.row_number().over(by)).filter(F.col("rank_") <= F.col("each_"))
-    chars = F.sum(F.coalesce(F.length(text), F.lit(0))).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    chosen = near.withColumn("chars_", chars).filter(F.col("chars_") <= MOST_CHARS // labels).select(*df.columns)
+    part = MOST_CHARS // labels
+    size = F.coalesce(F.length(text), F.lit(0))
+    near = likely.withColumn("rank_", F.row_number().over(by)).filter((F.col("rank_") <= F.col("each_")) & ((F.col("rank_") == 1) | (size <= part)))
+    chars = F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    chosen = near.withColumn("chars_", chars).filter((F.col("chars_") <= part) | (F.col("rank_") == 1)).select(*df.columns)
     return sorted(chosen.collect(), key=lambda r: tuple(str(x) for x in r))

@@ -1,8 +1,10 @@
 import random
 import re
+import time
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from kinmesh.llm import decontam, simhash
 from tests.llm.helpers import awkward, docs, save, with_clashes
@@ -187,3 +189,37 @@ def test_decontamination_query_equals_brute_force(spark, tmp_path):
                 want.add((i, item_id, round(sum(n for *_, n in tiles) / len(item), 6), len(tiles), max(n for *_, n in tiles)))
     got = decontam.op9_decontamination(spark, d).collect()
     assert {(r.doc_id, r.item_id, r.coverage, r.n_tiles, r.longest_tile) for r in got} == want and len(got) == len(want)
+
+
+def test_tiling_of_equal_tokens_is_not_quadratic():
+    began = time.time()
+    tiles = decontam.tile(np.full(4000, 7, np.uint64), np.full(400, 7, np.uint64))
+    assert tiles == [(0, 0, 400)] and time.time() - began < 1
+
+
+def test_filter_lets_few_other_texts_pass():
+    rng = np.random.default_rng(1)
+    table = decontam.filter_of(rng.integers(0, 1 << 63, 100_000).astype(np.uint64))
+    texts = [rng.integers(0, 1 << 63, 2000).astype(np.uint64) for _ in range(200)]
+    assert sum(len(decontam.passing(table, t)) > 0 for t in texts) <= 2
+    seeds = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
+    assert len(decontam.passing(decontam.filter_of(seeds), seeds)) == 1000
+
+
+def test_hot_seeds_are_dealt(spark, monkeypatch):
+    """A join with a key in most rows gives the rows of a plain join."""
+    from kinmesh.llm.skew import dealt_join
+
+    left = spark.createDataFrame([(k, 1 if k % 3 else k) for k in range(300)] + [(300, None)], "id long, key long")
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (6, "c"), (None, "d")], "key long, value string")
+    got = sorted(map(tuple, dealt_join(left, right, "key", F.col("id"), rows=10).collect()))
+    assert got == sorted(map(tuple, left.join(right, "key").collect())) and len(got) == 401
+
+
+def test_samples_lose_no_label(spark, monkeypatch):
+    from kinmesh.llm import sampling
+
+    monkeypatch.setattr(sampling, "MOST_CHARS", 1000)
+    rows = [(k, "short", "x" * 10) for k in range(20)] + [(100 + k, "long", "y" * 600) for k in range(20)]
+    got = sampling.bounded_sample(spark.createDataFrame(rows, "id long, label string, text string"), "label", 10, 100, "id")
+    assert {r.label for r in got} == {"short", "long"} and sum(r.label == "long" for r in got) == 1 and sum(r.label == "short" for r in got) == 10

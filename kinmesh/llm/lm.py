@@ -2,15 +2,16 @@
 
 1. Texts are read in blocks. A block sends each distinct token and bigram of its texts once,
    with its count in the training texts among them (0 if there is none), to the shard of its
-   hash. The number of shards grows with the training tokens, so a shard's size does not.
+   hash. The number of shards grows with the tokens of all texts, so a shard's size does not.
    A token is its 64-bit hash. A bigram is a fingerprint of ``SPARE`` bits more than the
-   training tokens have, so two seldom meet and sorted ones pack into few bytes.
+   training tokens have, up to 64: a bigram that was never seen meets a seen one once in a
+   million, and sorted fingerprints pack into few bytes.
 2. A shard adds up the counts of all blocks. It quantises a bigram's count c to a level
    q = 1 + floor(log2(c)) and enters the bigram in its filter once for each level 1..q. Every
    bigram that occurs in the training texts is entered, at any size of input.
 3. The filter answers the blocks: for each bigram it is asked for level 1, 2, ... until one is
    missing; the last found level gives the count back within a factor of 2. False positives
-   only lift a level, each with a probability of about 2^-14. Tokens get their exact counts.
+   only lift a level, each with a probability of about 2^-19. Tokens get their exact counts.
 4. The answers meet the block's texts under the block's number, and the texts are scored.
    P(w | v) = L * c(v, w) / c(v) + (1 - L) * P(w) after a v that was seen, P(w) at the start
    of a text and after any other. P(w) = c(w) / (N + 1), with 1 / (N + 1) left for all that
@@ -42,14 +43,14 @@ from kinmesh.llm.sampling import held_out
 from kinmesh.session import materialize, read_table
 
 END = b"\n"
-HASHES = 8
-#: Bits of a filter for each level that is entered: 24 of them with 8 hashes give false positives of about 2^-14.
-BITS_EACH = 24
+HASHES = 10
+#: Bits of a filter for each level that is entered: 32 of them with 10 hashes give false positives of about 2^-19.
+BITS_EACH = 32
 LAMBDA = 0.8
-#: Training tokens for each shard, and shards at least.
+#: Tokens of all texts for each shard, and shards at least.
 PER_SHARD, LEAST_SHARDS = 2_000_000, 48
 #: Bits of a bigram's fingerprint beyond those of the number of training tokens.
-SPARE = 10
+SPARE = 20
 #: Tokens of a block.
 BLOCK = 1_000_000
 BODY, WORDS, BIGRAMS, TOTALS = range(4)
@@ -59,10 +60,11 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
-def train_tokens(df: DataFrame, train: Column, text: str) -> int:
-    """How many tokens, ends included, the training texts have."""
-    words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^ \t-\r]+"))
-    return df.filter(train).agg(F.coalesce(F.sum(words + F.lit(1).cast("bigint")), F.lit(0).cast("bigint"))).first()[0]
+def token_totals(df: DataFrame, train: Column, text: str) -> tuple[int, int]:
+    """How many tokens, ends included, the training texts have, and all texts."""
+    words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^ \t-\r]+")) + F.lit(1).cast("bigint")
+    none = F.lit(0).cast("bigint")
+    return tuple(df.agg(F.coalesce(F.sum(F.when(train, words)), none), F.coalesce(F.sum(words), none)).first())
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -168,11 +170,11 @@ def count_of(level: np.ndarray) -> np.ndarray:
 
 
 class Dealing:
-    """How tokens and bigrams are hashed and dealt; it follows from the number of training tokens alone."""
+    """How tokens and bigrams are hashed and dealt; it follows from the number of training tokens and of all."""
 
-    def __init__(self, total: int):
-        self.shards = max(LEAST_SHARDS, -(-total // PER_SHARD))
-        self.bits = min(48, total.bit_length() + SPARE)
+    def __init__(self, total: int, every: int):
+        self.shards = max(LEAST_SHARDS, -(-every // PER_SHARD))
+        self.bits = min(64, total.bit_length() + SPARE)
 
     def bigrams(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return mix(mix(first ^ np.uint64(0x9E3779B97F4A7C15)) + second) >> np.uint64(64 - self.bits)
@@ -376,8 +378,8 @@ def score_texts(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str
     told by the task that read it and its place there, which a second run does not change.
     """
     train = F.coalesce(train, F.lit(False))
-    total = train_tokens(df, train, text)
-    dealing = Dealing(total)
+    total, every = token_totals(df, train, text)
+    dealing = Dealing(total, every)
     texts = df.select(F.struct(F.col(doc_id).alias("doc_id"), *map(F.col, keep)).alias("doc"), train.alias("train"), F.col(text).alias("text"))
     doc = texts.schema["doc"].dataType
     row = T.StructType().add("shard", "long").add("block", "long").add("kind", "integer").add("size", "long").add("data", "binary").add("n", "binary").add("docs", T.ArrayType(doc))

@@ -42,8 +42,8 @@ def entries(archives: DataFrame, key: str, content: str = "content", wanted: Cal
     """(key, index, path, data, corrupt): a row for each file of each archive; a corrupt archive gives one row without a path, or is an
     error if ``strict``.
 
-    Files whose path is not ``wanted`` are listed without data and are not unpacked; one that
-    says it is larger than MOST_BYTES is an error.
+    Files whose path is not ``wanted`` are listed without data and are not unpacked; nor is an
+    archive with a file that says it is larger than MOST_BYTES, which counts as corrupt.
     """
     schema = pa.schema([(key, pa.string()), ("index", pa.int32()), ("path", pa.string()), ("data", pa.binary()), ("corrupt", pa.bool_())])
 
@@ -52,10 +52,10 @@ def entries(archives: DataFrame, key: str, content: str = "content", wanted: Cal
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(blob or b"")) as z:
+                        if any(i.file_size > MOST_BYTES for i in z.infolist() if wanted is None or wanted(i.filename)):
+                            raise zipfile.BadZipFile(f"a file of {name} is too large")
                         for k, info in enumerate(i for i in z.infolist() if not i.is_dir()):
                             take = wanted is None or wanted(info.filename)
-                            if take and info.file_size > MOST_BYTES:
-                                raise ValueError(f"{info.filename} in {name} has {info.file_size} bytes")
                             yield pa.RecordBatch.from_pylist([{key: name, "index": k, "path": info.filename, "data": z.read(info) if take else None, "corrupt": False}], schema)
                 except (zipfile.BadZipFile, EOFError, NotImplementedError, RuntimeError, zipfile.zlib.error) as cause:
                     if strict:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinmesh.plans import basket, cohort_runs, dense, models, reports, runs, text
+from kinmesh.plans import basket, cohort_runs, dense, models, records, reports, runs, text
 
-MODULES = (basket, dense, text, runs, models, reports, cohort_runs)
+MODULES = (basket, dense, text, runs, models, reports, cohort_runs, records)
 
 
 def queries() -> dict:

@@ -31,8 +31,8 @@ def pair_contributions(weighted: DataFrame, pairs: DataFrame, limit: int = 10) -
     side = weighted.filter(F.col("w") > 0).join(own, ["space", "sid"]).select("space", "sid", "feature", "w", "norm")
     a = side.withColumnsRenamed({"sid": "i", "w": "wi", "norm": "ni"})
     b = side.withColumnsRenamed({"sid": "j", "w": "wj", "norm": "nj"})
-    # features meet first, so that a pair is joined with its common features only
-    met = a.join(b, ["space", "feature"]).filter(F.col("i") < F.col("j")).join(pairs.select("space", "i", "j"), ["space", "i", "j"])
+    # a pair meets the features of one side, and those the other side: no feature that all have meets all pairs
+    met = pairs.select("space", "i", "j").join(a, ["space", "i"]).join(b, ["space", "j", "feature"])
     value = F.col("wi") * F.col("wj") / (F.col("ni") * F.col("nj"))
     rank = F.row_number().over(Window.partitionBy("space", "i", "j").orderBy(F.desc("contribution"), "feature"))
     return met.select("space", "i", "j", "feature", value.alias("contribution")).withColumn("rank", rank).filter(F.col("rank") <= limit)

@@ -55,9 +55,15 @@ def key_of_name(name: Column) -> Column:
 
 
 def natural_key(label: Column) -> Column:
-    """A key that sorts as people do: runs of digits by value. Numbers of up to 20 digits keep their order."""
+    """A key that sorts as people do: runs of digits by value, whatever their length."""
     parts = F.regexp_extract_all(label, F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
+
+    def padded(p: Column) -> Column:
+        # up to 20 digits in 20 places; longer numbers come behind them, by how many digits they have
+        digits = F.regexp_replace(p, "^0+(?=.)", "")
+        return F.when(F.length(digits) <= 20, F.lpad(digits, 20, "0")).otherwise(F.concat(F.lit(":"), F.lpad(F.length(digits).cast("string"), 9, "0"), digits))
+
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), padded(p)).otherwise(p)), "")
 
 
 def ratio(value: Column, least: Column, most: Column) -> Column:
@@ -141,6 +147,37 @@ def workspace(labs: DataFrame, runs: DataFrame, artifacts: DataFrame, required:
     return df.select("lab", "run_id", F.when(reason.isNull(), "ready").otherwise("missing").alias("state"), reason.alias("reason"))
 
 
+#: Artefacts without which a published run does not count.
+REQUIRED = ("overview", "year_stats", "year_similarity")
+
+
+def workspace_runs(labs: DataFrame, runs: DataFrame, artifacts: DataFrame, model: str | None = None) -> DataFrame:
+    """(lab, run_id, state, reason, lacking): labs with their latest published run, of ``model`` if one is asked for.
+
+    ``runs`` are (lab, run_id, model, created_at), ``artifacts`` (run_id, name). A lab is missing
+    without a run, or with one that lacks an artefact of REQUIRED; ``lacking`` names those.
+    """
+    own = runs if model is None else runs.filter(F.col("model") == model)
+    latest = own.groupBy("lab").agg(F.max(F.struct("created_at", "run_id"))["run_id"].alias("run_id"))
+    have = artifacts.filter(F.col("name").isin(*REQUIRED)).groupBy("run_id").agg(F.collect_set("name").alias("have"))
+    df = labs.select("lab").distinct().join(latest, "lab", "left").join(have, "run_id", "left")
+    lacking = F.array_except(F.array(*map(F.lit, REQUIRED)), F.coalesce("have", F.array().cast("array<string>")))
+    none = "no_published_run" if model is None else "no_published_run_for_model"
+    reason = F.when(F.col("run_id").isNull(), none).when(F.size(lacking) > 0, "published_run_without_complete_artifacts")
+    return df.select("lab", "run_id", F.when(reason.isNull(), "ready").otherwise("missing").alias("state"), reason.alias("reason"), F.when(F.col("run_id").isNotNull(), lacking).alias("lacking"))
+
+
+def workspace_totals(states: DataFrame, points: DataFrame) -> DataFrame:
+    """One row: labs ready and missing, and over the ready ones submissions, years and the transitions between a lab's neighbouring years."""
+    ready = states.filter("state = 'ready'").select("lab")
+    years = points.join(ready, "lab", "left_semi").groupBy("lab", "year").agg(F.count(F.lit(1)).alias("n"))
+    after = F.lead("year").over(Window.partitionBy("lab").orderBy("year"))
+    moves = years.withColumn("move", F.when(after.isNotNull(), F.concat_ws("-", "year", after)))
+    told = moves.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("submissions"), F.sort_array(F.collect_set("year")).alias("years"), F.sort_array(F.collect_set("move")).alias("transitions"))  # sets of years
+    counts = states.agg(F.count_if(F.col("state") == "ready").alias("labs"), F.count_if(F.col("state") == "missing").alias("missing"))
+    return counts.crossJoin(told)  # one row each
+
+
 def cluster_edges(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(space, cluster, nodes, internal, external): edges of each group of nodes, noise (null cluster) among them; an edge between two groups is external to both."""
     own = members.select("space", "sid", "cluster")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, ROW_BLOCK = 256, 2048
+QUERY_BLOCK, ROW_BLOCK, SALTS = 256, 2048, 16
 
 
 def block_pairs(queries: DataFrame, rows: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -24,7 +24,9 @@ def block_pairs(queries: DataFrame, rows: DataFrame, id_col: str, vector: str) -
 
     q = blocked(queries, query_blocks, "q")
     r = blocked(rows, row_blocks, "r").withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(query_blocks - 1).cast("bigint"))))
-    return r.join(q, "q").select("q_ids", "q_v", "r_ids", "r_v")
+    # few queries make few keys: each block of them is copied to SALTS, over which the blocks of rows are spread
+    q, r = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), r.withColumn("salt", F.pmod(F.col("r"), F.lit(SALTS)).cast("int"))
+    return r.join(q, ["q", "salt"]).select("q_ids", "q_v", "r_ids", "r_v")
 
 
 def block_products(queries: DataFrame, rows: DataFrame, id_col: str = "id", vector: str = "v") -> DataFrame:

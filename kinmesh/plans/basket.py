@@ -32,13 +32,27 @@ def basket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("sid", "value", F.explode(keys).alias("k")).groupBy("k.space", "sid", "k.feature").agg(F.sum("value").alias("value"))
 
 
+def state_of(spark: SparkSession, sf_dir: str) -> int:
+    """A number that changes with the names, sizes or times of the files under a folder; told by Spark's file systems."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(found)))
+
+
 def once(build):
-    """Run ``build`` once for each application and input folder: the queries below read one written copy of its tables."""
-    held: dict[tuple[str, str], object] = {}
+    """Run ``build`` once for each application and state of the input folder: the queries below read one written copy of its tables.
+
+    Files that are added, removed or written anew make a new state, and the tables are built again.
+    """
+    held: dict[tuple, object] = {}
 
     @functools.wraps(build)
     def found(spark: SparkSession, sf_dir: str):
-        key = (spark.sparkContext.applicationId, sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir, state_of(spark, sf_dir))
         if key not in held:
             held.clear()
             held[key] = build(spark, sf_dir)

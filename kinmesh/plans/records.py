@@ -74,7 +74,7 @@ def fusion_pair_documents(spark, sf_dir):
     fused = materialize(S.fuse(pairs), "fused")
     out = RM.fusion_pair_documents(pairs, fused, S.space_profile(pairs), N.mutual_edges(materialize(N.adaptive_topk(fused), "near")))
     supports = F.array_join(F.transform(F.array_sort(F.transform("sources", lambda s: F.concat_ws(":", s["space"], s["supports"].cast("string")))), lambda s: s), "|").alias("supports")
-    return out.select("i", "j", F.round("cal", 4).alias("cal"), "n_support", supports, F.col("edge").isNotNull().alias("has_edge"))
+    return out.select("i", "j", "cal", "n_support", supports, F.col("edge").isNotNull().alias("has_edge"))
 
 
 def space_overview(spark, sf_dir):
@@ -113,7 +113,7 @@ SQL = {
   rk AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY cal DESC, raw DESC, dst) AS rank FROM m),
   own AS (SELECT src, quantile_cont(cal, 0.72) AS p72, min(cal) FILTER (WHERE rank <= 4) AS kth FROM rk GROUP BY ALL),
   near AS (SELECT rk.* FROM rk JOIN own USING (src), (SELECT greatest(0.28, quantile_cont(cal, 0.6)) AS floor FROM pf) WHERE rank <= 4 OR (rank <= 6 AND cal >= greatest(0.72 * floor, least(kth, p72) - 0.03)))
-  SELECT pf.i, pf.j, round(pf.cal, 4) AS cal, f1.n_support, 'expr:' || (fe = 1) || '|sem:' || (fm = 1) || '|struct:' || (fs = 1) AS supports,
+  SELECT pf.i, pf.j, pf.cal, f1.n_support, 'expr:' || (fe = 1) || '|sem:' || (fm = 1) || '|struct:' || (fs = 1) AS supports,
     EXISTS (SELECT 1 FROM near a JOIN near b ON a.src = b.dst AND a.dst = b.src WHERE a.src = pf.i AND a.dst = pf.j) AS has_edge FROM pf JOIN f1 USING (i, j)""",
     "space_overview": f"""WITH RECURSIVE {B._CLUSTERS} SELECT space, nodes, coalesce(edges, 0) AS edges, clusters, noise, pairs, round(mean, 4) AS mean FROM
   (SELECT space, count(*) AS nodes, count(DISTINCT cluster) AS clusters, count(*) FILTER (WHERE is_noise) AS noise FROM mem GROUP BY space)

@@ -52,6 +52,41 @@ def workspace_overview(spark, sf_dir):
     return R.workspace(labs, runs, parts, 3)
 
 
+def _workspace(spark, sf_dir):
+    """Customers as labs, filled orders as published runs of a model by priority, line numbers as artefacts by name."""
+    names = F.array(*map(F.lit, ("overview", "year_stats", "year_similarity", "clusters", "projection", "neighbors", "vectors")))
+    labs = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("lab"))
+    o = read_table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
+    runs = o.select(F.col("o_custkey").alias("lab"), F.col("o_orderkey").alias("run_id"), F.concat(F.lit("m"), (F.col("o_orderkey") % 2).cast("string")).alias("model"), F.col("o_orderdate").alias("created_at"))
+    line = read_table(spark, sf_dir, "lineitem")
+    parts = line.select(F.col("l_orderkey").alias("run_id"), F.element_at(names, F.pmod(F.col("l_partkey"), F.lit(7)).cast("int") + 1).alias("name"))
+    points = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("lab"), F.year("o_orderdate").alias("year"))
+    return labs, runs, parts, points
+
+
+def workspace_runs(spark, sf_dir):
+    labs, runs, parts, _ = _workspace(spark, sf_dir)
+    out = R.workspace_runs(labs, runs, parts, "m1")
+    return out.select("lab", "run_id", "state", "reason", F.array_join("lacking", ",").alias("lacking"))
+
+
+def workspace_totals(spark, sf_dir):
+    labs, runs, parts, points = _workspace(spark, sf_dir)
+    out = R.workspace_totals(R.workspace_runs(labs, runs, parts), points)
+    return out.select("labs", "missing", "submissions", F.array_join(F.col("years").cast("array<string>"), ",").alias("years"), F.array_join("transitions", ",").alias("transitions"))
+
+
+def cohort_cluster_spread(spark, sf_dir):
+    out = H.cluster_spread(dense.points(spark, sf_dir))
+    told = F.array_join(F.transform(F.map_entries("by_year"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("by_year")
+    return out.select("lab", "cluster", told, F.array_join(F.col("exemplars").cast("array<string>"), ",").alias("exemplars"))
+
+
+def cohort_year_spread(spark, sf_dir):
+    out = H.year_spread(dense.points(spark, sf_dir))
+    return out.select("lab", "year", F.array_join(F.transform(F.map_entries("by_cluster"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("by_cluster"))
+
+
 def cluster_edge_groups(spark, sf_dir):
     _, _, edges, members = basket._clustered(spark, sf_dir)
     return R.cluster_edges(members, edges)
@@ -83,6 +118,24 @@ SQL = {
   h AS (SELECT l_orderkey AS run_id, count(DISTINCT l_partkey) AS have FROM lineitem GROUP BY ALL)
   SELECT c_custkey AS lab, r.run_id, CASE WHEN coalesce(have, 0) >= 3 THEN 'ready' ELSE 'missing' END AS state, CASE WHEN r.run_id IS NULL THEN 'no_published_run' WHEN coalesce(have, 0) < 3 THEN 'incomplete_artifacts' END AS reason
   FROM customer LEFT JOIN r ON r.lab = c_custkey AND rn = 1 LEFT JOIN h ON h.run_id = r.run_id""",
+    "workspace_runs": """WITH r AS (SELECT o_custkey AS lab, o_orderkey AS run_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 1),
+  h AS (SELECT l_orderkey AS run_id, concat_ws(',', CASE WHEN NOT bool_or(l_partkey % 7 = 0) THEN 'overview' END, CASE WHEN NOT bool_or(l_partkey % 7 = 1) THEN 'year_stats' END, CASE WHEN NOT bool_or(l_partkey % 7 = 2) THEN 'year_similarity' END) AS lacking FROM lineitem GROUP BY l_orderkey),
+  j AS (SELECT c_custkey AS lab, r.run_id, CASE WHEN r.run_id IS NOT NULL THEN coalesce(lacking, 'overview,year_stats,year_similarity') END AS lacking FROM customer LEFT JOIN r ON r.lab = c_custkey AND rn = 1 LEFT JOIN h ON h.run_id = r.run_id)
+  SELECT lab, run_id, CASE WHEN lacking = '' THEN 'ready' ELSE 'missing' END AS state, CASE WHEN run_id IS NULL THEN 'no_published_run_for_model' WHEN lacking <> '' THEN 'published_run_without_complete_artifacts' END AS reason, lacking FROM j""",
+    "workspace_totals": """WITH r AS (SELECT o_custkey AS lab, o_orderkey AS run_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderstatus = 'F'),
+  h AS (SELECT l_orderkey AS run_id, count(DISTINCT l_partkey % 7) AS have FROM lineitem WHERE l_partkey % 7 < 3 GROUP BY l_orderkey),
+  s AS (SELECT c_custkey AS lab, coalesce(have, 0) = 3 AS ready FROM customer LEFT JOIN r ON r.lab = c_custkey AND rn = 1 LEFT JOIN h ON h.run_id = r.run_id),
+  y AS (SELECT o_custkey AS lab, year(o_orderdate) AS year, count(*) AS n FROM orders WHERE o_custkey IN (SELECT lab FROM s WHERE ready) GROUP BY ALL),
+  m AS (SELECT *, year || '-' || lead(year) OVER (PARTITION BY lab ORDER BY year) AS move FROM y)
+  SELECT (SELECT count(*) FROM s WHERE ready) AS labs, (SELECT count(*) FROM s WHERE NOT ready) AS missing, coalesce(sum(n), 0)::BIGINT AS submissions,
+    coalesce(string_agg(DISTINCT year::VARCHAR, ',' ORDER BY year::VARCHAR), '') AS years, coalesce(string_agg(DISTINCT move, ',' ORDER BY move), '') AS transitions FROM m""",
+    "cohort_cluster_spread": f"""WITH {_P}, g AS (SELECT * FROM (SELECT DISTINCT lab, cluster FROM pt) JOIN (SELECT DISTINCT lab, year FROM pt) USING (lab)),
+  c AS (SELECT g.lab, g.cluster, g.year, count(id) AS n FROM g LEFT JOIN pt ON pt.lab = g.lab AND pt.year = g.year AND pt.cluster = g.cluster GROUP BY ALL),
+  x AS (SELECT lab, cluster, string_agg(id::VARCHAR, ',' ORDER BY id) AS exemplars FROM (SELECT *, row_number() OVER (PARTITION BY lab, cluster ORDER BY id) AS rn FROM pt) WHERE rn <= 3 GROUP BY ALL)
+  SELECT lab, cluster, string_agg(year || '=' || n, ',' ORDER BY year) AS by_year, any_value(exemplars) AS exemplars FROM c JOIN x USING (lab, cluster) GROUP BY lab, cluster""",
+    "cohort_year_spread": f"""WITH {_P}, g AS (SELECT * FROM (SELECT DISTINCT lab, cluster FROM pt) JOIN (SELECT DISTINCT lab, year FROM pt) USING (lab)),
+  c AS (SELECT g.lab, g.cluster, g.year, count(id) AS n FROM g LEFT JOIN pt ON pt.lab = g.lab AND pt.year = g.year AND pt.cluster = g.cluster GROUP BY ALL)
+  SELECT lab, year, string_agg(cluster || '=' || n, ',' ORDER BY cluster) AS by_cluster FROM c GROUP BY lab, year""",
     "cluster_edge_groups": f"""WITH RECURSIVE {basket._CLUSTERS}, n AS (SELECT space, cluster, count(*) AS nodes FROM mem GROUP BY ALL),
   ec AS (SELECT e.space, a.cluster AS ci, b.cluster AS cj FROM e JOIN mem a ON a.space = e.space AND a.sid = e.i JOIN mem b ON b.space = e.space AND b.sid = e.j)
   SELECT n.space, n.cluster, n.nodes, (SELECT count(*) FROM ec WHERE ec.space = n.space AND ci IS NOT DISTINCT FROM n.cluster AND cj IS NOT DISTINCT FROM n.cluster) AS internal,

@@ -52,7 +52,7 @@ def dense_vector_pairs(spark, sf_dir):
 
 
 def cohort_centroid_similarity(spark, sf_dir):
-    return H.year_similarity(points(spark, sf_dir)).select("lab", "year_a", "year_b", F.round("similarity", 5).alias("similarity"))
+    return H.year_similarity(points(spark, sf_dir))  # six places: rounding them again would meet ties
 
 
 def cohort_year_stats(spark, sf_dir):
@@ -70,12 +70,12 @@ def _moves(spark, sf_dir):
 
 
 def cohort_transitions(spark, sf_dir):
-    return _moves(spark, sf_dir).select("lab", "year", "next_year", *[F.round(c, 5).alias(c) for c in ("dx", "dy", "distance", "share", "similarity")])
+    return _moves(spark, sf_dir).select("lab", "year", "next_year", "similarity", *[F.round(c, 6).alias(c) for c in ("dx", "dy")], *[F.round(c, 5).alias(c) for c in ("distance", "share")])
 
 
 def cohort_drift_summary(spark, sf_dir):
     out = H.drift_summary(_moves(spark, sf_dir))
-    return out.select("lab", "max_jump_year", *[F.round(c, 5).alias(c) for c in ("path_length", "max_jump", "total_drift", "mean_similarity")])
+    return out.select("lab", "max_jump_year", F.round("mean_similarity", 9).alias("mean_similarity"), *[F.round(c, 5).alias(c) for c in ("path_length", "max_jump", "total_drift")])
 
 
 def outlier_scores(spark, sf_dir):
@@ -119,16 +119,16 @@ SQL = {
   SELECT id, neighbor, rank::INT AS rank, round(s, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, neighbor) AS rank FROM s) WHERE rank <= 6""",
     "dense_pair_cosine": f"""WITH s AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), {_centroid('lc', 's', 'label')}
   SELECT vec_id, s.label, lc.label AS other, round(greatest(0, {_COS.format(a='v', b='u')}), 5) AS similarity FROM s, lc WHERE vec_id % 50 = 0""",
-    "cohort_centroid_similarity": f"WITH {_POINTS}, {_SIM} SELECT lab, year_a, year_b, round(similarity, 5) AS similarity FROM ys",
+    "cohort_centroid_similarity": f"WITH {_POINTS}, {_SIM} SELECT lab, year_a, year_b, similarity FROM ys",
     "cohort_year_stats": f"WITH {_OUT} SELECT lab, year, count(*) AS n, count(*) FILTER (WHERE outlier >= 0.9) AS outliers, round(avg(x), 5) AS cx, round(avg(y), 5) AS cy FROM sc GROUP BY ALL",
     "cohort_cluster_artifacts": f"""WITH {_POINTS}, b AS (SELECT lab, cluster, year, count(*) AS n, sum(x) AS sx, sum(y) AS sy FROM pt GROUP BY ALL),
   s AS (SELECT lab, min(year) AS f, max(year) AS l FROM pt GROUP BY lab),
   a AS (SELECT lab, cluster, f, l, sum(n)::BIGINT AS size, arg_max(year, n * 10000 + year) AS dominant_year, sum(sx) / sum(n) AS cx, sum(sy) / sum(n) AS cy, min(year) AS first_year,
     coalesce(sum(n) FILTER (WHERE year = l), 0)::BIGINT AS last_count, max(n) AS peak FROM b JOIN s USING (lab) GROUP BY ALL)
   SELECT lab, cluster, size, dominant_year, round(cx, 5) AS cx, round(cy, 5) AS cy, first_year, last_count, peak, first_year > f AS is_new, peak > 0 AND last_count <= peak // 3 AND l <> first_year AS is_declining FROM a""",
-    "cohort_transitions": f"WITH {_MOVES} SELECT lab, year, next_year, round(dx, 5) AS dx, round(dy, 5) AS dy, round(distance, 5) AS distance, round(share, 5) AS share, round(similarity, 5) AS similarity FROM tr",
+    "cohort_transitions": f"WITH {_MOVES} SELECT lab, year, next_year, round(dx, 6) AS dx, round(dy, 6) AS dy, round(distance, 5) AS distance, round(share, 5) AS share, similarity FROM tr",
     "cohort_drift_summary": f"""WITH {_MOVES} SELECT lab, arg_max(year, distance) AS max_jump_year, round(sum(distance), 5) AS path_length, round(max(distance), 5) AS max_jump,
-  round(sqrt(sum(dx) ** 2 + sum(dy) ** 2), 5) AS total_drift, round(avg(similarity), 5) AS mean_similarity FROM tr GROUP BY lab""",
+  round(sqrt(sum(dx) ** 2 + sum(dy) ** 2), 5) AS total_drift, round(avg(similarity), 9) AS mean_similarity FROM tr GROUP BY lab""",
     "outlier_scores": f"WITH {_OUT} SELECT lab, id, cluster, round(outlier, 5) AS outlier FROM sc",
     "nearest_centroid_assign": f"""WITH {_POINTS}, {_centroid('cc', '(SELECT * FROM pt WHERE cluster >= 0)', 'lab', 'cluster')},
   b AS (SELECT pt.lab, pt.id, pt.cluster, cc.cluster AS near, row_number() OVER (PARTITION BY pt.id ORDER BY {_COS.format(a='pt.v', b='cc.u')} DESC, cc.cluster) AS rn FROM pt JOIN cc USING (lab))

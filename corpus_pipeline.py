@@ -24,14 +24,14 @@ from kinmesh.session import materialize, own_name, read_table
 
 #: Rows of an Arrow batch in all stages.
 BATCH_ROWS = 500
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 RANKS = "byte_bpe_50k.tiktoken"
 
 
 def small_batches(spark: SparkSession) -> None:
     """Let at most BATCH_ROWS rows travel to a Python worker at once, since a row holds a whole text."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +74,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    """All stages, each written and read again; the session's batch size is as before when they are done."""
+    docs, batch = read_table(spark, sf_dir, "documents"), spark.conf.get(BATCH_KEY)
+    try:
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+    finally:
+        spark.conf.set(BATCH_KEY, batch)
     return docs

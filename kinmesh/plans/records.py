@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kinmesh.operators import engines as E
 from kinmesh.operators import neighbors as N
 from kinmesh.operators import read_models as RM
 from kinmesh.operators import run_log as L
@@ -82,6 +83,33 @@ def space_overview(spark, sf_dir):
     return RM.space_overview(members, edges, pairs).select("space", "nodes", "edges", "clusters", "noise", "pairs", F.round("mean", 4).alias("mean"))
 
 
+def _chunks(spark, sf_dir):
+    """Five vectors in a row are the chunks of a submission; every ninth submission has none."""
+    e = read_table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 5").alias("sid"), (F.col("vec_id") % 5).alias("place"), (1.0 + F.col("vec_id") % 3).alias("weight"), F.col("embedding").cast("array<double>").alias("v"))
+    return e.select("sid"), e.filter("sid % 9 <> 4")
+
+
+def embedding_engine_pairs(spark, sf_dir):
+    own, chunks = _chunks(spark, sf_dir)
+    return E.embedding_pairs(materialize(E.representations(own, chunks), "vectors")).select("i", "j", "cal")
+
+
+def embedding_engine_graph(spark, sf_dir):
+    """Nodes of the graph that the whole engine draws, with their degree."""
+    own, chunks = _chunks(spark, sf_dir)
+    out = E.embedding_engine(own, chunks)
+    return N.degrees(out["representations"].select(F.lit(E.EMBEDDING).alias("space"), "sid", "chunks"), out["edges"]).select("sid", "chunks", "degree")
+
+
+_ENGINE = """c AS (SELECT vec_id // 5 AS sid, vec_id % 5 AS place, 1.0 + vec_id % 3 AS w, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS (SELECT sid, unnest(v) * w AS x, w, generate_subscripts(v, 1) AS d FROM c WHERE sid % 9 <> 4),
+m AS (SELECT sid, d, sum(x) / sum(w) AS x FROM u GROUP BY ALL),
+r AS (SELECT sid, list(x ORDER BY d) AS v FROM m GROUP BY sid),
+n AS (SELECT DISTINCT sid FROM c),
+p AS (SELECT 'embedding' AS space, a.sid AS i, b.sid AS j, round(greatest(0, least(1, coalesce(list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))), 0))), 6) AS raw
+  FROM n a JOIN n b ON a.sid < b.sid LEFT JOIN r x ON x.sid = a.sid LEFT JOIN r y ON y.sid = b.sid)"""
+#: The part of the graph's SQL that follows the calibrated pairs.
+_NEAR = B._GRAPH[len(B._CAL) :].split("e.*, (SELECT")[0].rsplit("e AS (SELECT", 1)[0].rstrip().rstrip(",").replace("m AS (", "mm AS (", 1).replace("FROM m)", "FROM mm)")
 _LOG = """e AS (SELECT user_id AS run, event_id AS seq, CASE WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'failed' ELSE 'step' END AS kind, CASE WHEN event_type <> 'error' THEN event_type END AS stage,
   json_extract_string(props, '$.k') AS message, CASE WHEN event_type = 'purchase' THEN floor(value)::BIGINT END AS cur, props FROM events),
 g AS (SELECT run, stage, min(seq) AS f, max(seq) AS l FROM e WHERE stage IS NOT NULL GROUP BY ALL),
@@ -91,6 +119,10 @@ t AS (SELECT run, string_agg(seq::VARCHAR, ',' ORDER BY seq) AS tail FROM (SELEC
 s AS (SELECT g.run, string_agg(g.stage || '=' || CASE WHEN g.stage <> r.stage THEN 'done' WHEN failed THEN 'failed' ELSE 'running' END, ',' ORDER BY f) AS stages FROM g JOIN r USING (run) GROUP BY g.run)"""
 
 SQL = {
+    "embedding_engine_pairs": f"WITH {_ENGINE} SELECT i, j, raw AS cal FROM p",
+    "embedding_engine_graph": f"""WITH {_ENGINE.replace("p AS (SELECT 'embedding'", "p0 AS (SELECT 'embedding'")}, p AS (SELECT *, raw AS cal FROM p0){_NEAR},
+  k AS (SELECT sid, count(*) AS chunks FROM c WHERE sid % 9 <> 4 GROUP BY sid), g AS (SELECT sid, count(*) AS degree FROM (SELECT i AS sid FROM e0 UNION ALL SELECT j FROM e0) GROUP BY sid)
+  SELECT sid, coalesce(chunks, 0) AS chunks, coalesce(degree, 0) AS degree FROM n LEFT JOIN k USING (sid) LEFT JOIN g USING (sid)""",
     "run_states": f"""WITH {_LOG} SELECT run, CASE WHEN failed THEN 'failed' WHEN stage IS NULL THEN 'queued' ELSE 'running' END AS status, stage, message,
   coalesce(round_even(cur / 500.0 * 100, 0), 0)::INT AS percent, events, coalesce(stages, '') AS stages, tail, CASE WHEN failed THEN error END AS error FROM r JOIN t USING (run) LEFT JOIN s USING (run)""",
     "cache_replay": """WITH d AS (SELECT doc_id, 'm' || (doc_id % 2) AS model, sha256(coalesce(text, '')) AS h FROM documents),

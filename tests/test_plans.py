@@ -66,3 +66,23 @@ def test_a_plan_without_spaces(spark):
     none = nodes(spark, "")
     members, spaces = C.cluster_spaces(none, pairs_of(spark, {}), spark.createDataFrame([], "space string, i string, j string, cal double, shared int"))
     assert members.count() == 0 and spaces.count() == 0
+
+
+def test_the_embedding_engine_runs_from_chunks_to_overview(spark):
+    from kinmesh.operators import engines as E
+
+    rng = random.Random(2)
+    own = spark.createDataFrame([(k,) for k in range(9)], "sid long")
+    # three groups of near vectors, one submission without chunks, one chunk of another size
+    rows = [(k, c, 1.0 + c, [float((k // 3 == d) * 5) + rng.random() * 0.1 for d in range(3)]) for k in range(8) for c in range(2)] + [(0, 9, 5.0, [1.0])]
+    out = E.embedding_engine(own, spark.createDataFrame(rows, "sid long, place int, weight double, v array<double>"))
+    reps = {r.sid: r for r in out["representations"].collect()}
+    assert len(reps) == 9 and reps[8].v == [0.0, 0.0, 0.0] and reps[8].chunks == 0 and abs(sum(x * x for x in reps[0].v) - 1) < 1e-9
+    pairs = {(r.i, r.j): r.cal for r in out["pairs"].collect()}
+    assert len(pairs) == 36 and pairs[0, 1] > 0.99 and pairs[0, 3] < 0.2 and pairs[7, 8] == 0
+    row = out["overview"].first()
+    assert (row.space, row.nodes, row.pairs) == ("embedding", 9, 36) and row.edges == out["edges"].count()
+    groups = {}
+    for r in out["members"].collect():
+        groups.setdefault(r.cluster, set()).add(r.sid)
+    assert {0, 1, 2} <= next(g for g in groups.values() if 0 in g) and 8 not in next(g for g in groups.values() if 0 in g)

@@ -112,6 +112,24 @@ def expr_features(df: DataFrame) -> Column:
     )
 
 
+def submission_chunks(files: DataFrame, most: int, first: int = 24, normalized: Column | None = None) -> DataFrame:
+    """(sid, rank, path, part, text, chars, weight) of ``files`` (sid, path, text): the ``first`` chunks of each submission, by path and part.
+
+    A file is cut by :func:`kinmesh.functions.text.packed_chunks`; parts count from 1, blank ones
+    too, which are left out then. With ``normalized``, a column of the files, that form is cut,
+    or the raw text where it is blank, and chunks are stripped; their weight goes by the
+    length before. A null text has no chunk. Ranks cut before lists of a submission could meet.
+    """
+    blank = lambda c: F.trim(F.regexp_replace(c, r"\s+", " ")) == ""
+    raw = F.coalesce(F.col("text"), F.lit(""))
+    body = raw if normalized is None else F.when(F.coalesce(blank(normalized), F.lit(True)), raw).otherwise(normalized)
+    parts = files.select("sid", "path", F.posexplode(X.packed_chunks(body, most)).alias("at", "chunk")).filter(~blank(F.col("chunk")))
+    rank = F.row_number().over(Window.partitionBy("sid").orderBy("path", "at"))
+    kept = parts.withColumn("rank", rank).filter(F.col("rank") <= first)
+    text = F.col("chunk") if normalized is None else F.regexp_replace("chunk", r"^\s+|\s+$", "")
+    return kept.select("sid", "rank", "path", (F.col("at") + 1).alias("part"), text.alias("text"), F.length("chunk").cast("bigint").alias("chars"), F.greatest(F.lit(1.0), F.sqrt(F.length("chunk"))).alias("weight"))
+
+
 def line_skeletons(masked: Column, k: int) -> Column:
     lines = F.filter(F.split(X.normalize_whitespace(masked), "\n"), lambda x: x != "")
     return X.top_counts(F.transform(lines, lambda x: F.substring(x, 1, 96)), k)

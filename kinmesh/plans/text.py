@@ -82,6 +82,13 @@ def text_chunks(spark, sf_dir):
     return df.select("file_id", "chunk", F.length("body").cast("bigint").alias("chars"), F.round(F.greatest(F.lit(1.0), F.sqrt(F.length("body"))), 5).alias("weight"))
 
 
+def submission_chunk_list(spark, sf_dir):
+    """The first 24 chunks of 1000 characters of each ten documents in a row."""
+    own = files(spark, sf_dir).select(F.expr("file_id div 10").alias("sid"), F.col("file_id").alias("path"), "text")
+    out = T.submission_chunks(own, 1000)
+    return out.select("sid", "path", F.col("part").cast("bigint").alias("part"), F.col("rank").cast("bigint").alias("rank"), "chars", F.round("weight", 5).alias("weight"))
+
+
 def text_features(spark, sf_dir):
     """All text features of the spaces expr and sem of every file, summed up by feature."""
     long = T.file_features(files(spark, sf_dir))
@@ -167,6 +174,9 @@ SQL["text_chunks"] = f"""WITH RECURSIVE {_F}, ln AS (SELECT file_id, string_spli
     FROM r JOIN ln USING (file_id) WHERE i < len(l)),
   c AS (SELECT file_id, chunk, (sum(length(l[i])) + count(*) - 1)::BIGINT AS chars FROM r JOIN ln USING (file_id) GROUP BY ALL UNION ALL SELECT file_id, 0, length(text) FROM f WHERE length(text) <= 1000)
   SELECT file_id, chunk, chars, round(greatest(1.0, sqrt(chars)), 5) AS weight FROM c"""
+SQL["submission_chunk_list"] = SQL["text_chunks"].split("  SELECT file_id, chunk, chars")[0].rstrip() + """,
+  k AS (SELECT file_id // 10 AS sid, c.file_id AS path, chunk + 1 AS part, row_number() OVER (PARTITION BY file_id // 10 ORDER BY file_id, chunk) AS rank, chars FROM c JOIN f USING (file_id) WHERE length(text) > 1000 OR regexp_matches(text, '\\S'))
+  SELECT sid, path, part, rank, chars, round(greatest(1.0, sqrt(chars)), 5) AS weight FROM k WHERE rank <= 24"""
 _SOURCES = "s AS (SELECT n_nationkey AS file_id, n_regionkey + 1 AS m FROM nation)"
 SQL |= {
     "source_struct_features": f"""WITH {_SOURCES}, k(kind, a, b) AS (VALUES {", ".join(f"('{k}', {a}, {b})" for k, (a, b) in _NODES.items())}), c AS (SELECT file_id, m, kind, a + b * m AS n FROM s, k)

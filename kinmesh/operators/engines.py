@@ -14,7 +14,7 @@ from kinmesh.operators import neighbors as N
 from kinmesh.operators import read_models as RM
 from kinmesh.operators import similarity as S
 from kinmesh.operators.reports import weighted_means
-from kinmesh.operators.search import block_products
+from kinmesh.operators.search import own_products
 from kinmesh.session import materialize
 
 #: Fixed value: the space of dense vectors.
@@ -37,9 +37,9 @@ def representations(submissions: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def embedding_pairs(vectors: DataFrame) -> DataFrame:
     """(space, i, j, raw, cal) of all i < j: the cosine within 0 and 1, six places; such pairs need no calibration."""
-    met = block_products(vectors, vectors, "sid", "v").filter(F.col("id") < F.col("neighbor"))
+    met = own_products(vectors, "sid", "v")
     value = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "similarity")), 6)
-    return met.select(F.lit(EMBEDDING).alias("space"), F.col("id").alias("i"), F.col("neighbor").alias("j"), value.alias("raw"), value.alias("cal"))
+    return met.select(F.lit(EMBEDDING).alias("space"), "i", "j", value.alias("raw"), value.alias("cal"))
 
 
 def graph_stage(nodes: DataFrame, pairs: DataFrame, k: int = N.K) -> dict[str, DataFrame]:

@@ -7,26 +7,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, ROW_BLOCK, SALTS = 256, 2048, 16
+from kinmesh.operators.metric import crossed
+from kinmesh.session import materialize
+
+#: Rows of a block of queries, of rows, and of one set that is compared with itself; blocks written to a file.
+QUERY_BLOCK, ROW_BLOCK, OWN_BLOCK, HELD = 256, 2048, 1024, 4
+
+
+def _blocked(df: DataFrame, block: int, name: str, id_col: str, vector: str) -> DataFrame:
+    """A written table (name, name_ids, name_v) of blocks of about ``block`` rows, a few to a file; rows without a vector are left out."""
+    df = df.filter(F.col(vector).isNotNull())
+    blocks = max(1, -(-df.count() // block))
+    dealt = df.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).alias(name), F.struct(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).alias("s"))
+    held = dealt.groupBy(name).agg(F.sort_array(F.collect_list("s")).alias("s"))  # about a block's rows
+    return materialize(held.select(name, F.col("s.id").alias(f"{name}_ids"), F.flatten("s.v").alias(f"{name}_v")).repartition(-(-blocks // HELD)), "blocks")
 
 
 def block_pairs(queries: DataFrame, rows: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(q_ids, q_v, r_ids, r_v): each block of queries with each block of rows; vectors are laid end to end."""
-    rows = rows.filter(F.col(vector).isNotNull())
-    queries = queries.filter(F.col(vector).isNotNull())
-    n_rows, n_queries = rows.count(), queries.count()
-    row_blocks, query_blocks = max(1, -(-n_rows // ROW_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-
-    def blocked(df: DataFrame, blocks: int, name: str) -> DataFrame:
-        dealt = df.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).alias(name), F.struct(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).alias("s"))
-        held = dealt.groupBy(name).agg(F.sort_array(F.collect_list("s")).alias("s"))  # about a block's rows
-        return held.select(name, F.col("s.id").alias(f"{name}_ids"), F.flatten("s.v").alias(f"{name}_v"))
-
-    q = blocked(queries, query_blocks, "q")
-    r = blocked(rows, row_blocks, "r").withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(query_blocks - 1).cast("bigint"))))
-    # few queries make few keys: each block of them is copied to SALTS, over which the blocks of rows are spread
-    q, r = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), r.withColumn("salt", F.pmod(F.col("r"), F.lit(SALTS)).cast("int"))
-    return r.join(q, ["q", "salt"]).select("q_ids", "q_v", "r_ids", "r_v")
+    """(q_ids, q_v, r_ids, r_v): each block of queries with each block of rows; vectors are laid end to end.
+
+    The written blocks are read again for each part of the queries, so no copy is shuffled.
+    """
+    q, r = _blocked(queries, QUERY_BLOCK, "q", id_col, vector), _blocked(rows, ROW_BLOCK, "r", id_col, vector)
+    return crossed(q, r, F.lit(True)).select("q_ids", "q_v", "r_ids", "r_v")
+
+
+def own_products(rows: DataFrame, id_col: str = "id", vector: str = "v") -> DataFrame:
+    """(i, j, similarity): the dot product of all i < j of ``rows``. Each pair of blocks meets once."""
+
+    def products(batches):
+        for batch in batches:
+            for q_ids, q_v, r_ids, r_v in zip(*batch.columns, strict=True):
+                ids, others = (x.values.to_numpy(zero_copy_only=False) for x in (q_ids, r_ids))
+                a, b = (v.values.to_numpy(zero_copy_only=False).reshape(n, -1) for v, n in ((q_v, len(ids)), (r_v, len(others))))
+                s, own, near = (a @ b.T).ravel(), np.repeat(ids, len(others)), np.tile(others, len(ids))
+                # a block with itself has both orders
+                keep = own < near if len(ids) == len(others) and (ids == others).all() else own != near
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, near)[keep]), pa.array(np.maximum(own, near)[keep]), pa.array(s[keep])], names=["i", "j", "similarity"])
+
+    q = _blocked(rows, OWN_BLOCK, "q", id_col, vector)
+    r = q.withColumnsRenamed({c: c.replace("q", "r", 1) for c in q.columns})
+    return crossed(q, r, F.col("q") <= F.col("r")).select("q_ids", "q_v", "r_ids", "r_v").mapInArrow(products, "i bigint, j bigint, similarity double")
 
 
 def block_products(queries: DataFrame, rows: DataFrame, id_col: str = "id", vector: str = "v") -> DataFrame:

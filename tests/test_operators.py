@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,3 +285,25 @@ def test_similar_sources_are_fused_first(spark):
     pairs = materialize(S.calibrate(S.hybrid(S.pair_components(w))))
     fused = {r.i + r.j: r.raw for r in S.fuse(pairs).collect()}
     assert len(fused) == 6 and max(fused, key=fused.get) == "ab"
+
+
+def test_grams_are_counted_where_the_file_lies(spark):
+    from kinmesh.operators.text_features import top_grams
+
+    df = spark.createDataFrame([(1, ["b", "a", "b", "a", "c"]), (2, ["x"]), (3, None), (4, ["q", "r"]), (4, ["s", "t", "q", "r"]), (None, ["u", "v"])], "file_id int, tokens array<string>")
+    rows = top_grams(df, 2, 2)
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted([(1, 1, "b a", 2), (1, 2, "a b", 1), (4, 1, "q r", 2), (4, 2, "s t", 1), (None, 1, "u v", 1)], key=str)
+    plan = top_grams(df.filter("file_id < 4"), 2, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_all_products_of_a_set_come_once_and_without_a_shuffle(spark, monkeypatch):
+    from kinmesh.operators import search
+
+    monkeypatch.setattr(search, "OWN_BLOCK", 8)
+    x = np.random.default_rng(2).normal(size=(50, 6))
+    out = search.own_products(spark.createDataFrame([(k * 3, v.tolist()) for k, v in enumerate(x)], "id bigint, v array<double>"))
+    got = {(r.i, r.j): r.similarity for r in out.collect()}
+    assert len(got) == out.count() == 50 * 49 // 2
+    assert all(i < j and abs(s - x[i // 3] @ x[j // 3]) < 1e-12 for (i, j), s in got.items())
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()

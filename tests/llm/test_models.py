@@ -400,3 +400,15 @@ def test_secret_recall_by_shape(spark, sf):
     }
     wrong = {name: flagged_share(model, [w for w in (make() for _ in range(300)) if len(w) >= 12][:200]) for name, make in looks.items()}
     assert max(wrong.values()) <= 0.07 and sum(wrong.values()) / len(wrong) < 0.05, wrong
+
+
+def test_a_sample_drawn_without_texts_is_the_same_sample(spark):
+    from kinmesh.llm.sampling import bounded_sample, fetched, spots
+
+    rows = [(k, f"text {k % 40} " * (k % 7), k % 2) for k in range(300)] + [(7, "text 7 ", 1), (900, None, 0), (901, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    whole = bounded_sample(df, "label", 30, 50, "doc_id")
+    drawn = bounded_sample(spots(df, "doc_id"), "label", 30, 50, "doc_id")
+    got = fetched(drawn, df.select("doc_id", "text"), "doc_id")
+    key = lambda r: (r["doc_id"], str(r["text"]), r["label"])
+    assert sorted(map(key, whole)) == sorted(map(key, got)) and len(got) == 50

@@ -307,3 +307,13 @@ def test_all_products_of_a_set_come_once_and_without_a_shuffle(spark, monkeypatc
     assert len(got) == out.count() == 50 * 49 // 2
     assert all(i < j and abs(s - x[i // 3] @ x[j // 3]) < 1e-12 for (i, j), s in got.items())
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grams_and_words_of_a_text_in_one_trip_equal_the_plain_counts(spark):
+    texts = ["", "aaaa List ArrayList", "a b a b c", "é stream", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("w", F.split("t", " "))
+    needles = ("List", "ArrayList", "aa", "stream")
+    one = X.top_grams(F.col("w"), {2: 2, 3: 9})
+    for r in df.select(one["g2"].alias("a"), X.top_counts(X.grams(F.col("w"), 2), 2).alias("b"), one["g3"].alias("c"), X.top_counts(X.grams(F.col("w"), 3), 9).alias("d"),
+                       X.count_substrings(F.col("t"), needles).alias("e"), F.array(*[X.count_substring(F.col("t"), n) for n in needles]).alias("f")).collect():
+        assert r.a == r.b and r.c == r.d and r.e == r.f

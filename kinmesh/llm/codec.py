@@ -50,15 +50,14 @@ class Packed(Memo):
 
 
 class Codec(Decoder):
-    def __init__(self, ranks: dict[bytes, int], cache: int = 80_000):
+    def __init__(self, ranks: dict[bytes, int], cache: int = 40_000):
         super().__init__(ranks)
         self.find = piece_finder()
         self.packed = Packed(Transducer(ranks), cache)
 
     def forget(self) -> None:
-        """Drop what texts have filled at the end of a task: an executor keeps more workers than it runs tasks."""
+        """Drop the memo at the end of a task, as an executor keeps more workers than it runs tasks; the table of states, which is bounded and slow to fill, stays."""
         self.packed.forget()
-        self.packed.transducer.restart()
         trim()
 
     def encode(self, text: str) -> bytes:

@@ -71,6 +71,25 @@ def test_transducer_equals_merging_on_random_bytes_and_small_tables(encoding):
         assert machine.encode(data) == encoding._encode_single_piece(data)
 
 
+def test_states_outlive_a_task(encoding):
+    rng = random.Random(11)
+    with open(RANKS, "rb") as f:
+        ranks = bpe.load_ranks(f.read())
+    words = ["".join(rng.choice("aeinorstlmd") for _ in range(rng.randint(4, 12))) for _ in range(3000)]
+    own = codec.Codec(ranks)
+    machine = own.packed.transducer
+    first = [own.encode(" " + w) for w in words]
+    for w, packed in zip(words, first, strict=True):
+        assert packed == b"".join(i.to_bytes(4, "little") for i in encoding.encode_ordinary(" " + w))
+    held, steps = len(machine.states), machine.advance
+    own.forget()
+    assert len(machine.states) == held and not own.packed
+    machine.advance = None  # a second task finds all states made
+    assert [own.encode(" " + w) for w in words] == first
+    machine.advance = steps
+    assert machine.encode_alone(b"zq" * 500) == encoding._encode_single_piece(b"zq" * 500)
+
+
 def test_stream_decoder_equals_whole_decoding_in_any_cut():
     rng = random.Random(2)
     for _ in range(500):

@@ -33,6 +33,23 @@ def adaptive_topk(pairs: DataFrame, k: int = K) -> DataFrame:
     return kept.select("space", "src", "dst", "rank", "raw", "cal", "local_floor")
 
 
+def chosen_topk(pairs: DataFrame, k: int = K) -> DataFrame:
+    """:func:`adaptive_topk` without the local floors, for spaces with all their pairs.
+
+    Of m values the k + 2 largest reach the 72 % quantile as soon as 0.28 (m - 1) >= k + 1, so the
+    quantile is taken for sources of fewer pairs alone, and all others send k + 2 rows a part to the ranking.
+    """
+    by = Window.partitionBy("space", "src")
+    both = mirrored(pairs)
+    near = both.withColumn("rank", F.row_number().over(by.orderBy(F.desc("cal"), F.desc("raw"), "dst"))).filter(F.col("rank") <= k + 2)
+    few = both.groupBy("space", "src").agg(F.count(F.lit(1)).alias("m")).filter(0.28 * (F.col("m") - 1) < k + 1 + 1e-6).select("space", "src")
+    low = both.join(few, ["space", "src"], "left_semi").groupBy("space", "src").agg(F.percentile("cal", 0.72).alias("p72"))
+    near = near.withColumn("kth", F.min(F.when(F.col("rank") <= k, F.col("cal"))).over(by))
+    near = near.join(low, ["space", "src"], "left").join(F.broadcast(similarity_floor(pairs)), "space")
+    local = F.greatest(0.72 * F.col("floor"), F.when(F.col("p72").isNotNull(), F.least("kth", "p72") - 0.03).otherwise(F.lit(0.0)))
+    return near.filter((F.col("rank") <= k) | (F.col("cal") >= local)).select("space", "src", "dst", "rank", "raw", "cal")
+
+
 def mutual_edges(neighbors: DataFrame) -> DataFrame:
     """(space, i, j, rank, raw, cal): undirected edges chosen from both ends; rank is that of the smaller id."""
     back = neighbors.select("space", F.col("src").alias("dst"), F.col("dst").alias("src"))

@@ -317,3 +317,13 @@ def test_grams_and_words_of_a_text_in_one_trip_equal_the_plain_counts(spark):
     for r in df.select(one["g2"].alias("a"), X.top_counts(X.grams(F.col("w"), 2), 2).alias("b"), one["g3"].alias("c"), X.top_counts(X.grams(F.col("w"), 3), 9).alias("d"),
                        X.count_substrings(F.col("t"), needles).alias("e"), F.array(*[X.count_substring(F.col("t"), n) for n in needles]).alias("f")).collect():
         assert r.a == r.b and r.c == r.d and r.e == r.f
+
+
+def test_chosen_neighbours_are_those_above_the_local_floors(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(s, i, j, v, v) for s, n in (("a", 40), ("b", 9), ("c", 20), ("d", 3)) for i in range(n) for j in range(i + 1, n) for v in [round(rng.choice([rng.random(), 0.5]), 2)]]
+    pairs = spark.createDataFrame(rows, "space string, i bigint, j bigint, raw double, cal double")
+    want = N.adaptive_topk(pairs).drop("local_floor").collect()
+    assert sorted(N.chosen_topk(pairs).collect()) == sorted(want)

@@ -327,3 +327,30 @@ def test_chosen_neighbours_are_those_above_the_local_floors(spark):
     pairs = spark.createDataFrame(rows, "space string, i bigint, j bigint, raw double, cal double")
     want = N.adaptive_topk(pairs).drop("local_floor").collect()
     assert sorted(N.chosen_topk(pairs).collect()) == sorted(want)
+
+
+def test_parts_of_a_pair_table_keep_every_edge_of_its_tree(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    n = 60
+    rows = [("s", int(i), int(j), float(rng.integers(1, 9)) / 8) for i in range(n) for j in range(i + 1, n)]
+    group, want = list(range(n)), []
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for _, i, j, w in sorted(rows, key=lambda r: (r[3], r[1], r[2])):
+        if root(i) != root(j):
+            group[root(i)] = root(j)
+            want.append((i, j, w))
+    flat = pa.table({"space": ["s"] * len(rows), **{c: [r[k] for r in rows] for k, c in ((1, "i"), (2, "j"), (3, "reach"))}})
+    assert sorted(zip(*(D.forest(flat)[c].to_pylist() for c in ("i", "j", "reach")), strict=True)) == sorted(want)
+    reach = spark.createDataFrame([*rows, ("t", 1, 2, 0.5)], "space string, i bigint, j bigint, reach double").repartition(3)
+    left = D.forests(reach)
+    assert left.filter("space = 's'").count() <= 3 * (n - 1)
+    nodes_ = spark.createDataFrame([("s", k) for k in range(n)] + [("t", 1), ("t", 2), ("t", 3)], "space string, sid bigint")
+    assert sorted((r.i, r.j, r.reach) for r in D.spanning_trees(nodes_, reach).collect() if r.space == "s") == sorted(want)

@@ -354,3 +354,23 @@ def test_parts_of_a_pair_table_keep_every_edge_of_its_tree(spark, monkeypatch):
     assert left.filter("space = 's'").count() <= 3 * (n - 1)
     nodes_ = spark.createDataFrame([("s", k) for k in range(n)] + [("t", 1), ("t", 2), ("t", 3)], "space string, sid bigint")
     assert sorted((r.i, r.j, r.reach) for r in D.spanning_trees(nodes_, reach).collect() if r.space == "s") == sorted(want)
+
+
+def test_block_pairs_are_not_broadcast(spark, monkeypatch):
+    from kinmesh.operators import blocked
+
+    plans, pairs = [], blocked._pairs
+
+    def spied(*args):
+        plans.append(pairs(*args))
+        return plans[-1]
+
+    monkeypatch.setattr(blocked, "_pairs", spied)
+    long = spark.createDataFrame([("expr", k, f"f:{(k * m) % 5}", float(k % 4 + m)) for k in range(12) for m in (1, 2)], "space string, sid bigint, feature string, value double").groupBy("space", "sid", "feature").agg(F.sum("value").alias("value"))
+    weighted = M.weighted_features(long, M.feature_stats(long))
+    got = {(r.i, r.j): r for r in blocked.block_components(weighted, sids=3, features=2).collect()}
+    want = S.pair_components(weighted).collect()
+    assert len(got) == len(want) == 66
+    for r in want:
+        assert tuple(got[r.i, r.j])[3:] == pytest.approx(tuple(r)[3:], abs=1e-9)
+    assert len(plans) == 2 and not any("BroadcastExchange" in p._jdf.queryExecution().executedPlan().toString() for p in plans)

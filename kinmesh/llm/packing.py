@@ -39,29 +39,18 @@ FAN, LEVELS, NEARLY = 16, 8, 16
 SLICE = 128
 
 
-class Pieces(Memo):
-    """The packed ids of a match of the tokenizer's pattern, by the library's merges."""
-
-    def __init__(self, model, size: int):
-        super().__init__(size)
-        self.model = model
-        self.table = {b: c for c, b in byte_alphabet().items()}
-
-    def compute(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else "".join(map(self.table.__getitem__, piece.encode()))
-        ids = [t.id for t in self.model.tokenize(shown)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-
 class Chunks(Memo):
-    """The packed ids of a stretch without white space.
+    """The packed ids of what a text falls into.
 
     White space ends every match of the pattern and no normal form reaches across it, so the
-    ids of a text are those of its stretches, one after the other. Stretches of ASCII letters
-    and marks are lower-cased and cut here; all others go to the library whole.
+    ids of a text are those of its parts, one after the other. Stretches of letters, marks and
+    white space that no normal form changes are lower-cased and cut into the pattern's matches here,
+    each merged by the library's model; other chunks between white space go to the library
+    whole. Matches repeat far more often than chunks do, so the memo holds matches. Keys of
+    chunks begin with a blank, as no match does.
     """
 
-    def __init__(self, blob: bytes, size: int = 150_000):
+    def __init__(self, blob: bytes, size: int = 300_000):
         import re
 
         from tokenizers import Tokenizer
@@ -69,25 +58,40 @@ class Chunks(Memo):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         super().__init__(size)
         self.library = Tokenizer.from_buffer(blob)
-        self.pieces = Pieces(self.library.model, size)
-        # fixed pattern of the vocabulary, for the characters of ``plain``
+        self.merged = self.library.model.tokenize
+        self.table = {b: c for c, b in byte_alphabet().items()}
+        # fixed pattern of the vocabulary, for the characters of ``plain``; letters and digits begin no other match and stand first
         letters = "a-zª-ªµ-µº-ºß-öø-ʯ"
-        self.find = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9²³¹¼-¾]|[^\s0-9²³¹¼-¾{letters}]+").findall
+        self.find = re.compile(rf"[{letters}]+|[0-9²³¹¼-¾]|'s|'t|'re|'ve|'m|'ll|'d|[^\s0-9²³¹¼-¾{letters}]+").findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # up to U+02AF nothing composes or is reordered, and so it is with these marks
-        self.plain = re.compile("[\x21-\x7e\xa1-ķĹ-ňŊ-ž‐-‧€]+").fullmatch
+        marks = "\x21-\x7e\xa1-ķĹ-ňŊ-ž‐-‧€"
+        self.plain = re.compile(rf"[{marks}\s]*").fullmatch
+        self.odd = re.compile(rf"(?<!\S)([{marks}]*+[^{marks}\s]\S*+)").split
 
-    def compute(self, chunk: str) -> bytes:
-        if self.plain(chunk) and not any(s in chunk for s in self.special):
-            return b"".join(map(self.pieces.__getitem__, self.find(chunk.lower())))
-        ids = self.library.encode(chunk, add_special_tokens=False).ids
+    def compute(self, key: str) -> bytes:
+        if key[0] == " ":
+            ids = self.library.encode(key[1:], add_special_tokens=False).ids
+        else:
+            ids = [t.id for t in self.merged(key if key.isascii() else "".join(map(self.table.__getitem__, key.encode())))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def keys_of(self, stretch: str) -> list[str]:
+        """The matches of a stretch of plain characters; chunks that hold a special string stay whole."""
+        if not any(s in stretch for s in self.special):
+            return self.find(stretch.lower())
+        return [key for chunk in stretch.split() for key in ([f" {chunk}"] if any(s in chunk for s in self.special) else self.find(chunk.lower()))]
+
     def text(self, text: str) -> bytes:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, not to the library
             ids = self.library.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(self.__getitem__, text.split()))
+        if self.plain(text):
+            return b"".join(map(self.__getitem__, self.keys_of(text)))
+        keys: list[str] = []
+        for k, part in enumerate(self.odd(text)):  # stretches, and between each two an odd chunk
+            keys += [f" {part}"] if k % 2 else self.keys_of(part)
+        return b"".join(map(self.__getitem__, keys))
 
 
 def piece_column(spark: SparkSession, vocabulary: str, text: Column, capacity: int = CAPACITY, end: int = END) -> Column:

@@ -51,6 +51,26 @@ def test_ids_equal_the_library_on_random_strings(chunks, library):
         assert ids_of(chunks.text(text)) == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_chunks_of_the_same_matches_are_merged_once(library):
+    """1,600 chunks of 40 words and two marks, in either case: only the matches are merged and held."""
+    words = [f"{a}{b}o" for a in "bcdfghkl" for b in "aeiou"]
+    text = " ".join(f"{v.title()},{w}." for v in words for w in words)
+    with open(VOCABULARY, "rb") as f:
+        chunks = packing.Chunks(f.read(), 2000)
+    assert ids_of(chunks.text(text)) == library.encode(text, add_special_tokens=False).ids
+    assert len(chunks) + len(chunks.old) == 42
+
+
+def test_ids_equal_the_library_where_plain_and_odd_chunks_alternate(chunks, library):
+    long = "a" * 30_000
+    odd = ["漢字", "e\u0301te\u0301", "x🙂'S", "\u0300", "Σας", "ŉ", "a" * 200 + "漢", "İ\u0307"]
+    plain = ["It'S", "1½2", "É-é,", "<|endoftext|>", "x<|startoftext|>y", "<|ENDOFTEXT|>", "!!", long]
+    for white in (" ", "\n", "\u00a0", "\u3000", "\x85", " \t"):
+        for text in (white.join([a, b, a]) for a in odd for b in plain):
+            for whole in (text, white + text + white):
+                assert ids_of(chunks.text(whole)) == library.encode(whole, add_special_tokens=False).ids, repr(whole[:80])
+
+
 def check_packing(rows, capacity):
     by_sequence = defaultdict(list)
     for r in rows:

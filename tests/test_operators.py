@@ -374,3 +374,31 @@ def test_block_pairs_are_not_broadcast(spark, monkeypatch):
     for r in want:
         assert tuple(got[r.i, r.j])[3:] == pytest.approx(tuple(r)[3:], abs=1e-9)
     assert len(plans) == 2 and not any("BroadcastExchange" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+
+
+def test_counts_of_a_text_in_one_trip_equal_the_column_functions(spark):
+    texts = [
+        "", "\n", "a b a b c\n\n  x  y \r\nlast", "int f(int n) { if (n >= 1 && m != 2) { return \"a b\" + g(n) + 'c' + 12.5; } // note\n/* one\ntwo */ return 3ab; }\nclass Point { Point(int x) throws E { } }\n",
+        "import java.util.List;\n import a.b.* ;\nnew ArrayList<>().add(List.of(1, 2)).put (3); new_one NEW aB snake_case X _y größe naïve (été)\n", "for " * 40 + "while (x) y++ " * 60, "a\"b\" 1.2.3 def \"open if\nx<<=y>>>z&&!w|v^~u%=t",
+    ]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "file_id int, text string")
+    code, t = X.strip_comments(F.col("text"))["text"], F.col("text")
+    masked = X.mask_identifiers(X.mask_literals(code))
+    words = F.filter(X.tokenize(masked), lambda w: w.rlike(rf"^{X.IDENTIFIER}$"))
+    tokens, ids = X.tokenize(code), X.identifiers(code)
+    plain = {
+        "tokens": F.size(tokens), "unique": F.size(F.array_distinct(tokens)), "ids": F.size(ids), "chars": F.length(t),
+        "words": F.transform(X.top_counts(words), lambda e: e["n"]), "lengths": X.top_counts(F.transform(X.non_empty_lines(t), lambda x: F.length(x))),
+        "g2": X.top_counts(X.grams(words, 2), 36), "g3": X.top_counts(X.grams(words, 3), 24), "calls": T.call_names(code, 16),
+        "skeletons": T.line_skeletons(masked, 28), "pairs": T.keyword_operator_pairs(tokens, 20),
+        "signs": F.array(*[F.regexp_count(code, F.lit(p)) for p in X.OPERATORS.values()]), "inside": F.array(*[X.count_substring(code, n) for n in X.NEEDLES]),
+        "found": F.array(*[F.regexp_count(code, F.lit(rf"(?U)\b{w}\b")) for w in X.WORDS]), "called": F.array(*[F.regexp_count(code, F.lit(rf"(?U)\b{w}\s*\(")) for w in X.CALLS]),
+        "declared": F.array(F.regexp_count(code, F.lit(X.METHOD)), F.regexp_count(code, F.lit(X.CONSTRUCTOR))), "imports": F.regexp_extract_all(code, F.lit(X.IMPORT), F.lit(1)),
+    }
+    shares = T.identifier_shapes(ids) | {k: v for k, v in T.token_categories(tokens).items() if "punctuation" not in k}
+    rows = df.select(X.counted(t).alias("c"), F.struct(*[v.alias(k) for k, v in plain.items()]).alias("p"), F.array(*shares.values()).alias("s")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert {k: r.c[k] for k in plain} == r.p.asDict()
+        assert r.s == [n / max(1, r.c.ids) for n in r.c.shapes] + [n / max(1, r.c.tokens) for n in r.c.categories]
+    assert rows[3].c.declared[0] and rows[4].c.imports == ["java.util.List", "a.b.*"] and rows[3].c.comment_lines

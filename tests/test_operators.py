@@ -402,3 +402,11 @@ def test_counts_of_a_text_in_one_trip_equal_the_column_functions(spark):
         assert {k: r.c[k] for k in plain} == r.p.asDict()
         assert r.s == [n / max(1, r.c.ids) for n in r.c.shapes] + [n / max(1, r.c.tokens) for n in r.c.categories]
     assert rows[3].c.declared[0] and rows[4].c.imports == ["java.util.List", "a.b.*"] and rows[3].c.comment_lines
+
+
+def test_features_of_submissions_are_made_once(spark, sf):
+    from kinmesh.plans import text as P
+
+    for query in (P.submission_features, P.text_features):
+        plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("== Initial Plan ==")[-1].count("ArrowEvalPython") == 1

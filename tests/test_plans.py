@@ -86,3 +86,13 @@ def test_the_embedding_engine_runs_from_chunks_to_overview(spark):
     for r in out["members"].collect():
         groups.setdefault(r.cluster, set()).add(r.sid)
     assert {0, 1, 2} <= next(g for g in groups.values() if 0 in g) and 8 not in next(g for g in groups.values() if 0 in g)
+
+
+def test_pairs_of_a_space_with_one_chunk_are_not_shuffled(spark):
+    rows = [("sem", k, f"f{m}", 1.0 + (k * m) % 4, 0.5, 0.7) for k in range(20) for m in range(1, 6)]
+    df = spark.createDataFrame(rows, KIND.replace("sid string", "sid bigint"))
+    out = blocked.block_components(df, 6)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    one, more = plan.split("MapInArrow")[1:]
+    assert "CartesianProduct" in one and "Exchange" not in plan.split("MapInArrow")[0].split("HashAggregate")[0]
+    assert out.count() == 190 and "Join" not in one

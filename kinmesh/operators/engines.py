@@ -14,7 +14,7 @@ from kinmesh.operators import neighbors as N
 from kinmesh.operators import read_models as RM
 from kinmesh.operators import similarity as S
 from kinmesh.operators.reports import weighted_means
-from kinmesh.operators.search import own_products
+from kinmesh.operators.search import own_nearest, own_products
 from kinmesh.session import materialize
 
 #: Fixed value: the space of dense vectors.
@@ -42,6 +42,21 @@ def embedding_pairs(vectors: DataFrame) -> DataFrame:
     return met.select(F.lit(EMBEDDING).alias("space"), "i", "j", value.alias("raw"), value.alias("cal"))
 
 
+def graph_edges(vectors: DataFrame, k: int = N.K) -> DataFrame:
+    """The edges that :func:`graph_stage` finds among all pairs of ``vectors`` (sid, v), none of which is written.
+
+    Where :func:`kinmesh.operators.neighbors.chosen_topk` needs no quantile of single nodes, the best k + 2 of
+    each node and the number of pairs of each value tell all; smaller sets go by their table of pairs.
+    """
+    n = vectors.filter(F.col("v").isNotNull()).count()
+    if N.needs_quantile(n - 1, k):
+        return N.mutual_edges(materialize(N.chosen_topk(materialize(embedding_pairs(vectors), "pairs"), k), "near"))
+    near, counts = own_nearest(vectors, k + 2, "sid", "v")
+    floor = counts.agg(F.greatest(F.lit(N.FLOOR), F.percentile("value", N.FLOOR_QUANTILE, F.col("n"))).alias("floor"))
+    kept = near.crossJoin(F.broadcast(floor)).filter((F.col("rank") <= k) | (F.col("value") >= 0.72 * F.col("floor")))  # one row
+    return N.mutual_edges(materialize(kept.select(F.lit(EMBEDDING).alias("space"), F.col("id").alias("src"), F.col("neighbor").alias("dst"), "rank", F.col("value").alias("raw"), F.col("value").alias("cal")), "near"))
+
+
 def graph_stage(nodes: DataFrame, pairs: DataFrame, k: int = N.K) -> dict[str, DataFrame]:
     """Of each space: near, edges, degrees, floors, stats, members and spaces (the way its clusters were made)."""
     pairs = materialize(pairs, "pairs")

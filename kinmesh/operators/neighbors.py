@@ -33,6 +33,11 @@ def adaptive_topk(pairs: DataFrame, k: int = K) -> DataFrame:
     return kept.select("space", "src", "dst", "rank", "raw", "cal", "local_floor")
 
 
+def needs_quantile(m, k: int = K):
+    """Whether the k + 2 largest of m values may lie below their 72 % quantile; m is a number or a column."""
+    return 0.28 * (m - 1) < k + 1 + 1e-6
+
+
 def chosen_topk(pairs: DataFrame, k: int = K) -> DataFrame:
     """:func:`adaptive_topk` without the local floors, for spaces with all their pairs.
 
@@ -42,7 +47,7 @@ def chosen_topk(pairs: DataFrame, k: int = K) -> DataFrame:
     by = Window.partitionBy("space", "src")
     both = mirrored(pairs)
     near = both.withColumn("rank", F.row_number().over(by.orderBy(F.desc("cal"), F.desc("raw"), "dst"))).filter(F.col("rank") <= k + 2)
-    few = both.groupBy("space", "src").agg(F.count(F.lit(1)).alias("m")).filter(0.28 * (F.col("m") - 1) < k + 1 + 1e-6).select("space", "src")
+    few = both.groupBy("space", "src").agg(F.count(F.lit(1)).alias("m")).filter(needs_quantile(F.col("m"), k)).select("space", "src")
     low = both.join(few, ["space", "src"], "left_semi").groupBy("space", "src").agg(F.percentile("cal", 0.72).alias("p72"))
     near = near.withColumn("kth", F.min(F.when(F.col("rank") <= k, F.col("cal"))).over(by))
     near = near.join(low, ["space", "src"], "left").join(F.broadcast(similarity_floor(pairs)), "space")

@@ -12,6 +12,8 @@ from kinmesh.session import materialize
 
 #: Rows of a block of queries, of rows, and of one set that is compared with itself; blocks written to a file.
 QUERY_BLOCK, ROW_BLOCK, OWN_BLOCK, HELD = 256, 2048, 1024, 4
+#: Steps from 0 to 1 of a product with six places, and how many of their counts are a row.
+STEPS, GROUP = 1_000_000, 1000
 
 
 def _blocked(df: DataFrame, block: int, name: str, id_col: str, vector: str) -> DataFrame:
@@ -50,6 +52,61 @@ def own_products(rows: DataFrame, id_col: str = "id", vector: str = "v") -> Data
     return crossed(q, r, F.col("q") <= F.col("r")).select("q_ids", "q_v", "r_ids", "r_v").mapInArrow(products, "i bigint, j bigint, similarity double")
 
 
+def own_nearest(rows: DataFrame, most: int, id_col: str = "id", vector: str = "v") -> tuple[DataFrame, DataFrame]:
+    """((id, neighbor, rank, value), (value, n)): the ``most`` others of largest value for each of ``rows``, and how many pairs have each value.
+
+    A value is the product of two rows within 0 and 1, with six places; ties go to the smaller
+    id. Each pair of blocks meets once, and a task keeps the best of its blocks' rows and one
+    count for each value that there can be, so that no pair leaves it.
+    """
+
+    def merged(best: tuple | None, ids: np.ndarray, v: np.ndarray, others: np.ndarray) -> tuple:
+        m = v.shape[1]
+        if m > most:
+            # of equal values the first column has the smallest id
+            at = np.argpartition(v.astype(np.int64) * m + np.arange(m - 1, -1, -1), m - most, axis=1)[:, m - most :]
+            v, near = np.take_along_axis(v, at, 1), others[at]
+        else:
+            near = np.broadcast_to(others, v.shape)
+        if best is not None:
+            v, near = np.hstack([best[1], v]), np.hstack([best[2], near])
+        order = np.lexsort((near, -v), axis=1)[:, :most]
+        return ids, np.take_along_axis(v, order, 1), np.take_along_axis(near, order, 1)
+
+    def kept(batches):
+        counts, best = np.zeros((STEPS // GROUP + 1) * GROUP, np.int64), {}
+        for batch in batches:
+            for q, q_ids, q_v, r, r_ids, r_v in zip(*batch.columns, strict=True):
+                ids, others = (x.values.to_numpy(zero_copy_only=False) for x in (q_ids, r_ids))
+                a, b = (v.values.to_numpy(zero_copy_only=False).reshape(n, -1) for v, n in ((q_v, len(ids)), (r_v, len(others))))
+                s = a @ b.T
+                s[np.isnan(s)] = 1  # as the largest number is cut to 1
+                v = np.floor(np.clip(s, 0, 1) * STEPS + 0.5).astype(np.int32)
+                q, r = q.as_py(), r.as_py()
+                counts += np.bincount(v[np.triu_indices(len(ids), 1)] if q == r else v.ravel(), minlength=len(counts))
+                if q == r:
+                    np.fill_diagonal(v, -1)
+                else:
+                    best[r] = merged(best.get(r), others, v.T, ids)
+                best[q] = merged(best.get(q), ids, v, others)
+        names = ["id", "neighbor", "step", "counts"]
+        for ids, v, near in best.values():
+            x, y = np.nonzero(v >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(near[x, y]), pa.array(v[x, y]), pa.nulls(len(x), pa.list_(pa.int64()))], names=names)
+        groups = np.flatnonzero(counts.reshape(-1, GROUP).any(1)).tolist()
+        told = pa.array([counts[g * GROUP : (g + 1) * GROUP] for g in groups], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(groups), pa.int64()), pa.nulls(len(groups), pa.int64()), pa.array([g * GROUP for g in groups], pa.int32()), told], names=names)
+
+    q = _blocked(rows, OWN_BLOCK, "q", id_col, vector)
+    r = q.withColumnsRenamed({c: c.replace("q", "r", 1) for c in q.columns})
+    met = crossed(q, r, F.col("q") <= F.col("r")).select("q", "q_ids", "q_v", "r", "r_ids", "r_v")
+    found = materialize(met.mapInArrow(kept, "id bigint, neighbor bigint, step int, counts array<bigint>"), "nearest")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("step"), "neighbor"))
+    near = found.filter("counts is null").withColumn("rank", rank).filter(F.col("rank") <= most).select("id", "neighbor", "rank", (F.col("step") / STEPS).alias("value"))
+    told = found.filter("counts is not null").select("step", F.posexplode("counts").alias("at", "n")).filter("n > 0")
+    return near, told.groupBy((F.col("step") + F.col("at")).alias("step")).agg(F.sum("n").alias("n")).select((F.col("step") / STEPS).alias("value"), "n")
+
+
 def block_products(queries: DataFrame, rows: DataFrame, id_col: str = "id", vector: str = "v") -> DataFrame:
     """(id, neighbor, similarity): the dot product of each query with each row but itself, one matrix product a pair of blocks.
 

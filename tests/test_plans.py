@@ -96,3 +96,22 @@ def test_pairs_of_a_space_with_one_chunk_are_not_shuffled(spark):
     one, more = plan.split("MapInArrow")[1:]
     assert "CartesianProduct" in one and "Exchange" not in plan.split("MapInArrow")[0].split("HashAggregate")[0]
     assert out.count() == 190 and "Join" not in one
+
+
+@pytest.mark.parametrize("n", [12, 20, 75])
+def test_edges_of_vectors_are_those_of_the_pair_table_without_one(spark, monkeypatch, n):
+    from kinmesh.operators import engines as E
+    from kinmesh.operators import neighbors as N
+    from kinmesh.operators import search
+    from kinmesh.session import materialize
+
+    monkeypatch.setattr(search, "OWN_BLOCK", 8)
+    rng = random.Random(n)
+    rows = [(k, [0.0] * 4 if k % 7 == 3 else rng.choice([[1.0, 0.0, 0.0, 0.0], [0.6, 0.8, 0.0, 0.0], [rng.gauss(0, 0.5) for _ in range(4)]])) for k in range(n)]
+    vectors = materialize(spark.createDataFrame(rows, "sid bigint, v array<double>"), "vectors")
+    pairs = materialize(E.embedding_pairs(vectors), "pairs")
+    want = N.mutual_edges(N.adaptive_topk(pairs)).select("i", "j", "rank", "cal").collect()
+    written = []
+    monkeypatch.setattr(E, "embedding_pairs", lambda v: written.append(v) or pairs)
+    assert sorted(E.graph_edges(vectors).select("i", "j", "rank", "cal").collect()) == sorted(want) and len(want) > n // 4
+    assert bool(written) == (n < 20)

@@ -412,3 +412,22 @@ def test_a_sample_drawn_without_texts_is_the_same_sample(spark):
     got = fetched(drawn, df.select("doc_id", "text"), "doc_id")
     key = lambda r: (r["doc_id"], str(r["text"]), r["label"])
     assert sorted(map(key, whole)) == sorted(map(key, got)) and len(got) == 50
+
+
+def test_toxicity_fits_on_rows_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PER_LABEL", 30)
+    monkeypatch.setattr(toxicity, "MOST_ROWS", 60)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 150)
+    rows = [(k, f"plain words number {k % 7} " + ("grumf" if k % 2 else "calm"), k % 2, "en" if k % 400 else "xx") for k in range(400)]
+    schema = "doc_id bigint, text string, toxic int, lang string"
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, schema).repartition(3))
+    again = toxicity.fit_toxicity(spark.createDataFrame(rows[::-1], schema).repartition(5))
+    assert model.thresholds == again.thresholds and (model.flat() == again.flat()).all()
+    fits = spark.createDataFrame(rows, schema).filter(~toxicity.is_check())
+    assert model.languages == sorted(r.lang for r in fits.select("lang").distinct().collect())
+    ids = toxicity.WordIds()
+    assert all((model.score(ids(t)) >= 0.5) == bool(y) for _, t, y, _ in rows)
+    words = toxicity.LANGUAGE_BUCKETS * 0.01 + 5 * fits.filter("lang = 'en'").count()
+    calm = fits.filter("lang = 'en' and toxic = 0").count()
+    place = ids("calm")[0, 0] % toxicity.LANGUAGE_BUCKETS
+    assert np.isclose(np.exp(model.word_logs[place, model.languages.index("en")]), (calm + 0.01) / words)
